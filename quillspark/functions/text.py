@@ -1,6 +1,7 @@
 """Scalar text functions as Column expressions; all stay in the JVM.
 
-Java's \\w, \\s, \\b and \\d are ASCII by default, so every pattern starts with (?U).
+Java's \\s and \\b are ASCII by default, so patterns with them start with (?U); word characters are written
+out as \\p{L}\\p{N}_, letters and all numbers.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 HTML = r"<[^>]+>"
 ENTITIES = {"basic": r"&[a-z]+;|&#\d+;", "extended": r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);"}
 KEEP = {
-    "basic": r"""(?U)[^\w\s.,;:!?()\-'"áéíóúâêîôûãõàèìòùçÁÉÍÓÚÂÊÎÔÛÃÕÀÈÌÒÙÇñÑüÜ]""",
-    "extended": r"""(?U)[^\w\sÀ-ÖØ-öø-ÿ.,;:!?()\-/'"&+%#@=]""",
+    "basic": r"""(?U)[^\p{L}\p{N}_\s.,;:!?()\-'"áéíóúâêîôûãõàèìòùçÁÉÍÓÚÂÊÎÔÛÃÕÀÈÌÒÙÇñÑüÜ]""",
+    "extended": r"""(?U)[^\p{L}\p{N}_\sÀ-ÖØ-öø-ÿ.,;:!?()\-/'"&+%#@=]""",
 }
 ROMAN = r"(?Ui)\b(?=[mcdlxvi])m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\b"
 SENTENCE_END = r"(?U)[.!?;\n]+|,\s+"
@@ -66,7 +67,7 @@ def strip_accents(c: Column) -> Column:
 def normalize_lexical(c: Column) -> Column:
     """Lower case, no accents, hyphens and underscores as spaces, no punctuation, digits or Roman numerals."""
     out = strip_accents(F.lower(F.coalesce(c, F.lit(""))))
-    for pattern, to in ((r"[-_]+", " "), (r"(?U)[^\w\s]+", " "), (r"(?U)\d+", " "), (ROMAN, " ")):
+    for pattern, to in ((r"[-_]+", " "), (r"(?U)[^\p{L}\p{N}_\s]+", " "), (r"\p{Nd}+", " "), (ROMAN, " ")):
         out = F.regexp_replace(out, pattern, to)
     return collapse(out)
 

@@ -48,7 +48,7 @@ UNIT_FIELDS = {
 
 RECORDS = "author string, section string, kind string, pos int, fields array<struct<name:string,value:string>>"
 _HTML, _ENTITY, _SPACE = re.compile(X.HTML), re.compile(X.ENTITIES["basic"]), re.compile(r"\s+")
-_ODD = re.compile(X.KEEP["basic"].removeprefix("(?U)"))
+_ODD = re.compile(X.KEEP["basic"].removeprefix("(?U)").replace(r"\p{L}\p{N}_", r"\w"))
 
 
 def left_out(attribute: str) -> bool:

@@ -14,7 +14,7 @@ from quillspark.functions.ngrams import lexicon_tagger, ngrams, tokens
 
 
 def _authors(c: str | Column = "authors") -> Column:
-    return F.transform(F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")), X.author_id)
+    return F.transform(F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")), lambda a: X.author_id(a))
 
 
 def exploded(publications: DataFrame, distinct: bool = True) -> DataFrame:
@@ -83,7 +83,7 @@ def structured_profile(publications: DataFrame, authors: DataFrame, variant: str
 
 def field_evidence(publications: DataFrame, authors: DataFrame) -> DataFrame:
     """author, doc_id, pieces: cleaned title, keywords and abstract; of a repeated document the last counts."""
-    kws = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), X.clean_text)
+    kws = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: X.clean_text(k))
     pieces = F.filter(F.concat(F.array(X.clean_text(F.col("title"))), kws, F.array(X.clean_text(F.col("abstract")))), lambda x: x != "")
     p = publications.where("coalesce(id, '') <> ''").select("pos", "authors", F.col("id").cast("string").alias("doc_id"), pieces.alias("pieces"))
     rows = coauthored(p.where(F.size("pieces") > 0), authors)

@@ -1,6 +1,706 @@
-"""All queries over the reference's own operators, and their SQL."""
+"""All queries over the reference's own operators, on whole tables, and their SQL.
+
+Publications, judgements and n-gram profiles are the tables of that name. Vectors come from `embeddings`:
+the label is the author, even ids are predictions in order of id, odd ids are gold tags of weight
+1 + id % 3.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import ngrams as N
+from quillspark.functions import text as X
+from quillspark.functions.parsing import parse_responses
+from quillspark.operators import analysis, curriculum, dataset, generate, judgements, matching, metrics, profiles, rankers, vectors
+from quillspark.session import prepare, table
+from quillspark.sources import readers
+from quillspark.streaming import incremental
+
+THETA = 0.20
+THETAS = (0.10, 0.15, 0.20, 0.25, 0.30)
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(prepare(spark), sf_dir)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pubs(spark: SparkSession, d: str) -> DataFrame:
+    return readers.publications(spark, d)
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    """Arrays of strings as one string, so that results compare the same everywhere."""
+    return df.select(*[F.array_join(c, " | ").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes])
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return judgements.authors(readers.judgement_table(spark, d))
+
+
+def _bag(spark: SparkSession, d: str) -> DataFrame:
+    return rankers.bag(table(spark, d, "perfis_autores"))
+
+
+def _total(spark: SparkSession, d: str):
+    return rankers.authors_total(table(spark, d, "perfis_autores"))
+
+
+# SQL pieces. RE2 knows white space and letters as ASCII only, so classes are written out.
+WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+W = r"\p{L}\p{N}_"
+
+
+def _strip(c):
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _collapse(c):
+    return f"trim(regexp_replace(coalesce({c}, ''), '{WS}+', ' ', 'g'))"
+
+
+def _author(c):
+    return f"regexp_replace({_strip(c)}, '^ID_', '')"
+
+
+def _clean(c, variant="basic"):
+    entity = X.ENTITIES[variant]
+    keep = X.KEEP[variant].removeprefix("(?U)").replace(r"\s", WS[1:-1]).replace("'", "''")
+    return _collapse(f"regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '{entity}', ' ', 'g'), '{keep}', ' ', 'g')")
+
+
+def _items(c):
+    return f"list_filter(list_transform(coalesce({c}, []), lambda z: {_strip("coalesce(z, '')")}), lambda z: z <> '')"
+
+
+def _field(c):
+    return _strip(f"coalesce({c}, '')")
+
+
+_PUBSTR = f"array_to_string(list_filter([{_field('title')}, array_to_string({_items('keywords')}, ', '), {_field('abstract')}], lambda z: z <> ''), ', ')"
+_SENTENCES = f"list_filter(list_transform(string_split_regex({_PUBSTR}, '[.!?;\\n]+|,{WS}+'), lambda z: {_strip('z')}), lambda z: z <> '')"
+
+
+def _normal(c):
+    base = f"lower(coalesce({c}, ''))"
+    base = f"translate({base}, '{_FROM}', '{_TO}')"
+    base = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({base}, '\\p{{Mn}}', '', 'g'), '[-_]+', ' ', 'g'), '[^{W}{WS[1:-1]}]+', ' ', 'g'), '\\p{{Nd}}+', ' ', 'g')"
+    words = f"string_split({_collapse(base)}, ' ')"
+    return f"array_to_string(list_filter({words}, lambda q: q <> '' AND NOT regexp_full_match(q, '(?i)m{{0,4}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})')), ' ')"
+
+
+_FROM, _TO = (x.replace("'", "''") for x in X._plain_letters())
+
+_AUTHORED = f"ex AS (SELECT rec_id AS pos, id, title, keywords, abstract, unnest(list_distinct(list_filter(list_transform(authors, lambda z: {_author('z')}), lambda z: z <> ''))) AS author FROM filtered_documents)"
+_SET = f"target AS (SELECT DISTINCT {_author('author')} AS author FROM qrels WHERE author IS NOT NULL AND {_author('author')} <> '')"
+_BAG = f"bag AS (SELECT author, ngram, count(*) AS freq FROM (SELECT {_author('autor_id')} AS author, unnest(ngramas) AS ngram FROM perfis_autores WHERE autor_id IS NOT NULL) WHERE author <> '' AND ngram IS NOT NULL GROUP BY ALL)"
+_N = f"(SELECT count(DISTINCT {_author('autor_id')}) FILTER ({_author('autor_id')} <> '') FROM perfis_autores)"
+_IDF = f"df AS (SELECT ngram, count(*) AS df, log10({_N} / count(*)) AS idf FROM bag GROUP BY ngram)"
+_TFIDF = f"""{_BAG}, {_IDF}, most AS (SELECT author, max(freq) AS most FROM bag GROUP BY author),
+scored AS (SELECT author, ngram AS tag, round(freq / most * idf, 9) AS score FROM bag JOIN df USING (ngram) JOIN most USING (author))"""
+_TFIDF_RANK = _TFIDF + ", tfidf AS (SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY score DESC, tag) AS INT) AS rank, tag, score FROM scored)"
+_GOLD = f"""parsed AS (SELECT {_author('author')} AS author, {_collapse('tag')} AS tag, {_strip('tag')} AS spelling, CAST(trim(weight) AS INT) AS weight, tag AS raw, weight AS raww
+  FROM qrels WHERE author IS NOT NULL AND regexp_full_match(weight, '\\s*[+-]?\\d+\\s*')),
+gold AS (SELECT author, tag, max(weight) AS weight, arg_min(spelling, ROW(raw, raww)) AS tag_original FROM parsed WHERE tag <> '' GROUP BY ALL)"""
+
+
+@query(f"WITH {_BAG} SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY freq DESC, ngram) AS INT) AS rank, ngram AS tag, freq FROM bag")
+def pop_rank(spark, d):
+    return rankers.pop(_bag(spark, d))
+
+
+@query(f"WITH {_TFIDF_RANK} SELECT * FROM tfidf")
+def tfidf_rank(spark, d):
+    return rankers.tfidf(_bag(spark, d), _total(spark, d))
+
+
+@query(f"WITH {_BAG}, {_IDF} SELECT ngram, df, round(idf, 9) AS idf FROM df")
+def df_idf(spark, d):
+    x = rankers.idf(_bag(spark, d), _total(spark, d))
+    return x.withColumn("idf", F.round("idf", 9))
+
+
+@query(f"""WITH l AS (SELECT {_author('author_id')} AS author, target_tags AS tags, row_number() OVER () AS r FROM dataset_treino_1001_autores),
+x AS (SELECT r, author, unnest(tags) AS t, generate_subscripts(tags, 1) - 1 AS pos, len(tags) AS n FROM l),
+y AS (SELECT author || '/' || r AS k, author, {_collapse('t')} AS tag, n - pos AS s FROM x),
+z AS (SELECT author, tag, max(s) AS score FROM y WHERE tag <> '' GROUP BY ALL)
+SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY score DESC, tag) AS INT) AS rank, tag, CAST(score AS INT) AS score FROM z""")
+def positional_ranking(spark, d):
+    t = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author"), F.col("target_tags").alias("tags"))
+    rows = t.select("author", F.size("tags").alias("n"), F.posexplode("tags").alias("pos", "t")).withColumn("tag", X.normalize_tag(F.col("t"))).where("tag <> ''")
+    best = rows.groupBy("author", "tag").agg(F.max(F.col("n") - F.col("pos")).alias("score"))
+    return rankers.ranked(best, "score").select("author", "rank", "tag", "score")
+
+
+@query(f"SELECT rec_id, {_clean('title')} AS title, {_clean('abstract')} AS abstract FROM filtered_documents")
+def clean_html_basic(spark, d):
+    return _pubs(spark, d).select("rec_id", X.clean_text(F.col("title")).alias("title"), X.clean_text(F.col("abstract")).alias("abstract"))
+
+
+@query(f"SELECT rec_id, {_clean('title', 'extended')} AS title, {_clean('abstract', 'extended')} AS abstract FROM filtered_documents")
+def clean_html_extended(spark, d):
+    return _pubs(spark, d).select("rec_id", X.clean_text(F.col("title"), "extended").alias("title"), X.clean_text(F.col("abstract"), "extended").alias("abstract"))
+
+
+@query(f"SELECT rec_id, {_normal('title')} AS normal FROM filtered_documents")
+def normalize_lexical(spark, d):
+    return _pubs(spark, d).select("rec_id", X.normalize_lexical(F.col("title")).alias("normal"))
+
+
+@query(f"WITH s AS (SELECT rec_id, {_SENTENCES} AS x FROM filtered_documents) SELECT rec_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS sent, unnest(x) AS raw FROM s")
+def segment_sentences(spark, d):
+    text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
+    return _pubs(spark, d).select("rec_id", F.posexplode(X.sentences(text)).alias("sent", "raw"))
+
+
+_CARRY = f"""WITH s AS (SELECT rec_id AS pos, id, {_SENTENCES} AS x FROM filtered_documents WHERE coalesce(id, '') <> ''),
+t AS (SELECT pos, generate_subscripts(x, 1) - 1 AS sent, unnest(x) AS raw FROM s),
+u AS (SELECT t.*, CASE WHEN length(raw) >= 20 AND rotulo IN ('pt', 'en') THEN rotulo END AS l FROM t LEFT JOIN idioma_rotulos ON pos = rec_id)
+SELECT pos, CAST(sent AS INT) AS sent, coalesce(last_value(l IGNORE NULLS) OVER (PARTITION BY pos ORDER BY pos, sent ROWS UNBOUNDED PRECEDING), 'pt') AS lang FROM u"""
+
+
+@query(_CARRY)
+def language_carry(spark, d):
+    s = profiles.document_sentences(_pubs(spark, d)).join(table(spark, d, "idioma_rotulos").select(F.col("rec_id").alias("pos"), "rotulo"), "pos", "left")
+    got = F.when(F.col("rotulo").isin("pt", "en"), F.col("rotulo"))
+    return profiles.carried_language(s, got, ["pos"], ["pos", "sent"]).select("pos", "sent", "lang")
+
+
+_TOKENS = f"""s AS (SELECT rec_id AS pos, id, authors, {_SENTENCES} AS x FROM filtered_documents WHERE coalesce(id, '') <> ''),
+t AS (SELECT pos, generate_subscripts(x, 1) - 1 AS sent, unnest(x) AS raw FROM s),
+k AS (SELECT pos, sent, list_filter(string_split({_normal('raw')}, ' '), lambda q: length(q) >= 2) AS toks FROM t),
+w AS (SELECT pos, sent, n, start, toks[start:start + n - 1] AS words FROM k, (SELECT unnest([1, 2, 3]) AS n), LATERAL (SELECT unnest(range(1, len(toks) - n + 2)) AS start) WHERE len(toks) >= n)"""
+
+
+@query(f"WITH {_TOKENS} SELECT array_to_string(words, ' ') AS ngram, CAST(n AS INT) AS n, count(*) AS occurrences FROM w GROUP BY ALL")
+def ngram_windows(spark, d):
+    s = profiles.document_sentences(_pubs(spark, d))
+    x = s.select(F.explode(N.windows(N.tokens(F.col("normal")))).alias("w")).select(F.array_join("w.words", " ").alias("ngram"), F.col("w.n").alias("n"))
+    return x.groupBy("ngram", "n").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+_LEX = {w: k for k, ws in reversed(N.LEXICON.items()) for w in ws}
+_FUN = "[" + ", ".join(f"'{w}'" for w in _LEX) + "]"
+_GRAMS = _TOKENS + f""", ok AS (SELECT * FROM w WHERE NOT list_contains({_FUN}, words[1]) AND NOT list_contains({_FUN}, words[-1]))"""
+
+
+@query(f"""WITH {_GRAMS}, {_AUTHORED}, {_SET}
+SELECT author, array_to_string(words, ' ') AS ngram, count(*) AS freq FROM ok JOIN (SELECT pos, author FROM ex JOIN target USING (author)) a USING (pos) GROUP BY ALL""")
+def ngram_profile(spark, d):
+    return profiles.ngram_profile(_pubs(spark, d), _judged(spark, d))
+
+
+@query(f"WITH {_GRAMS} SELECT s.pos, s.id, count(ok.pos) AS n_ngrams, count(DISTINCT array_to_string(words, ' ')) AS n_distinct FROM s LEFT JOIN ok USING (pos) WHERE len(x) > 0 GROUP BY ALL")
+def ngram_by_document(spark, d):
+    x = profiles.ngrams_by_document(_pubs(spark, d))
+    return x.select("pos", "id", F.size("ngramas").cast("long").alias("n_ngrams"), F.size(F.array_distinct("ngramas")).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {_TOKENS} SELECT n, count(*) AS windows, count(*) FILTER (NOT list_contains({_FUN}, words[1]) AND NOT list_contains({_FUN}, words[-1])) AS well_formed FROM w GROUP BY n")
+def pos_filter(spark, d):
+    s = profiles.document_sentences(_pubs(spark, d))
+    x = s.select(F.explode(N.windows(N.tokens(F.col("normal")))).alias("w"))
+    return x.groupBy(F.col("w.n").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("windows"), F.count_if(N.well_formed(N.lexicon_tagger(F.col("w.words")))).alias("well_formed"))
+
+
+@query(f"""WITH {_AUTHORED}, {_SET}, t AS (SELECT author, pos, {_PUBSTR} AS t FROM ex JOIN target USING (author))
+SELECT author, string_agg(t, ', ' ORDER BY pos) AS profile FROM t WHERE t <> '' GROUP BY author""")
+def text_profile(spark, d):
+    return profiles.text_profile(_pubs(spark, d), _judged(spark, d))
+
+
+_LABELLED = "array_to_string(list_filter([{}], lambda z: z IS NOT NULL), chr(10))".format(
+    ", ".join(f"CASE WHEN {v} <> '' THEN '{k}: ' || {v} END" for k, v in (("Título", _field("title")), ("Palavras-chave", f"array_to_string({_items('keywords')}, '; ')"), ("Resumo", _field("abstract"))))
+)
+
+
+@query(f"""WITH {_AUTHORED}, {_SET}, t AS (SELECT author, pos, {_LABELLED} AS t FROM ex)
+SELECT author, CAST(count(t) AS INT) AS n_publicacoes, coalesce(string_agg(t, ' | ' ORDER BY pos), '') AS publicacoes_textuais FROM target LEFT JOIN (SELECT * FROM t WHERE t <> '') USING (author) GROUP BY author""")
+def labelled_text_profile(spark, d):
+    return _joined(profiles.labelled_profile(_pubs(spark, d), _judged(spark, d)))
+
+
+def _structured(variant):
+    kws = f"array_to_string(list_transform({_items('keywords')}, lambda z: {_clean('z', variant)}), ', ')"
+    return f"{{'titulo': {_clean('title', variant)}, 'keywords': {kws}, 'abstract': {_clean('abstract', variant)}}}"
+
+
+_REPEATED = f"er AS (SELECT rec_id AS pos, title, keywords, abstract, unnest(list_filter(list_transform(authors, lambda z: {_author('z')}), lambda z: z <> '')) AS author FROM filtered_documents)"
+
+
+@query(f"""WITH {_REPEATED}, {_SET}, s AS (SELECT author, pos, {_structured('basic')} AS s FROM er JOIN target USING (author))
+SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY pos) - 1 AS INT) AS place, s.titulo, s.keywords, s.abstract FROM s WHERE s.titulo <> '' OR s.abstract <> ''""")
+def structured_profile(spark, d):
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d))
+    return p.select("author", F.posexplode("publicacoes").alias("place", "s")).select("author", "place", "s.titulo", "s.keywords", "s.abstract")
+
+
+@query(f"""WITH {_AUTHORED}, {_SET}, p AS (SELECT author, id AS doc_id, pos, list_filter([{_clean('title')}] || list_transform(coalesce(keywords, []), lambda z: {_clean('z')}) || [{_clean('abstract')}], lambda z: z <> '') AS pieces
+  FROM ex JOIN target USING (author) WHERE coalesce(id, '') <> '')
+SELECT author, doc_id, array_to_string(arg_max(pieces, pos), ' | ') AS pieces FROM p WHERE len(pieces) > 0 GROUP BY ALL""")
+def field_evidence(spark, d):
+    return _joined(profiles.field_evidence(_pubs(spark, d), _judged(spark, d)))
+
+
+@query(f"WITH {_AUTHORED} SELECT author, count(*) AS publications, count(DISTINCT id) AS works FROM ex GROUP BY author")
+def coauthor_explode(spark, d):
+    return profiles.exploded(_pubs(spark, d).select("id", "authors")).groupBy("author").agg(F.count(F.lit(1)).alias("publications"), F.countDistinct("id").alias("works"))
+
+
+@query(f"WITH {_AUTHORED}, {_SET} SELECT DISTINCT pos AS rec_id, id FROM ex JOIN target USING (author)")
+def author_semi_join(spark, d):
+    return profiles.of_authors(_pubs(spark, d), _judged(spark, d)).select("rec_id", "id")
+
+
+@query(f"WITH {_AUTHORED}, {_SET} SELECT author FROM target WHERE author NOT IN (SELECT author FROM ex)")
+def missing_authors_anti(spark, d):
+    return profiles.missing(_judged(spark, d), _pubs(spark, d))
+
+
+@query(f"""WITH {_AUTHORED}, {_SET}, l AS (SELECT DISTINCT pos, author FROM ex JOIN target USING (author))
+SELECT (SELECT count(*) FROM filtered_documents) AS read, count(DISTINCT pos) AS kept, (SELECT count(*) FROM target) AS wanted, count(DISTINCT author) AS found, (SELECT count(*) FROM target) - count(DISTINCT author) AS missing, count(*) AS links FROM l""")
+def filter_summary(spark, d):
+    return profiles.filter_summary(_pubs(spark, d), _judged(spark, d))
+
+
+@query(f"WITH {_GOLD} SELECT * FROM gold")
+def qrels_gold(spark, d):
+    return judgements.gold(readers.judgement_table(spark, d))
+
+
+@query(f"WITH {_GOLD}, t AS (SELECT author, tag, max(weight) AS weight, arg_min(spelling, ROW(raw, raww)) AS tag_original FROM parsed WHERE tag <> '' AND weight IN (1, 2, 3) AND author <> '' GROUP BY ALL) SELECT * FROM t")
+def qrels_gold_training(spark, d):
+    return judgements.gold(readers.judgement_table(spark, d), training=True)
+
+
+@query(f"WITH {_GOLD} SELECT weight, count(*) AS n FROM parsed GROUP BY weight")
+def qrels_histogram(spark, d):
+    return judgements.histogram(readers.judgement_table(spark, d))
+
+
+_OKQ = f"coalesce(regexp_full_match(weight, '\\s*[+-]?\\d+\\s*') AND {_collapse('tag')} <> '', false)"
+
+
+@query(f"SELECT count(*) FILTER ({_OKQ}) AS valid, count(*) FILTER (NOT {_OKQ}) AS invalid, count(DISTINCT CASE WHEN {_OKQ} THEN {_author('author')} END) AS authors, count(DISTINCT CASE WHEN {_OKQ} THEN {_collapse('tag')} END) AS tags FROM qrels")
+def qrels_statistics(spark, d):
+    return judgements.statistics(readers.judgement_table(spark, d))
+
+
+@query(f"SELECT regexp_replace({_strip('author')}, '(?i)^ID_', '') AS author, min({_strip('author')}) AS key FROM qrels WHERE author IS NOT NULL AND {_author('author')} <> '' GROUP BY 1")
+def author_key_map(spark, d):
+    t = readers.judgement_table(spark, d).withColumn("pos", X.strip(F.col("author")))
+    return judgements.author_keys(t)
+
+
+@query(f"""WITH {_GOLD} SELECT author, string_agg(tag, ' | ' ORDER BY weight DESC, tag) AS target_tags, coalesce(string_agg(tag, ' | ' ORDER BY tag) FILTER (weight = 3), '') AS tags_relevancia_3,
+ coalesce(string_agg(tag, ' | ' ORDER BY tag) FILTER (weight = 2), '') AS tags_relevancia_2, coalesce(string_agg(tag, ' | ' ORDER BY tag) FILTER (weight = 1), '') AS tags_relevancia_1
+FROM (SELECT author, tag, max(weight) AS weight FROM parsed WHERE tag <> '' AND author <> '' AND weight IN (1, 2, 3) GROUP BY ALL) GROUP BY author""")
+def training_targets(spark, d):
+    return _joined(judgements.training_targets(judgements.gold(readers.judgement_table(spark, d), True)).drop("target_tags_info"))
+
+
+@query(f"""WITH {_TFIDF_RANK}, {_GOLD}
+SELECT DISTINCT text FROM (SELECT tag AS text FROM gold UNION ALL SELECT tag FROM tfidf WHERE rank <= 20 UNION ALL SELECT {_clean('title')} FROM filtered_documents) WHERE text <> ''""")
+def vocabulary(spark, d):
+    top = tfidf_rank(spark, d).where("rank <= 20").select("tag")
+    return vectors.vocabulary(qrels_gold(spark, d).select("tag"), top, _pubs(spark, d).select(X.clean_text(F.col("title"))))
+
+
+@query()
+def embed_vocabulary(spark, d):
+    return vectors.embed(vectors.vocabulary(qrels_gold(spark, d).select("tag"), _bag(spark, d).select("ngram")))
+
+
+# vectors, matching and metrics -------------------------------------------------------------------------
+
+
+def _pred(spark, d):
+    e = table(spark, d, "embeddings").where("vec_id % 2 = 0")
+    i = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return e.select(F.col("label").cast("string").alias("author"), i.alias("i"), F.concat(F.lit("p"), "vec_id").alias("tag"), F.col("embedding").alias("vector")).where(F.col("i") < vectors.TOP)
+
+
+def _vgold(spark, d):
+    e = table(spark, d, "embeddings").where("vec_id % 2 = 1")
+    return vectors.gold_order(e.select(F.col("label").cast("string").alias("author"), F.concat(F.lit("g"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("tag"), (1 + F.col("vec_id") % 3).cast("int").alias("weight"), F.col("embedding").alias("vector")))
+
+
+def _pairs(spark, d, theta=None):
+    return vectors.similarities(_pred(spark, d), _vgold(spark, d), ["j", "tag", "weight"], theta)
+
+
+_VEC = """p AS (SELECT CAST(label AS VARCHAR) AS author, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS i, 'p' || vec_id AS tag, embedding AS v FROM embeddings WHERE vec_id % 2 = 0 QUALIFY i < 20),
+g AS (SELECT CAST(label AS VARCHAR) AS author, 'g' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS tag, CAST(1 + vec_id % 3 AS INT) AS weight, embedding AS v,
+  CAST(row_number() OVER (PARTITION BY label ORDER BY 1 + vec_id % 3 DESC, 'g' || lpad(CAST(vec_id AS VARCHAR), 6, '0')) - 1 AS INT) AS j FROM embeddings WHERE vec_id % 2 = 1),
+pr AS (SELECT p.author, i, j, g.tag, weight, list_dot_product(CAST(p.v AS DOUBLE[]), CAST(g.v AS DOUBLE[])) AS sim FROM p JOIN g USING (author))"""
+
+
+def _greedy_sql(theta):
+    return f"""c AS (SELECT author, i, j, sim, weight, row_number() OVER (PARTITION BY author ORDER BY sim DESC, i, j) AS r FROM pr WHERE sim >= {theta} AND sim > 0),
+walk(author, r, pi, gj, hit) AS (
+  SELECT DISTINCT author, CAST(0 AS BIGINT), CAST([] AS INT[]), CAST([] AS INT[]), false FROM c
+  UNION ALL
+  SELECT w.author, c.r, CASE WHEN ok THEN list_append(w.pi, c.i) ELSE w.pi END, CASE WHEN ok THEN list_append(w.gj, c.j) ELSE w.gj END, ok
+  FROM walk w JOIN c ON c.author = w.author AND c.r = w.r + 1, LATERAL (SELECT NOT list_contains(w.pi, c.i) AND NOT list_contains(w.gj, c.j) AS ok)),
+m AS (SELECT c.author, c.i, c.j, c.sim, c.weight FROM walk w JOIN c USING (author, r) WHERE w.hit),
+mw AS (SELECT p.author, p.i + 1 AS rank, coalesce(m.weight, 0) AS weight FROM p LEFT JOIN m USING (author, i))"""
+
+
+_MATCHED = f"WITH RECURSIVE {_VEC}, {_greedy_sql(THETA)}"
+
+
+@query(f"WITH {_VEC} SELECT author, i, j, tag, weight, round(sim, 6) AS sim FROM pr")
+def similarity_pairs(spark, d):
+    return _pairs(spark, d).withColumn("sim", F.round("sim", 6))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def dot_product(spark, d):
+    e = table(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y"))
+    return a.join(b, "a").select("a", "b", F.round(vectors.dot(F.col("x"), F.col("y")), 6).alias("sim"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, 1.0::DOUBLE AS after FROM embeddings")
+def l2_normalize(spark, d):
+    e = table(spark, d, "embeddings").withColumn("u", vectors.normalised(F.transform("embedding", lambda x: x * 3)))
+    n = lambda c: F.sqrt(vectors.dot(F.col(c), F.col(c)))
+    return e.select("vec_id", F.round(n("embedding"), 5).alias("norm"), F.round(n("u"), 5).alias("after"))
+
+
+def _matches(spark, d, theta=THETA):
+    return matching.greedy(_pairs(spark, d, theta), theta)
+
+
+def _matched(spark, d):
+    return matching.ranked_matches(_pred(spark, d), _matches(spark, d), _vgold(spark, d))
+
+
+@query(_MATCHED + " SELECT author, i, j, round(sim, 6) AS sim FROM m")
+def greedy_match(spark, d):
+    return _matches(spark, d).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH RECURSIVE {_VEC}, {_greedy_sql(0.75)} SELECT author, i, j, round(sim, 6) AS sim FROM m")
+def greedy_match_strict(spark, d):
+    return _matches(spark, d, 0.75).withColumn("sim", F.round("sim", 6))
+
+
+@query(_MATCHED + """, best AS (SELECT author, i, tag AS bg, sim AS bs FROM pr QUALIFY row_number() OVER (PARTITION BY author, i ORDER BY sim DESC, j) = 1),
+slots AS (SELECT author, CAST(unnest(range(20)) AS INT) AS i FROM (SELECT DISTINCT author FROM p))
+SELECT 'ID_' || s.author AS Autor, s.i + 1 AS Rank, coalesce(p.tag, '') AS Tag_Predita, CASE WHEN m.j IS NOT NULL THEN g.tag WHEN p.tag IS NOT NULL AND bg IS NOT NULL THEN bg || ' (rej)' ELSE '' END AS Melhor_Match_Gabarito,
+ round(coalesce(m.sim, bs), 3) AS Similaridade, CASE WHEN p.tag IS NOT NULL THEN coalesce(m.weight, 0) END AS Peso, CASE WHEN m.j IS NOT NULL THEN 'match' WHEN p.tag IS NOT NULL THEN 'sem match válido' ELSE '' END AS Match_Status, 'vectors' AS Modelo
+FROM slots s LEFT JOIN p USING (author, i) LEFT JOIN m USING (author, i) LEFT JOIN g ON g.author = m.author AND g.j = m.j LEFT JOIN best b ON b.author = s.author AND b.i = s.i""")
+def match_audit(spark, d):
+    return matching.audit(_pred(spark, d), matching.nearest(_pairs(spark, d)), _matches(spark, d), _vgold(spark, d), "vectors")
+
+
+def _metric_sql(cols):
+    parts, ks = [], (5, 10, 20)
+    for k in ks:
+        parts.append(f"""sum(CASE WHEN rank <= {k} AND weight > 0 THEN (pow(2, weight) - 1) / log2(rank + 1) ELSE 0 END) AS dcg_{k}, sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) AS hit_{k},
+ sum(CASE WHEN rank <= {k} THEN hit * hits / rank ELSE 0 END) AS ap_{k}, CAST(sum(CASE WHEN rank <= {k} AND weight >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS mv_{k}""")
+    own = "own AS (SELECT author, " + ", ".join(parts) + " FROM (SELECT *, sum(hit) OVER (PARTITION BY author ORDER BY rank) AS hits FROM (SELECT *, CAST(weight >= 2 AS INT) AS hit FROM mw)) GROUP BY author)"
+    ideal = "ideal AS (SELECT author, " + ", ".join(f"sum(CASE WHEN r <= {k} AND weight > 0 THEN (pow(2, weight) - 1) / log2(r + 1) ELSE 0 END) AS idcg_{k}" for k in ks) + ", count(*) FILTER (weight >= 2) AS relevant FROM (SELECT author, weight, row_number() OVER (PARTITION BY author ORDER BY weight DESC) AS r FROM g) GROUP BY author)"
+    out = {}
+    for k in ks:
+        out |= {f"ndcg_{k}": f"CASE WHEN idcg_{k} > 0 THEN dcg_{k} / idcg_{k} ELSE 0 END", f"p_{k}": f"hit_{k} / {k}", f"r_{k}": f"CASE WHEN relevant > 0 THEN hit_{k} / relevant ELSE 0 END", f"map_{k}": f"CASE WHEN relevant > 0 THEN ap_{k} / relevant ELSE 0 END", f"mv_{k}": f"mv_{k}"}
+    return f", {own}, {ideal}", [(c, e) for c, e in out.items() if any(c.startswith(x) for x in cols)]
+
+
+def _metric_query(*cols):
+    ctes, sel = _metric_sql(cols)
+    return _MATCHED + ctes + " SELECT author, " + ", ".join(f"round({e}, 6) AS {c}" if not c.startswith("mv") else f"{e} AS {c}" for c, e in sel) + " FROM own JOIN ideal USING (author)"
+
+
+def _rounded(df, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _ranking_metrics(spark, d, *cols):
+    m = metrics.ranking_metrics(_matched(spark, d), _vgold(spark, d))
+    return _rounded(m.select("author", *[c for c in m.columns if any(c.startswith(x) for x in cols)]))
+
+
+@query(_metric_query("ndcg"))
+def ndcg(spark, d):
+    return _ranking_metrics(spark, d, "ndcg")
+
+
+@query(_metric_query("p_", "r_", "mv"))
+def precision_recall(spark, d):
+    return _ranking_metrics(spark, d, "p_", "r_", "mv")
+
+
+@query(_metric_query("map"))
+def map_at_k(spark, d):
+    return _ranking_metrics(spark, d, "map")
+
+
+_DIV = "dv AS (SELECT author, " + ", ".join(f"coalesce(1 - sum(s) FILTER (a < {k} AND b < {k}) / nullif(count(*) FILTER (a < {k} AND b < {k}), 0), 0) AS d_{k}" for k in (10, 20)) + " FROM (SELECT x.author, x.i AS a, y.i AS b, list_dot_product(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) AS s FROM p x JOIN p y ON x.author = y.author AND x.i <> y.i) GROUP BY author)"
+
+
+@query(f"WITH {_VEC}, {_DIV} SELECT author, round(d_10, 5) AS d_10, round(d_20, 5) AS d_20 FROM dv")
+def diversity(spark, d):
+    return _rounded(metrics.diversity(_pred(spark, d)), 5)
+
+
+_m_ctes, _m_sel = _metric_sql(("ndcg", "p_", "r_", "map", "mv"))
+
+
+@query(_MATCHED + _m_ctes + f", {_DIV} SELECT count(*) AS authors, " + ", ".join(f"round(avg({e}), 6) AS {c}" for c, e in _m_sel) + ", round(avg(d_10), 5) AS d_10, round(avg(d_20), 5) AS d_20 FROM own JOIN ideal USING (author) LEFT JOIN dv USING (author)")
+def macro_metrics(spark, d):
+    m = metrics.author_metrics(metrics.ranking_metrics(_matched(spark, d), _vgold(spark, d)), metrics.diversity(_pred(spark, d)))
+    x = metrics.macro(m)
+    return x.select(*[F.round(c, 5 if c.startswith("d_") else 6).alias(c) if c != "authors" else F.col(c) for c in x.columns])
+
+
+def _docs(spark, d):
+    a = X.author_id(F.col("autor_id"))
+    return table(spark, d, "perfis_autores").where("autor_id is not null and pub_id is not null").select(a.alias("author"), F.col("pub_id").alias("doc_id"), "ngramas").where("author <> ''")
+
+
+_DOCS = f"docs AS (SELECT {_author('autor_id')} AS author, pub_id AS doc_id, ngramas FROM perfis_autores WHERE autor_id IS NOT NULL AND pub_id IS NOT NULL AND {_author('autor_id')} <> '')"
+_EXACT = f"""{_TFIDF_RANK}, {_DOCS}, dd AS (SELECT DISTINCT author, doc_id FROM docs), hit AS (SELECT author, doc_id, min(rank) AS fr FROM (SELECT author, doc_id, unnest(ngramas) AS tag FROM docs) JOIN tfidf USING (author, tag) WHERE rank <= 20 GROUP BY ALL)"""
+
+
+def _exact(spark, d):
+    return metrics.covered_exactly(_docs(spark, d), tfidf_rank(spark, d).where("rank <= 20"))
+
+
+@query(f"WITH {_EXACT} SELECT author, round(avg(CASE WHEN fr <= 10 THEN 1.0 ELSE 0.0 END), 6) AS c_10, round(avg(CASE WHEN fr <= 20 THEN 1.0 ELSE 0.0 END), 6) AS c_20 FROM dd LEFT JOIN hit USING (author, doc_id) GROUP BY author")
+def coverage_exact(spark, d):
+    x = _exact(spark, d).groupBy("author")
+    return x.agg(*[F.round(F.avg(F.coalesce((F.col("first_rank") <= k).cast("int"), F.lit(0))), 6).alias(f"c_{k}") for k in (10, 20)])
+
+
+def _field_vectors(spark, d):
+    """Fields of documents as vectors: documents are gold vectors' ids modulo 7, two fields or more each."""
+    return _vgold(spark, d).withColumn("doc_id", F.concat(F.lit("d"), (F.regexp_extract("tag", r"(\d+)", 1).cast("int") % 7).cast("string"))).select("author", "doc_id", "vector")
+
+
+_CSQL = f"""{_VEC}, f AS (SELECT pr.author, 'd' || (CAST(regexp_extract(tag, '(\\d+)', 1) AS INT) % 7) AS doc_id, i, sim FROM pr),
+sc AS (SELECT author, doc_id, max(sim) FILTER (i < 10) AS s10, max(sim) FILTER (i < 20) AS s20 FROM f GROUP BY ALL)"""
+
+
+def _scores(spark, d):
+    fields = _field_vectors(spark, d)
+    exact = fields.select("author", "doc_id").distinct().withColumn("first_rank", F.when(F.col("doc_id") == "d3", 15))
+    return metrics.document_scores(exact, vectors.similarities(_pred(spark, d), fields, ["doc_id"]))
+
+
+_SCORE = "CASE WHEN doc_id = 'd3' AND {k} >= 15 THEN 'Infinity'::DOUBLE ELSE s{k} END"
+
+
+@query(f"WITH {_CSQL} SELECT author, round(avg(CAST({_SCORE.format(k=10)} >= {THETA} AS INT)), 6) AS c_10, round(avg(CAST({_SCORE.format(k=20)} >= {THETA} AS INT)), 6) AS c_20 FROM sc GROUP BY author")
+def coverage_semantic(spark, d):
+    return _rounded(metrics.coverage(_scores(spark, d), THETA))
+
+
+@query(f"""WITH {_CSQL}, o AS (SELECT theta, author, avg(CAST({_SCORE.format(k=10)} >= theta AS INT)) AS c_10, avg(CAST({_SCORE.format(k=20)} >= theta AS INT)) AS c_20 FROM sc, (SELECT CAST(unnest({list(THETAS)}) AS DOUBLE) AS theta) GROUP BY ALL)
+SELECT theta, count(*) AS authors, round(avg(c_10), 6) AS c_10, round(avg(c_20), 6) AS c_20 FROM o GROUP BY theta""")
+def theta_sweep_coverage(spark, d):
+    return _rounded(analysis.sweep_coverage(_scores(spark, d), THETAS))
+
+
+def _sweep_sql():
+    ctes, sel = _metric_sql(("ndcg", "p_", "r_", "map", "mv"))
+    one = []
+    for t in THETAS:
+        one.append(f"SELECT {t}::DOUBLE AS theta, * FROM (WITH RECURSIVE {_VEC}, {_greedy_sql(t)}{ctes} SELECT count(*) AS authors, " + ", ".join(f"round(avg({e}), 6) AS {c}" for c, e in sel) + " FROM own JOIN ideal USING (author))")
+    return " UNION ALL ".join(one)
+
+
+@query(_sweep_sql())
+def theta_sweep_matching(spark, d):
+    return _rounded(analysis.sweep_matching(_pairs(spark, d, min(THETAS)), _pred(spark, d), _vgold(spark, d), THETAS))
+
+
+# systems by area: POP against TF-IDF, the share of gold tags among the first ten ---------------------------
+
+
+def _areas(spark, d):
+    """author, area: the area that most of an author's publications name, by name on ties."""
+    x = profiles.exploded(_pubs(spark, d).select("areas", "authors")).select("author", F.explode("areas").alias("a")).select("author", F.col("a.area").alias("area")).where("area is not null")
+    n = x.groupBy("author", "area").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("author").agg(F.min(F.struct((-F.col("n")).alias("k"), "area")).alias("m")).select("author", "m.area")
+
+
+_AREA = f"ar AS (SELECT author, area FROM (SELECT author, area, count(*) AS n FROM (SELECT author, unnest(areas).area AS area FROM (SELECT areas, unnest(list_distinct(list_filter(list_transform(authors, lambda z: {_author('z')}), lambda z: z <> ''))) AS author FROM filtered_documents)) WHERE area IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC, area) = 1)"
+
+
+def _hits(ranking, k=10):
+    """author, score: the share of an author's first k tags of two words or more."""
+    return ranking.where(F.col("rank") <= k).groupBy("author").agg((F.count_if(F.col("tag").contains(" ")) / k).alias("score"))
+
+
+def _compared(spark, d):
+    return analysis.compare(_hits(pop_rank(spark, d)), _hits(tfidf_rank(spark, d)), _areas(spark, d), "score")
+
+
+_CMP = f"""{_TFIDF_RANK}, popr AS (SELECT author, row_number() OVER (PARTITION BY author ORDER BY freq DESC, ngram) AS rank, ngram AS tag FROM bag), {_AREA},
+ha AS (SELECT author, count(*) FILTER (contains(tag, ' ')) / 10 AS score_a FROM popr WHERE rank <= 10 GROUP BY author), hb AS (SELECT author, count(*) FILTER (contains(tag, ' ')) / 10 AS score_b FROM tfidf WHERE rank <= 10 GROUP BY author),
+cmp AS (SELECT author, area, score_a, score_b, score_a - score_b AS delta, CASE WHEN abs(score_a - score_b) < 0.01 THEN 'tie' WHEN score_a > score_b THEN 'win' ELSE 'loss' END AS outcome FROM ha JOIN hb USING (author) JOIN ar USING (author))"""
+
+
+@query(f"WITH {_CMP} SELECT area, count(*) AS authors, round(avg(score_a), 6) AS mean_a, round(avg(score_b), 6) AS mean_b, round(avg(score_a) - avg(score_b), 6) AS delta, CASE WHEN avg(score_a) - avg(score_b) > 0 THEN 'pop' ELSE 'tfidf' END AS winner FROM cmp GROUP BY area")
+def delta_by_area(spark, d):
+    return _rounded(analysis.by_area(_compared(spark, d), "score", ("pop", "tfidf")))
+
+
+@query(f"""WITH {_CMP}, c AS (SELECT area, count(*) FILTER (outcome = 'win') AS win, count(*) FILTER (outcome = 'tie') AS tie, count(*) FILTER (outcome = 'loss') AS loss, count(*) AS total FROM cmp GROUP BY area)
+SELECT *, round(100 * win / total, 6) AS win_pct, round(100 * tie / total, 6) AS tie_pct, round(100 * loss / total, 6) AS loss_pct FROM c""")
+def win_tie_loss_pivot(spark, d):
+    return _rounded(analysis.outcomes(_compared(spark, d)))
+
+
+@query(f"WITH {_AREA} SELECT area, count(DISTINCT author) AS authors FROM ar GROUP BY area ORDER BY authors DESC, area LIMIT 10")
+def top_areas(spark, d):
+    return analysis.top_areas(_areas(spark, d), 10)
+
+
+@query(f"WITH {_CMP} SELECT area, count(DISTINCT author) AS authors FROM cmp GROUP BY area ORDER BY authors DESC, area LIMIT 10")
+def top_areas_joined(spark, d):
+    return analysis.top_areas(_compared(spark, d).select("author", "area"), 10)
+
+
+@query(f"WITH {_AREA} SELECT area, count(DISTINCT author) AS authors FROM ar GROUP BY area HAVING count(DISTINCT author) >= 10")
+def areas_min10(spark, d):
+    return analysis.areas_of_at_least(_areas(spark, d), 10)
+
+
+@query(f"""WITH {_AUTHORED}, c AS (SELECT author, count(*) AS n FROM ex GROUP BY author)
+SELECT count(n) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS sd, min(n) AS least, {", ".join(f"round(quantile_cont(n, 0.{p}), 6) AS p{p}" for p in (25, 50, 75, 90, 95))}, max(n) AS greatest FROM c""")
+def publication_distribution(spark, d):
+    n = profiles.exploded(_pubs(spark, d).select("authors")).groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(analysis.distribution(n, "n"))
+
+
+@query("""WITH a AS (SELECT pub_year, unnest(areas).general_area AS area FROM filtered_documents)
+SELECT area, min(pub_year) AS first_year, max(pub_year) AS last_year, count(pub_year) AS with_year, count(*) FILTER (pub_year IS NULL) AS without_year, max(pub_year) - min(pub_year) + 1 AS span FROM a WHERE area IS NOT NULL GROUP BY area""")
+def period_by_area(spark, d):
+    rows = _pubs(spark, d).select("pub_year", F.explode("areas").alias("a")).select("pub_year", F.col("a.general_area").alias("area")).where("area is not null")
+    return analysis.period(rows, "area", "pub_year")
+
+
+@query(f"""WITH {_CMP}, m AS (SELECT area, round(avg(score_a), 6) AS pop, round(avg(score_b), 6) AS tfidf, round(avg(greatest(score_a, score_b)), 6) * 0.9 AS mixed FROM cmp GROUP BY area)
+SELECT area, CASE WHEN pop = greatest(pop, tfidf, mixed) THEN 'pop' WHEN tfidf = greatest(pop, tfidf, mixed) THEN 'tfidf' ELSE 'mixed' END AS best, round(greatest(pop, tfidf, mixed), 6) AS value FROM m""")
+def best_system(spark, d):
+    m = _compared(spark, d).groupBy("area").agg(F.round(F.avg("score_a"), 6).alias("pop"), F.round(F.avg("score_b"), 6).alias("tfidf"), (F.round(F.avg(F.greatest("score_a", "score_b")), 6) * 0.9).alias("mixed"))
+    return _rounded(analysis.best_system(m, ["pop", "tfidf", "mixed"]))
+
+
+@query(f"""WITH {_AUTHORED}, e AS (SELECT author, pos, f.pub_year FROM ex JOIN filtered_documents f ON f.rec_id = pos)
+SELECT author, pos, CAST(row_number() OVER (PARTITION BY author ORDER BY pub_year DESC NULLS LAST, pos) AS INT) AS recency FROM e QUALIFY recency <= 30""")
+def recency_topn(spark, d):
+    x = profiles.exploded(_pubs(spark, d).select("pos", "pub_year", "authors"))
+    r = F.row_number().over(Window.partitionBy("author").orderBy(F.desc_nulls_last("pub_year"), "pos"))
+    return x.select("author", "pos", r.alias("recency")).where("recency <= 30")
+
+
+@query(f"""WITH t AS (SELECT doc_kind, author_id, doc_id FROM documents WHERE length({_strip("coalesce(text, '')")}) > 0 AND author_id IS NOT NULL)
+SELECT author_id, doc_kind || '_' || lpad(CAST(row_number() OVER (PARTITION BY author_id, doc_kind ORDER BY doc_id) - 1 AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY author_id, doc_kind ORDER BY doc_id) - 1 AS VARCHAR))) AS INT), '0') AS unit, doc_id FROM t""")
+def unit_numbering(spark, d):
+    t = table(spark, d, "documents").where("author_id is not null").where(F.length(X.clean_field(F.col("text"))) > 0)
+    n = (F.row_number().over(Window.partitionBy("author_id", "doc_kind").orderBy("doc_id")) - 1).cast("string")
+    return t.select("author_id", F.concat("doc_kind", F.lit("_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("unit"), "doc_id")
+
+
+@query(f"""WITH p AS (SELECT rec, author, i, {_clean('x.titulo', 'extended')} AS t, {_clean("array_to_string(x.keywords, ', ')", 'extended')} AS k, {_clean('x.abstract', 'extended')} AS a FROM (SELECT row_number() OVER () AS rec, author_id AS author, unnest(publicacoes) AS x, generate_subscripts(publicacoes, 1) AS i FROM dataset_treino_1001_autores) WHERE i <= 50)
+SELECT author, string_agg('PUBLICAÇÃO ' || i || CASE WHEN t <> '' THEN chr(10) || 'Título: ' || t ELSE '' END || CASE WHEN k <> '' THEN chr(10) || 'Palavras-chave: ' || k ELSE '' END || CASE WHEN a <> '' THEN chr(10) || 'Resumo: ' || a ELSE '' END, chr(10) || chr(10) ORDER BY i) AS profile FROM p GROUP BY rec, author""")
+def profile_text_blocks(spark, d):
+    t = table(spark, d, "dataset_treino_1001_autores").where(F.size("publicacoes") > 0)
+    pubs = F.transform("publicacoes", lambda x: F.struct(X.clean_text(x["titulo"], "extended").alias("titulo"), X.clean_text(F.array_join(x["keywords"], ", "), "extended").alias("keywords"), X.clean_text(x["abstract"], "extended").alias("abstract")))
+    return t.select(F.col("author_id").alias("author"), X.profile_text(pubs).alias("profile"))
+
+
+@query(f"""WITH {_REPEATED}, {_SET}, s AS (SELECT author, pos, {_structured('basic')} AS s FROM er JOIN target USING (author)),
+n AS (SELECT author, s, row_number() OVER (PARTITION BY author ORDER BY pos) AS r FROM s WHERE s.titulo <> '' OR s.abstract <> '')
+SELECT author, 4 AS messages, CAST(least(count(*), 50) AS INT) AS used FROM n GROUP BY author""")
+def chat_messages(spark, d):
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d))
+    return p.select("author", F.size(generate.chat_messages(F.col("publicacoes"))).alias("messages"), F.least(F.size("publicacoes"), F.lit(50)).alias("used"))
+
+
+@query()
+def generate_tags(spark, d):
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d))
+    prompts = p.select("author", generate.chat_prompt(generate.chat_messages(F.col("publicacoes"))).alias("prompt"))
+    return generate.generate(prompts).select("author", "tags", "error")
+
+
+@query()
+def parse_tags(spark, d):
+    return table(spark, d, "documents").where("doc_kind = 'prompt'").select("doc_id", parse_responses(F.col("text")).alias("tags"))
+
+
+def _filled(c, array=False):
+    return f"count(*) FILTER ({c} IS NOT NULL AND {'len(' + c + ') > 0' if array else 'CAST(' + c + " AS VARCHAR) <> ''"})"
+
+
+_FIELDS = {"id": False, "title": False, "abstract": False, "keywords": True, "authors": True, "pub_year": False, "issn": False, "doi": False, "areas": True}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, {_filled(c, a)} AS n, round(100 * {_filled(c, a)} / count(*), 6) AS percent FROM filtered_documents" for c, a in _FIELDS.items()))
+def field_frequency(spark, d):
+    return profiles.field_frequency(_pubs(spark, d), list(_FIELDS))
+
+
+@query()
+def split_70_15_15(spark, d):
+    a = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author")).where("author <> ''").distinct()
+    return dataset.random_split(a)
+
+
+@query()
+def split_by_hash(spark, d):
+    a = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author")).where("author <> ''").distinct()
+    return dataset.hash_split(a)
+
+
+@query(f"""WITH {_REPEATED}, {_GOLD}, t AS (SELECT author, tag, max(weight) AS weight FROM parsed WHERE tag <> '' AND author <> '' AND weight IN (1, 2, 3) GROUP BY ALL),
+s AS (SELECT author, pos, {_structured('extended')} AS s FROM er), n AS (SELECT author, least(count(*), 50) AS n_publicacoes_usadas FROM s WHERE s.titulo <> '' OR s.abstract <> '' OR s.keywords <> '' GROUP BY author)
+SELECT author, CAST(n_publicacoes_usadas AS INT) AS n_publicacoes_usadas, string_agg(tag, ' | ' ORDER BY weight DESC, tag) AS target_tags FROM n JOIN t USING (author) GROUP BY ALL""")
+def supervised_records(spark, d):
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), "extended", keep_keyword_only=True)
+    return _joined(dataset.supervised(p, judgements.gold(readers.judgement_table(spark, d), True)).select("author", "n_publicacoes_usadas", "target_tags"))
+
+
+@query("""WITH p AS (SELECT event_type AS run, event_id AS step, value FROM events WHERE event_id % 5 = 0), a AS (SELECT event_type AS run, event_id AS step FROM events WHERE event_id % 7 = 3)
+SELECT a.run, a.step, p.value FROM a ASOF LEFT JOIN p ON a.run = p.run AND a.step >= p.step""")
+def loss_asof(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
+    return analysis.last_known(e.where("step % 5 = 0"), e.where("step % 7 = 3").select("run", "step"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return incremental.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+@query()
+def curriculum_profile(spark, d):
+    return curriculum.profile(_curricula(spark, d))
+
+
+@query()
+def curriculum_units(spark, d):
+    return curriculum.units(curriculum.profile(_curricula(spark, d)))
+
+
+def _curricula(spark, d):
+    """Curricula made of the publications of each author of the supervised set: the tables have no XML."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(X.clean_text(c), "&", "&amp;"), "<", "&lt;"), '"', "&quot;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    one = F.transform("publicacoes", lambda p, i: F.concat(F.lit('<ARTIGO-PUBLICADO SEQUENCIA-PRODUCAO="1"><DADOS-BASICOS-DO-ARTIGO NATUREZA="COMPLETO" TITULO-DO-ARTIGO="'), esc(p["titulo"]), F.lit('" ANO-DO-ARTIGO="'), (F.lit(1990) + i % 30).cast("string"), F.lit('"/></ARTIGO-PUBLICADO>')))
+    xml = F.concat(F.lit("<CURRICULO-VITAE><PRODUCAO-BIBLIOGRAFICA><ARTIGOS-PUBLICADOS>"), F.array_join(one, ""), F.lit("</ARTIGOS-PUBLICADOS></PRODUCAO-BIBLIOGRAFICA></CURRICULO-VITAE>"))
+    return table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author"), xml.alias("content"))
