@@ -122,7 +122,7 @@ def pack(sizes: DataFrame, capacity: int = 2048, places: int = OPEN) -> DataFram
     if capacity < 1 or places < 1:
         raise ValueError("capacity and places must be positive")
     held = cut(sizes.select("doc_id", "n_tokens").mapInArrow(_first(capacity, places), _ROW))
-    done, rest, n, level = held.where("closed"), held.where("not closed"), held.rdd.getNumPartitions(), 0
+    done, rest, n, level = held.where("closed"), held.where("not closed"), max(1, held.rdd.getNumPartitions()), 0
     while True:
         n, level = -(-n // FAN_IN), level + 1
         merged = rest.repartition(n, F.xxhash64("container")).sortWithinPartitions(F.desc("used"), "container").mapInArrow(_merge(capacity, places, level, n == 1), _ROW)

@@ -56,6 +56,8 @@ def _join(enc, left: list[int], right: list[int]) -> list[int]:
 
 def encode_piece(enc, piece: bytes) -> list[int]:
     """One unsplit piece; long ones by halves, level by level, the leaves in parallel."""
+    if not piece:
+        return []
     if len(piece) <= LEAF:
         return enc._encode_single_piece(piece)
     n = 1 << ((len(piece) - 1) // LEAF).bit_length()
