@@ -13,7 +13,7 @@ is not expanded. Its classes go to an exact way instead: prefix filtering, by wh
 reach the threshold if they share one of their rarest words. Every candidate is verified on whole texts.
 
 At similarity s a pair is met with probability 1 - (1 - s**ROWS)**BANDS times that of passing the screen:
-0.995 at 0.75, over 0.9999 from 0.8. Null fields count as empty; records under `least` words have no
+0.99 at 0.75, over 0.9997 from 0.8. Null fields count as empty; records under `least` words have no
 partner; repeated rows pair as other rows do; an empty table gives no rows.
 """
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from quillspark.session import cut
 
-COORDINATES, ROWS, BANDS, SIGNATURE = 512, 8, 52, 64
+COORDINATES, ROWS, BANDS, SIGNATURE = 512, 8, 48, 128
 BUCKET = 256
-SCREEN = 18  # of SIGNATURE bits that may differ
+SCREEN = 30  # of SIGNATURE bits that may differ
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -113,18 +113,18 @@ def _bands(least):
             for k in range(ROWS):
                 key = _mix(key * U(31) + s[:, k : BANDS * ROWS : ROWS])
             key = (key >> U(24)) | (np.arange(BANDS, dtype=np.uint64) << U(40))
-            sig = np.packbits((s[:, COORDINATES - SIGNATURE :] & U(1)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
+            sig = np.packbits((s[:, COORDINATES - SIGNATURE :] & U(1)).astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(cls, BANDS)), pa.array(np.repeat(sig, BANDS)), pa.array(np.repeat(sizes, BANDS).astype(np.int32))], names=["key", "cls", "sig", "n"]
+                [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(cls, BANDS)), pa.array(np.repeat(sizes, BANDS).astype(np.int32)), *(pa.array(np.repeat(sig[:, k], BANDS)) for k in (0, 1))], names=["key", "cls", "n", "sig", "sig2"]
             )
 
     return run
 
 
 def _pairs(threshold):
-    """Candidates of sorted rows (key, cls, sig, n); hot buckets give their classes as a = b."""
+    """Candidates of sorted rows (key, cls, n, sig, sig2); hot buckets give their classes as a = b."""
 
-    def within(cls, sig, n, starts, lengths):
+    def within(cls, n, sig, sig2, starts, lengths):
         for size in np.unique(lengths):
             if size < 2:
                 continue
@@ -135,7 +135,7 @@ def _pairs(threshold):
                 x, y = (b + i).ravel(), (b + j).ravel()
                 near = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
                 x, y = x[near], y[near]
-                near = np.bitwise_count((sig[x] ^ sig[y]).view(np.uint64)) <= SCREEN
+                near = np.bitwise_count((sig[x] ^ sig[y]).view(np.uint64)) + np.bitwise_count((sig2[x] ^ sig2[y]).view(np.uint64)) <= SCREEN
                 yield np.minimum(cls[x[near]], cls[y[near]]), np.maximum(cls[x[near]], cls[y[near]])
 
     def run(batches):
@@ -147,29 +147,29 @@ def _pairs(threshold):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        def work(key, cls, sig, n, last):
+        def work(key, cls, n, sig, sig2, last):
             """All buckets but the last, which may go on; (the rest, the batches)."""
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls, sig, n = key[fresh], cls[fresh], sig[fresh], n[fresh]
+            key, cls, n, sig, sig2 = key[fresh], cls[fresh], n[fresh], sig[fresh], sig2[fresh]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             lengths = np.diff(np.append(starts, len(key)))
             rest = None
             if not last:
                 s = starts[-1]
-                rest = (key[s:], cls[s:], sig[s:], n[s:])
+                rest = (key[s:], cls[s:], n[s:], sig[s:], sig2[s:])
                 starts, lengths = starts[:-1], lengths[:-1]
             parts = []
             big = lengths > BUCKET
             for s, m in zip(starts[big], lengths[big]):
                 parts.append((cls[s : s + m], cls[s : s + m]))
-            parts += within(cls, sig, n, starts[~big], lengths[~big])
+            parts += within(cls, n, sig, sig2, starts[~big], lengths[~big])
             return rest, parts
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy() for k in range(4)]
+            cols = [batch.column(k).to_numpy() for k in range(5)]
             if hot_key is not None:  # inside a bucket already known as hot
                 same = cols[0] == hot_key
                 if same.any():
@@ -232,14 +232,14 @@ def _exact_candidates(hot: DataFrame, texts: DataFrame, members: DataFrame, thre
 
 def _verify(threshold, least):
     def run(batches):
-        last, left = None, None
+        last, right = None, None
         for batch in batches:
             keep, sims = [], []
             cols = [batch.column(k).to_pylist() for k in range(2, 6)]
             for i, (ta, aa, tb, ab) in enumerate(zip(*cols)):
-                if last != (ta, aa):
-                    last, left = (ta, aa), words(ta, aa)
-                right = words(tb, ab)
+                if last != (tb, ab):  # rows come sorted by the second record
+                    last, right = (tb, ab), words(tb, ab)
+                left = words(ta, aa)
                 both = len(left & right)
                 of = len(left) + len(right) - both
                 if min(len(left), len(right)) >= least and both >= threshold * of and left != right:
@@ -255,7 +255,7 @@ def _work(records: DataFrame, threshold: float, least: int):
     """members(rec_id, id, c1, c2) and verified links(rep_a, rep_b, similarity), rep: least rec_id of a class."""
     texts = records.select("rec_id", "title", "abstract")
     members = cut(records.select("rec_id", "title", "abstract", "id").mapInArrow(_members(least), "rec_id long, id string, c1 long, c2 long"))
-    bands = texts.mapInArrow(_bands(least), "key long, cls long, sig long, n int")
+    bands = texts.mapInArrow(_bands(least), "key long, cls long, n int, sig long, sig2 long")
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(bands.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_pairs(threshold), "a long, b long").distinct())
     pairs = found.where("a <> b")
