@@ -8,7 +8,7 @@ the last `overlap` tokens. Boundaries of a level in the first eighth of the reac
 next level, or a heading would stand alone.
 
 Sizes are exact: a slice of an encoding at token boundaries is the encoding of that slice, but for white
-space at its end; every piece is encoded once more, and where it is larger than counted its end moves back.
+space at its ends, which is encoded anew; where a piece is larger than counted its end moves back.
 
 Pieces cover the text: each begins where or before the last one ended. Texts within the limit, null and
 empty ones give no rows. Repeated ids are cut each on their own.
@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.tokenizing import BYTE_BPE_50K, VOCABULARIES, encode_text, encoding
+from quillspark.llm.tokenizing import BYTE_BPE_50K, VOCABULARIES, encode_text, encoding, token_lengths
 
 CHARACTER, WORD, SENTENCE, PARAGRAPH, SECTION = range(5)
-_WORD = re.compile(r"\s+(?=\S)|(?<=\S)(?=\s)")
 _SENTENCE = re.compile(r"(?<=[.!?;:…])(?:[\"'”’»)\]]*)\s+|\n|(?<=[。！？])")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*|\n(?=(?:[-*+•] |\d{1,3}[.)] |\|))")
 _SECTION = re.compile(r"\n+(?=#{1,6} |={2,6} ?\S|\\(?:sub)*section|[A-ZÀ-Ý][^\n.!?]{0,60}\n[ \t]*\n)|\n[-=*_]{3,}\n+")
@@ -36,29 +35,56 @@ NAMES = ("character", "word", "sentence", "paragraph", "section", "end")
 def _levels(text: str) -> np.ndarray:
     """For each character offset the strongest boundary before it."""
     level = np.zeros(len(text) + 1, np.int8)
-    for kind, pattern in ((WORD, _WORD), (SENTENCE, _SENTENCE), (PARAGRAPH, _PARAGRAPH), (SECTION, _SECTION)):
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    space = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 0x85) | (code == 0xA0) | ((code >= 0x2000) & (code <= 0x200A)) | (code == 0x2028) | (code == 0x2029) | (code == 0x3000)
+    # a word goes with the space before it, as its token does: both sides of a run of spaces are boundaries
+    level[1:-1][space[1:] != space[:-1]] = WORD
+    for kind, pattern in ((SENTENCE, _SENTENCE), (PARAGRAPH, _PARAGRAPH), (SECTION, _SECTION)):
         for m in pattern.finditer(text):
-            # a word goes with the space before it, as its token does; other boundaries stand after the break
-            at = m.start() if kind == WORD else m.end()
-            level[at] = max(level[at], kind)
-            if kind == SENTENCE and m.end() > m.start() and text[m.end() - 1] == " ":
-                level[m.end() - 1] = max(level[m.end() - 1], kind)
+            at = m.end()
+            level[at] = kind
+            if kind == SENTENCE and at > m.start() and text[at - 1] == " ":
+                level[at - 1] = kind
     return level
 
 
+class _Sizes:
+    """Token counts of slices of an encoded text at token boundaries.
+
+    A slice has the tokens it had, but for a run of white space cut off at its end, which is one piece then,
+    and for one that it begins inside of."""
+
+    def __init__(self, enc, text: str, char: np.ndarray):
+        self.enc, self.text, self.char = enc, text, char
+
+    def __call__(self, s: int, e: int) -> int:
+        a, b = int(self.char[s]), int(self.char[e])
+        if a and self.text[a].isspace() and self.text[a - 1].isspace():
+            return len(encode_text(self.enc, self.text[a:b]))
+        if b == len(self.text):
+            return e - s
+        run = a + len(self.text[a:b].rstrip())
+        if run == b:
+            return e - s
+        k = int(np.searchsorted(self.char, run))
+        if run == a or self.char[k] != run or any("\x1c" <= c <= "\x1f" for c in self.text[run:b]):
+            return len(encode_text(self.enc, self.text[a:b]))
+        return k - s + len(encode_text(self.enc, self.text[run:b]))
+
+
 def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """(start, end, tokens, level of the end) of each piece, in characters."""
     ids = encode_text(enc, text)
     if len(ids) <= limit:
         return []
-    width = np.array([len(enc.decode_single_token_bytes(i)) for i in ids], np.int64)
+    width = token_lengths(enc)[np.array(ids)]
     ends = np.concatenate([[0], np.cumsum(width)])  # byte offset before each token
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     first = np.flatnonzero((raw & 0xC0) != 0x80)  # byte offset of each character
     char = np.searchsorted(first, ends)  # character offset, right where a token ends a character
     whole = np.append(first, len(raw))[np.minimum(char, len(first))] == ends
     level = np.where(whole, _levels(text)[np.minimum(char, len(text))], -1)
-    out, s, n, last = [], 0, len(ids), 0
+    out, s, n, last, sizes = [], 0, len(ids), 0, _Sizes(enc, text, char)
     while True:
         e, kind = min(n, s + limit), 5
         if e < n:
@@ -69,14 +95,14 @@ def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int,
                     e = near + int(hit[-1])
                     break
         a, b = int(char[s]), int(char[e])
-        size = len(encode_text(enc, text[a:b]))
+        size = sizes(s, e)
         while size > limit and e > last + 1:
             back = np.flatnonzero(level[last + 1 : e] >= (WORD if e - s > limit // 2 else CHARACTER))
             if not len(back):
                 break
             e, kind = last + 1 + int(back[-1]), WORD
             b = int(char[e])
-            size = len(encode_text(enc, text[a:b]))
+            size = sizes(s, e)
         out.append((a, b, size, NAMES[kind]))
         if e >= n:
             return out

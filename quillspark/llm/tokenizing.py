@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -27,7 +26,7 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 LEAF = 1 << 11
-_LONG = re.compile(r"\S{%d}|\s{%d}" % (LEAF // 4, LEAF // 4))
+_RUN = LEAF // 4  # characters: a run under it has at most LEAF bytes
 _READY: dict = {}
 
 
@@ -69,10 +68,27 @@ def encode_piece(enc, piece: bytes) -> list[int]:
     return parts[0]
 
 
+def _has_long_run(text: str) -> bool:
+    """Whether a run of white space or of other characters may be a long piece."""
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) >= _RUN or len(text) - sum(sizes) - len(sizes) >= _RUN - 1
+
+
+def token_lengths(enc) -> np.ndarray:
+    """Bytes of each token, by id."""
+    key = ("lengths", id(enc))
+    if key not in _READY:
+        out = np.zeros(enc.n_vocab + 1, np.int64)
+        for raw, i in enc._mergeable_ranks.items():
+            out[i] = len(raw)
+        _READY[key] = out
+    return _READY[key]
+
+
 def encode_text(enc, text: str | None) -> list[int]:
     if not text:
         return []
-    if len(text) <= LEAF // 4 or not _LONG.search(text):
+    if len(text) < _RUN or not _has_long_run(text):
         return enc.encode_ordinary(text)
     import regex
 
