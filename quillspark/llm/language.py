@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("pt", "en", "es", "fr")
 #: Bounds of the sample that is fitted: rows drawn, segments used, landmarks, n-gram places.
-MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 2500, 8000, 384, 1 << 15
-RIDGE, MIN_WORDS, MIN_TITLE_WORDS, MIN_MARGIN, LONGEST = 1e-3, 5, 4, 0.12, 5
+MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 2500, 12000, 384, 1 << 15
+RIDGE, MIN_WORDS, MIN_TITLE_WORDS, MIN_MARGIN, LONGEST = 1e-5, 5, 4, 0.12, 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TAG = re.compile(r"<[^<>]{0,200}>|&#?\w{1,10};|\{\{[^{}]*\}\}|```.*?```|https?://\S+|\\(?:cite|label|begin|end)\{[^{}]*\}", re.S)
 _ACCENT = re.compile(r"\\['`^~\"c]\s*\{?\\?([A-Za-z])\}?")
@@ -179,7 +179,7 @@ def learn(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np
     rows = records.select("rec_id", "title", "abstract").join(F.broadcast(drawn), "rec_id").orderBy(F.xxhash64("rec_id")).limit(2 * max_rows).select("title", "abstract", "lang").collect()
     sample = []
     for title, abstract, lang in rows:
-        sample += [(s, lang) for t in (title, abstract) if t for s in segments(t)[:6]]
+        sample += [(s, lang) for t in (title, abstract) if t for s in segments(t)[:8]]
     return fit(sample)
 
 
