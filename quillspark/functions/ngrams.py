@@ -1,4 +1,4 @@
-"""Tokens, n-gram windows and the part-of-speech rule, as array expressions.
+"""Tokens, n-gram windows and the part-of-speech rule.
 
 The tagger is a plug: a Column -> Column function from an array of tokens to an array of tags. The default
 looks function words up in a small lexicon; everything else is a noun, which keeps the rule deterministic.
@@ -6,7 +6,7 @@ looks function words up in a small lexicon; everything else is a noun, which kee
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tag classes of the n-gram rule.
@@ -38,25 +38,34 @@ def lexicon_tagger(toks: Column) -> Column:
     return F.transform(toks, tag)
 
 
-def well_formed(tags: Column) -> Column:
-    """No border tag first or last, not only functional tags, a noun or adjective somewhere, no noun-ADP-verb."""
-    first, last = F.element_at(tags, 1), F.element_at(tags, -1)
-    bad = (F.size(tags) == 3) & first.isin("NOUN", "PROPN") & (F.element_at(F.concat(tags, F.array(F.lit(""), F.lit(""))), 2) == "ADP") & (last == "VERB")
-    return ~first.isin(*BORDER) & ~last.isin(*BORDER) & F.exists(tags, lambda t: ~t.isin(*FUNCTIONAL)) & F.exists(tags, lambda t: t.isin(*CONTENT)) & ~bad
+def well_formed(tags: Column, start: Column | int = 1, n: Column | None = None) -> Column:
+    """No border tag first or last, not only functional tags, a noun or adjective somewhere, no noun-ADP-verb.
 
+    tags[start, start + n) is judged, of 1 to 3 tags. Scalar tests only, so the rule stays in generated code."""
+    start = F.lit(start) if isinstance(start, int) else start
+    n = F.size(tags) if n is None else n
+    first, last = F.get(tags, start - 1), F.get(tags, start + n - 2)
+    mid = F.when(n == 3, F.get(tags, start)).otherwise(first)
+    any_of = lambda test: test(first) | test(mid) | test(last)
+    bad = (n == 3) & first.isin("NOUN", "PROPN") & (mid == "ADP") & (last == "VERB")
+    return ~first.isin(*BORDER) & ~last.isin(*BORDER) & any_of(lambda t: ~t.isin(*FUNCTIONAL)) & any_of(lambda t: t.isin(*CONTENT)) & ~bad
 
-def windows(toks: Column, longest: int = 3) -> Column:
-    """struct(n, start, words) of every window of 1 to longest tokens, ordered by n, then start."""
-    def of(n):
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), F.slice(toks, s, F.lit(n)).alias("words")))
 
-    return F.flatten(F.array(*[of(n) for n in range(1, longest + 1)]))
+def windows(rows: DataFrame, toks: str = "toks", longest: int = 3) -> DataFrame:
+    """A row for each window of 1 to longest tokens: n, start and words are added to the columns of rows.
 
+    toks must be a column, not an expression: it would be evaluated for every window."""
+    sized = rows.where(F.size(toks) > 0).select("*", F.explode(F.sequence(F.lit(1), F.size(toks))).alias("start"))
+    each = sized.select("*", F.explode(F.array(*[F.lit(n) for n in range(1, longest + 1)])).alias("n")).where(F.col("start") + F.col("n") - 1 <= F.size(toks))
+    return each.withColumn("ngram", F.array_join(F.slice(toks, F.col("start"), F.col("n")), " "))
 
-def ngrams(toks: Column, longest: int = 3, tagger=None) -> Column:
-    """The joined words of each window, those of ill-formed tags left out where a tagger is given."""
-    wins = windows(toks, longest)
-    if tagger is not None:
-        wins = F.filter(wins, lambda w: well_formed(tagger(w["words"])))
-    return F.transform(wins, lambda w: F.array_join(w["words"], " "))
+
+def ngram_arrays(tokens_and_tags: Column, longest: int = 3) -> Column:
+    """array<struct<toks, tags>> of sentences -> all n-grams in order of sentence, n and start; where tags is
+    null every window counts."""
+    def of(x, n):
+        starts = F.when(F.size(x["toks"]) >= n, F.sequence(F.lit(1), F.size(x["toks"]) - n + 1)).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(starts, lambda s: x["tags"].isNull() | well_formed(x["tags"], s, F.lit(n)))
+        return F.transform(kept, lambda s: F.array_join(F.slice(x["toks"], s, F.lit(n)), " "))
+
+    return F.flatten(F.transform(tokens_and_tags, lambda x: F.flatten(F.array(*[of(x, n) for n in range(1, longest + 1)]))))

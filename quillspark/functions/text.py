@@ -1,7 +1,7 @@
 """Scalar text functions as Column expressions; all stay in the JVM.
 
-Java's \\s and \\b are ASCII by default, so patterns with them start with (?U); word characters are written
-out as \\p{L}\\p{N}_, letters and all numbers.
+Java's \\s is ASCII by default, so patterns with it start with (?U). Word characters are written out as
+\\p{L}\\p{N}_, letters and all numbers, at word ends too: Java's own word end knows no superscript digits.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ KEEP = {
     "basic": r"""(?U)[^\p{L}\p{N}_\s.,;:!?()\-'"áéíóúâêîôûãõàèìòùçÁÉÍÓÚÂÊÎÔÛÃÕÀÈÌÒÙÇñÑüÜ]""",
     "extended": r"""(?U)[^\p{L}\p{N}_\sÀ-ÖØ-öø-ÿ.,;:!?()\-/'"&+%#@=]""",
 }
-ROMAN = r"(?Ui)\b(?=[mcdlxvi])m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\b"
+ROMAN = r"(?i)(?<![\p{L}\p{N}_])(?=[mcdlxvi])m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})(?![\p{L}\p{N}_])"
 SENTENCE_END = r"(?U)[.!?;\n]+|,\s+"
 
 

@@ -6,11 +6,11 @@ Semi-joins are left to Catalyst, which broadcasts the author set only under its
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.ngrams import lexicon_tagger, ngrams, tokens
+from quillspark.functions.ngrams import lexicon_tagger, ngram_arrays, tokens, well_formed, windows
 
 
 def _authors(c: str | Column = "authors") -> Column:
@@ -53,11 +53,24 @@ def _in_order(value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"])
 
 
-def text_profile(publications: DataFrame, authors: DataFrame) -> DataFrame:
-    """author, profile: the author's publications joined by comma and space, empty ones left out."""
+def first_of_author(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first `most` rows of each author by pos. Spark limits the window's groups before the shuffle too,
+    so of an author with a third of all rows only few travel."""
+    if most is None:
+        return rows
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("author").orderBy("pos"))).where(F.col("_n") <= most).drop("_n")
+
+
+def text_profile(publications: DataFrame, authors: DataFrame, chunk: int | None = None) -> DataFrame:
+    """author, profile: the author's publications joined by comma and space, empty ones left out.
+
+    One row an author holds all the author's text. With chunk the profile comes in parts (author, part,
+    profile) of the publications of `chunk` consecutive values of pos: parts in order are the profile, and no
+    author is gathered in one place."""
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
     rows = coauthored(publications.withColumn("t", text).where("t <> ''").select("pos", "authors", "t"), authors)
-    return rows.groupBy("author").agg(F.array_join(_in_order(F.col("t")), ", ").alias("profile"))
+    key = ["author"] if chunk is None else ["author", F.floor(F.col("pos") / chunk).alias("part")]
+    return rows.groupBy(*key).agg(F.array_join(_in_order(F.col("t")), ", ").alias("profile"))
 
 
 def labelled_profile(publications: DataFrame, authors: DataFrame) -> DataFrame:
@@ -69,15 +82,16 @@ def labelled_profile(publications: DataFrame, authors: DataFrame) -> DataFrame:
     return authors.select("author").distinct().join(held, "author", "left").select("author", F.size(texts).alias("n_publicacoes"), texts.alias("publicacoes_textuais"))
 
 
-def structured_profile(publications: DataFrame, authors: DataFrame, variant: str = "basic", keep_keyword_only: bool = False, distinct: bool = False) -> DataFrame:
+def structured_profile(publications: DataFrame, authors: DataFrame, variant: str = "basic", keep_keyword_only: bool = False, distinct: bool = False, most: int | None = None) -> DataFrame:
     """author, publicacoes array<struct<titulo, keywords, abstract>> in input order.
 
     keep_keyword_only: a publication without title and abstract stays if it has keywords. An author named
-    twice in a record gets it twice, unless distinct."""
+    twice in a record gets it twice, unless distinct. most: only the author's first publications, as prompts
+    and supervised records use them."""
     p = publications.withColumn("s", X.structured(F.col("title"), F.col("keywords"), F.col("abstract"), variant))
     filled = (F.col("s.titulo") != "") | (F.col("s.abstract") != "")
     p = p.where(filled | (F.col("s.keywords") != "") if keep_keyword_only else filled)
-    rows = coauthored(p.select("pos", "authors", "s"), authors, distinct)
+    rows = first_of_author(coauthored(p.select("pos", "authors", "s"), authors, distinct), most)
     return rows.groupBy("author").agg(_in_order(F.col("s")).alias("publicacoes"))
 
 
@@ -98,25 +112,34 @@ def document_sentences(publications: DataFrame) -> DataFrame:
     return s.withColumn("normal", X.normalize_lexical(F.col("raw")))
 
 
+def document_windows(publications: DataFrame, tagger=lexicon_tagger, longest: int = 3) -> DataFrame:
+    """pos, id, authors, sent, n, start, ngram, ok: every window of every sentence; ok by the rule on tags.
+
+    Rows are made by generators in the task that reads the publication: no shuffle, generated code."""
+    t = document_sentences(publications).select("pos", "id", "authors", "sent", tokens(F.col("normal")).alias("toks"))
+    w = windows(t.withColumn("tags", tagger(F.col("toks"))), "toks", longest)
+    return w.select("pos", "id", "authors", "sent", "n", "start", "ngram", well_formed(F.col("tags"), F.col("start"), F.col("n")).alias("ok"))
+
+
 def ngrams_by_document(publications: DataFrame, tagger=lexicon_tagger, longest: int = 3) -> DataFrame:
     """pos, id, authors, ngramas in order of sentence, n and start. Nothing is shuffled: all in the row.
 
     Documents without a well-formed n-gram keep an empty array, which the coverage denominator counts."""
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
-    grams = F.flatten(F.transform(X.sentences(F.col("t")), lambda s: ngrams(tokens(X.normalize_lexical(s)), longest, tagger)))
-    return publications.where("coalesce(id, '') <> ''").withColumn("t", text).where("t <> ''").select("pos", "id", "authors", grams.alias("ngramas"))
+    p = publications.where("coalesce(id, '') <> ''").withColumn("t", text).where("t <> ''").select("pos", "id", "authors", F.transform(X.sentences(F.col("t")), lambda s: tokens(X.normalize_lexical(s))).alias("sents"))
+    tagged = F.transform("sents", lambda t: F.struct(t.alias("toks"), tagger(t).alias("tags")))
+    return p.select("pos", "id", "authors", ngram_arrays(tagged, longest).alias("ngramas"))
 
 
 def ngram_profile(publications: DataFrame, authors: DataFrame, tagger=lexicon_tagger, longest: int = 3) -> DataFrame:
-    """author, ngram, freq: the bag of each author. Computed once a document, counted before it is shuffled."""
-    rows = coauthored(ngrams_by_document(publications, tagger, longest), authors)
-    return rows.select("author", F.explode("ngramas").alias("ngram")).groupBy("author", "ngram").agg(F.count(F.lit(1)).alias("freq"))
+    """author, ngram, freq: the bag of each author. Windows are made once a document, for documents of the set
+    only, and counted before they are shuffled."""
+    rows = document_windows(of_authors(publications, authors), tagger, longest).where("ok").select("ngram", F.explode(F.array_distinct(_authors())).alias("author"))
+    return rows.join(authors.select("author"), "author", "left_semi").groupBy("author", "ngram").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def carried_language(sentences: DataFrame, detected: Column, by: list[str], order: list[str], start: str = "pt", least: int = 20) -> DataFrame:
     """lang: what was detected on sentences of at least `least` characters, else the last before, else start."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.length(X.strip(F.col("raw"))) >= least, detected)
     return sentences.withColumn("lang", F.coalesce(F.last(one, ignorenulls=True).over(w), F.lit(start)))

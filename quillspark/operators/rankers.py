@@ -51,7 +51,11 @@ def positional(lists: DataFrame, author: str = "author", tags: str = "tags") ->
     return ranked(first.select("author", "tag", (F.col("n") - F.col("pos")).alias("score")), "score").select("author", "rank", "tag", "score")
 
 
-def as_lists(ranking: DataFrame, score: str) -> DataFrame:
-    """author, ranking array<struct<tag, score>> in rank order: the shape of the ranking files."""
+def as_lists(ranking: DataFrame, score: str, most: int | None = None) -> DataFrame:
+    """author, ranking array<struct<tag, score>> in rank order: the shape of the ranking files.
+
+    most bounds the list; without it an author's whole ranking is one row, as in those files."""
+    if most is not None:
+        ranking = ranking.where(F.col("rank") <= most)
     items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag", score))), lambda x: F.struct(x["tag"].alias("tag"), x[score].alias(score)))
     return ranking.groupBy("author").agg(items.alias("ranking"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import ngrams as N
+from quillspark.functions.ngrams import LEXICON
 from quillspark.functions import text as X
 from quillspark.functions.parsing import parse_responses
 from quillspark.operators import analysis, curriculum, dataset, generate, judgements, matching, metrics, profiles, rankers, vectors
@@ -184,12 +184,11 @@ w AS (SELECT pos, sent, n, start, toks[start:start + n - 1] AS words FROM k, (SE
 
 @query(f"WITH {_TOKENS} SELECT array_to_string(words, ' ') AS ngram, CAST(n AS INT) AS n, count(*) AS occurrences FROM w GROUP BY ALL")
 def ngram_windows(spark, d):
-    s = profiles.document_sentences(_pubs(spark, d))
-    x = s.select(F.explode(N.windows(N.tokens(F.col("normal")))).alias("w")).select(F.array_join("w.words", " ").alias("ngram"), F.col("w.n").alias("n"))
+    x = profiles.document_windows(_pubs(spark, d))
     return x.groupBy("ngram", "n").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-_LEX = {w: k for k, ws in reversed(N.LEXICON.items()) for w in ws}
+_LEX = {w: k for k, ws in reversed(LEXICON.items()) for w in ws}
 _FUN = "[" + ", ".join(f"'{w}'" for w in _LEX) + "]"
 _GRAMS = _TOKENS + f""", ok AS (SELECT * FROM w WHERE NOT list_contains({_FUN}, words[1]) AND NOT list_contains({_FUN}, words[-1]))"""
 
@@ -208,9 +207,7 @@ def ngram_by_document(spark, d):
 
 @query(f"WITH {_TOKENS} SELECT n, count(*) AS windows, count(*) FILTER (NOT list_contains({_FUN}, words[1]) AND NOT list_contains({_FUN}, words[-1])) AS well_formed FROM w GROUP BY n")
 def pos_filter(spark, d):
-    s = profiles.document_sentences(_pubs(spark, d))
-    x = s.select(F.explode(N.windows(N.tokens(F.col("normal")))).alias("w"))
-    return x.groupBy(F.col("w.n").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("windows"), F.count_if(N.well_formed(N.lexicon_tagger(F.col("w.words")))).alias("well_formed"))
+    return profiles.document_windows(_pubs(spark, d)).groupBy("n").agg(F.count(F.lit(1)).alias("windows"), F.count_if("ok").alias("well_formed"))
 
 
 @query(f"""WITH {_AUTHORED}, {_SET}, t AS (SELECT author, pos, {_PUBSTR} AS t FROM ex JOIN target USING (author))
@@ -219,6 +216,12 @@ def text_profile(spark, d):
     return profiles.text_profile(_pubs(spark, d), _judged(spark, d))
 
 
+@query(f"""WITH {_AUTHORED}, {_SET}, t AS (SELECT author, pos, {_PUBSTR} AS t FROM ex JOIN target USING (author))
+SELECT author, CAST(floor(pos / 4096) AS BIGINT) AS part, string_agg(t, ', ' ORDER BY pos) AS profile FROM t WHERE t <> '' GROUP BY ALL""")
+def text_profile_parts(spark, d):
+    return profiles.text_profile(_pubs(spark, d), _judged(spark, d), chunk=4096)
+
+
 _LABELLED = "array_to_string(list_filter([{}], lambda z: z IS NOT NULL), chr(10))".format(
     ", ".join(f"CASE WHEN {v} <> '' THEN '{k}: ' || {v} END" for k, v in (("Título", _field("title")), ("Palavras-chave", f"array_to_string({_items('keywords')}, '; ')"), ("Resumo", _field("abstract"))))
 )
@@ -628,13 +631,13 @@ def profile_text_blocks(spark, d):
 n AS (SELECT author, s, row_number() OVER (PARTITION BY author ORDER BY pos) AS r FROM s WHERE s.titulo <> '' OR s.abstract <> '')
 SELECT author, 4 AS messages, CAST(least(count(*), 50) AS INT) AS used FROM n GROUP BY author""")
 def chat_messages(spark, d):
-    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d))
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), most=50)
     return p.select("author", F.size(generate.chat_messages(F.col("publicacoes"))).alias("messages"), F.least(F.size("publicacoes"), F.lit(50)).alias("used"))
 
 
 @query()
 def generate_tags(spark, d):
-    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d))
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), most=50)
     prompts = p.select("author", generate.chat_prompt(generate.chat_messages(F.col("publicacoes"))).alias("prompt"))
     return generate.generate(prompts).select("author", "tags", "error")
 
@@ -672,7 +675,7 @@ def split_by_hash(spark, d):
 s AS (SELECT author, pos, {_structured('extended')} AS s FROM er), n AS (SELECT author, least(count(*), 50) AS n_publicacoes_usadas FROM s WHERE s.titulo <> '' OR s.abstract <> '' OR s.keywords <> '' GROUP BY author)
 SELECT author, CAST(n_publicacoes_usadas AS INT) AS n_publicacoes_usadas, string_agg(tag, ' | ' ORDER BY weight DESC, tag) AS target_tags FROM n JOIN t USING (author) GROUP BY ALL""")
 def supervised_records(spark, d):
-    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), "extended", keep_keyword_only=True)
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), "extended", keep_keyword_only=True, most=50)
     return _joined(dataset.supervised(p, judgements.gold(readers.judgement_table(spark, d), True)).select("author", "n_publicacoes_usadas", "target_tags"))
 
 
@@ -683,9 +686,9 @@ def loss_asof(spark, d):
     return analysis.last_known(e.where("step % 5 = 0"), e.where("step % 7 = 3").select("run", "step"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
-    return incremental.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+    return incremental.windowed_counts(table(spark, d, "events"), "ts", "event_type").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query()

@@ -78,11 +78,13 @@ def test_ids(spark):
 
 
 def test_ngrams_bridge_short_tokens_and_obey_the_rule(spark):
-    df = spark.createDataFrame([("analise de a agua doce",)], "t string")
-    toks = N.tokens(F.col("t"))
-    r = df.select(N.ngrams(toks).alias("all"), N.ngrams(toks, 3, N.lexicon_tagger).alias("ok")).first()
-    assert r.all[:4] == ["analise", "de", "agua", "doce"] and "de agua" in r.all
-    assert r.ok == ["analise", "agua", "doce", "agua doce", "analise de agua"]
+    df = spark.createDataFrame([("analise de a agua doce",), ("",)], "t string").select(N.tokens(F.col("t")).alias("toks"))
+    rows = N.windows(df.withColumn("tags", N.lexicon_tagger(F.col("toks"))), "toks").withColumn("ok", N.well_formed(F.col("tags"), F.col("start"), F.col("n")))
+    got = [(r.ngram, r.ok) for r in rows.orderBy("n", "start").collect()]
+    assert [g for g, _ in got][:5] == ["analise", "de", "agua", "doce", "analise de"]
+    assert [g for g, ok in got if ok] == ["analise", "agua", "doce", "agua doce", "analise de agua"]
+    arrays = df.select(N.ngram_arrays(F.array(F.struct("toks", N.lexicon_tagger(F.col("toks")).alias("tags")))).alias("x")).collect()
+    assert [r.x for r in arrays] == [["analise", "agua", "doce", "agua doce", "analise de agua"], []]
 
 
 @pytest.mark.parametrize("tags,ok", [(["NOUN"], True), (["DET", "NOUN"], False), (["NOUN", "ADP", "VERB"], False), (["NOUN", "ADP", "NOUN"], True), (["VERB"], False), (["X", "X"], False), (["NUM", "NOUN"], False), (["ADJ", "NOUN", "VERB"], True)])
