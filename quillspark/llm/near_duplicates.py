@@ -35,8 +35,8 @@ BUCKET = 256
 SCREEN = 30  # of SIGNATURE bits that may differ
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 18
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-U = np.uint64
+_EMPTY = np.uint32(0xFFFFFFFF)
+U, V = np.uint64, np.uint32
 
 
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -93,19 +93,24 @@ def _classes(sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketch(sizes: np.ndarray, flat: np.ndarray, t: int = COORDINATES) -> np.ndarray:
-    """sizes.size x t places of the fast similarity sketch of sets of word hashes."""
+    """sizes.size x t places of the fast similarity sketch of sets of word hashes.
+
+    A place holds the round in its upper bits and 22 bits of the word's hash in that round below. Each
+    64-bit hash serves two rounds."""
     n = len(sizes)
-    out = np.full(n * t, _EMPTY, np.uint64)
-    own, h = np.repeat(np.arange(n, dtype=np.int64), sizes), flat
-    for i in range(2 * t):
-        x = _mix(h + U((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
-        place = (x & U(t - 1)).astype(np.int64) if i < t else i - t
-        np.minimum.at(out, own * t + place, (U(i) << U(48)) | (x >> U(16)))
-        if i >= 7 and i % 4 == 3:
+    out = np.full(n * t, _EMPTY, np.uint32)
+    own, h = np.repeat(np.arange(n, dtype=np.int64) * t, sizes), flat
+    for i in range(0, 2 * t, 2):
+        x = _mix(h + U((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF)).view(np.uint32).reshape(-1, 2)
+        for k in (0, 1):
+            half = x[:, k]
+            place = own + (half & V(t - 1)) if i < t else own + (i + k - t)
+            np.minimum.at(out, place, V((i + k) << 22) | (half >> V(10)))
+        if i >= 6 and i % 4 == 2:
             left = (out.reshape(n, t) == _EMPTY).any(axis=1)
             if not left.any():
                 break
-            keep = left[own]
+            keep = left[own // t]
             own, h = own[keep], h[keep]
     return out.reshape(n, t)
 
@@ -129,9 +134,9 @@ def _bands(least):
             n = len(sizes)
             key = np.zeros((n, BANDS), np.uint64)
             for k in range(ROWS):
-                key = _mix(key * U(31) + s[:, k : BANDS * ROWS : ROWS])
+                key = _mix(key * U(31) + s[:, k : BANDS * ROWS : ROWS].astype(np.uint64))
             key = (key >> U(24)) | (np.arange(BANDS, dtype=np.uint64) << U(40))
-            sig = np.packbits((s[:, COORDINATES - SIGNATURE :] & U(1)).astype(np.uint8), axis=1).view(np.int64)
+            sig = np.packbits((s[:, COORDINATES - SIGNATURE :] & V(1)).astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(cls, BANDS)), pa.array(np.repeat(sizes, BANDS).astype(np.int32)), *(pa.array(np.repeat(sig[:, k], BANDS)) for k in (0, 1))], names=["key", "cls", "n", "sig", "sig2"]
             )
