@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.ngrams import lexicon_tagger, ngram_arrays, tokens, well_formed, windows
+from quillspark.session import spread
 
 
 def _authors(c: str | Column = "authors") -> Column:
@@ -107,7 +108,7 @@ def field_evidence(publications: DataFrame, authors: DataFrame) -> DataFrame:
 def document_sentences(publications: DataFrame) -> DataFrame:
     """pos, id, authors, sent, raw, normal: the sentences of each publication with their normal form."""
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
-    p = publications.where("coalesce(id, '') <> ''").withColumn("t", text).where("t <> ''")
+    p = spread(publications.where("coalesce(id, '') <> ''").select("pos", "id", "authors", text.alias("t"))).where("t <> ''")
     s = p.select("pos", "id", "authors", F.posexplode(X.sentences(F.col("t"))).alias("sent", "raw"))
     return s.withColumn("normal", X.normalize_lexical(F.col("raw")))
 
@@ -126,7 +127,8 @@ def ngrams_by_document(publications: DataFrame, tagger=lexicon_tagger, longest:
 
     Documents without a well-formed n-gram keep an empty array, which the coverage denominator counts."""
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
-    p = publications.where("coalesce(id, '') <> ''").withColumn("t", text).where("t <> ''").select("pos", "id", "authors", F.transform(X.sentences(F.col("t")), lambda s: tokens(X.normalize_lexical(s))).alias("sents"))
+    p = publications.where("coalesce(id, '') <> ''").select("pos", "id", "authors", text.alias("t")).where("t <> ''")
+    p = spread(p).select("pos", "id", "authors", F.transform(X.sentences(F.col("t")), lambda s: tokens(X.normalize_lexical(s))).alias("sents"))
     tagged = F.transform("sents", lambda t: F.struct(t.alias("toks"), tagger(t).alias("tags")))
     return p.select("pos", "id", "authors", ngram_arrays(tagged, longest).alias("ngramas"))
 
