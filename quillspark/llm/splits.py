@@ -2,8 +2,8 @@
 
 Authors of one publication are tied. Adjacency lists are hash-partitioned by author; every author whose
 hash is the least among its neighbours is a seed, and all seeds expand at the same time for a few hops.
-Authors that no frontier reached are seeds of their own. Where two labels meet, an edge between the labels
-goes into a smaller graph, which is worked off in the same way until no edge is left. All of it stays in
+Authors that no frontier reached are seeds of their own. Where two labels meet the smaller goes on, and an
+edge between them goes into a smaller graph, which is worked off in the same way until no edge is left. All of it stays in
 DataFrames; lineage is cut by reliable checkpoints.
 
 Null arrays and entries that name no author tie nothing. Repeated rows change nothing. An author without
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.frequency import author_key
 from quillspark.session import cut
 
-HOPS = 2
+HOPS = 4
 BUCKETS = 4096
 
 
@@ -29,15 +29,20 @@ def coauthor_edges(publications: DataFrame) -> DataFrame:
     return star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def _label(edges: DataFrame) -> DataFrame:
-    """n, label: seeds and what their frontiers reach within HOPS; the rest label themselves."""
-    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+def _label(edges: DataFrame, level: int) -> DataFrame:
+    """n, label: seeds and what their frontiers reach within HOPS; the rest label themselves.
+
+    Where frontiers collide the smaller label goes on, so a seed may be overrun; nodes that got a new label
+    are the next frontier. The order of labels is a hash that differs by level, or the seeds of one level
+    would hardly be fewer at the next."""
+    order = lambda c: F.struct(F.xxhash64(F.lit(level), c).alias("h"), F.col(c).alias("n"))
     nodes = edges.groupBy("u").agg(F.min(order("v")).alias("m"))
-    state = nodes.select(F.col("u").alias("n"), F.when(order("u") < F.col("m"), F.col("u")).alias("label"))
+    seed = order("u") < F.col("m")
+    state = nodes.select(F.col("u").alias("n"), F.when(seed, order("u")).alias("label"), seed.alias("front"))
     for _ in range(HOPS):
-        reached = edges.join(state.where("label is not null").select(F.col("n").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("new"))
-        state = state.join(reached.withColumnRenamed("v", "n"), "n", "left").select("n", F.coalesce("label", "new").alias("label"))
-    return state.select("n", F.coalesce("label", "n").alias("label"))
+        reached = edges.join(state.where("front").select(F.col("n").alias("u"), "label"), "u").groupBy(F.col("v").alias("n")).agg(F.min("label").alias("new"))
+        state = state.join(reached, "n", "left").select("n", F.least("label", "new").alias("label"), (F.col("new").isNotNull() & (F.col("label").isNull() | (F.col("new") < F.col("label")))).alias("front"))
+    return state.select("n", F.coalesce("label.n", "n").alias("label"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     levels = []
     while not edges.isEmpty():
-        labels = cut(_label(edges))
+        labels = cut(_label(edges, len(levels)))
         levels.append(labels)
         half = edges.join(labels.select(F.col("n").alias("u"), F.col("label").alias("lu")), "u").select("lu", "v").distinct()
         both = half.join(labels.select(F.col("n").alias("v"), F.col("label").alias("lv")), "v").where("lu <> lv")
