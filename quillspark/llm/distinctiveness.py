@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 _LETTERS = re.compile(r"[^\W\d_]{4,}")
 MAX_TERMS = 1 << 17
 
@@ -81,7 +83,7 @@ def log_entropy_weights(records: DataFrame, least_tf: int = 1) -> DataFrame:
     """records(rec_id, title, abstract, keywords) -> rec_id, term, tf, df, gf, entropy, weight.
 
     least_tf keeps the rows whose own count is at least that; the statistics always cover all rows."""
-    src = records.select("rec_id", "title", "abstract", "keywords")
+    src = spread(records.select("rec_id", "title", "abstract", "keywords"))
     n = records.select(F.count(F.lit(1))).scalar()
     stats = (
         src.mapInArrow(_partial, "term string, df long, gf long, tlogt double")

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 LANGUAGES = ("pt", "en", "es", "fr")
 #: Bounds of the sample that is fitted: rows drawn, segments used, landmarks, n-gram places.
 MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 2500, 12000, 384, 1 << 15
@@ -186,7 +188,7 @@ def learn(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np
 def language_segments(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """rec_id, field, segment, text, lang, confidence of every title and sentence with enough words."""
     state = records.sparkSession.sparkContext.broadcast(learn(records, labels, max_rows))
-    return records.select(F.col("rec_id").cast("long").alias("rec_id"), "title", "abstract").mapInArrow(_run(state), "rec_id long, field string, segment int, text string, lang string, confidence double")
+    return spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "title", "abstract")).mapInArrow(_run(state), "rec_id long, field string, segment int, text string, lang string, confidence double")
 
 
 def field_languages(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

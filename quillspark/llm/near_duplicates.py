@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import cut
+from quillspark.session import cut, spread
 
 COORDINATES, ROWS, BANDS, SIGNATURE = 512, 8, 48, 128
 BUCKET = 256
@@ -277,8 +277,8 @@ def _verify(threshold, least):
 def _work(records: DataFrame, threshold: float, least: int):
     """members(rec_id, id, c1, c2) and verified links(rep_a, rep_b, similarity), rep: least rec_id of a class."""
     texts = records.select("rec_id", "title", "abstract")
-    members = cut(records.select("rec_id", "title", "abstract", "id").mapInArrow(_members(least), "rec_id long, id string, c1 long, c2 long"))
-    bands = texts.mapInArrow(_bands(least), "key long, cls long, n int, sig long, sig2 long")
+    members = cut(spread(records.select("rec_id", "title", "abstract", "id")).mapInArrow(_members(least), "rec_id long, id string, c1 long, c2 long"))
+    bands = spread(texts).mapInArrow(_bands(least), "key long, cls long, n int, sig long, sig2 long")
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(bands.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_pairs(threshold), "a long, b long").distinct())
     pairs = found.where("a <> b")

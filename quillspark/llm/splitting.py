@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm.tokenizing import BYTE_BPE_50K, VOCABULARIES, encode_text, encoding, token_lengths
+from quillspark.session import spread
 
 CHARACTER, WORD, SENTENCE, PARAGRAPH, SECTION = range(5)
 _SENTENCE = re.compile(r"(?<=[.!?;:…])(?:[\"'”’»)\]]*)\s+|\n|(?<=[。！？])")
@@ -136,4 +137,4 @@ def split_oversized(documents: DataFrame, limit: int = 512, overlap: int = 64, i
     if not 0 <= overlap <= limit - 8:  # a character is at most 4 tokens, and each piece must go on
         raise ValueError("overlap must be at least 0 and at most limit - 8")
     src = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
-    return src.mapInArrow(_run(limit, overlap, folder, vocabulary), _SCHEMA)
+    return spread(src).mapInArrow(_run(limit, overlap, folder, vocabulary), _SCHEMA)

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspark.session import spread
+
 #: Folder of the public tokenizers' files; a parameter of every operator.
 VOCABULARIES = os.environ.get("QUILL_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
@@ -126,10 +128,10 @@ def _counts(folder, name):
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folder: str = VOCABULARIES, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
     """doc_id, ids array<int>: one row for each row of documents; its other columns are not read."""
     src = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
-    return src.mapInArrow(_ids(folder, vocabulary), "doc_id long, ids array<int>")
+    return spread(src).mapInArrow(_ids(folder, vocabulary), "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folder: str = VOCABULARIES, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
     """doc_id, n_tokens: one row for each row of documents."""
     src = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
-    return src.mapInArrow(_counts(folder, vocabulary), "doc_id long, n_tokens int")
+    return spread(src).mapInArrow(_counts(folder, vocabulary), "doc_id long, n_tokens int")
