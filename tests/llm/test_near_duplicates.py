@@ -44,6 +44,30 @@ def test_against_brute_force(pubs):
     assert len(want) > 50 and got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def test_streamed_buckets_are_those_of_one_batch(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 40, 900))
+    cls, n, sig = rng.integers(0, 500, 900), np.full(900, 50, np.int32), np.zeros(900, np.int64)
+    at = np.lexsort((cls, key))
+    monkeypatch.setattr(D, "BUCKET", 22)
+
+    def run(size):
+        cols = (key[at], cls[at], n, sig, sig)
+        parts = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in cols], names=list("abcde")) for k in range(0, 900, size)]
+        out = set()
+        for b in D._pairs(0.75)(iter(parts)):
+            out |= set(zip(*(c.to_pylist() for c in b.columns)))
+        return out
+
+    whole = run(900)
+    assert any(a == b for a, b in whole) and any(a != b for a, b in whole)
+    for size in (1, 7, 64, 333):
+        got = run(size)
+        assert {p for p in got if p[0] != p[1]} == {p for p in whole if p[0] != p[1]} and {p[0] for p in got if p[0] == p[1]} == {p[0] for p in whole if p[0] == p[1]}
+
+
 def test_hot_buckets_take_the_exact_way(pubs, monkeypatch):
     text = " ".join(f"c{i}" for i in range(60))
     rows = [{"rec_id": k, "id": f"P{k}", "title": f"x{k} y{k}", "abstract": text} for k in range(40)]

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from quillspark.llm import distinctiveness, frequency
 
 ROWS = [
@@ -35,16 +37,22 @@ def test_weights_of_an_empty_table(pubs):
     assert distinctiveness.log_entropy_weights(pubs()).collect() == []
 
 
-def test_counters_survive_flushing(spark, monkeypatch):
+def test_counters_survive_flushing(monkeypatch):
     rng = random.Random(1)
     rows = [("f", [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]) for _ in range(200)] + [("f", None), ("f", [None, "a"])]
-    monkeypatch.setattr(frequency, "MAX_TERMS", 3)
+    batches = [pa.RecordBatch.from_arrays([pa.array([f for f, _ in part]), pa.array([t for _, t in part], pa.list_(pa.string()))], names=["field", "terms"]) for part in (rows[:90], rows[90:])]
     occ, rec = Counter(), Counter()
     for _, ts in rows:
         occ.update(t for t in ts or () if t)
         rec.update({t for t in ts or () if t})
-    got = {r.term: (r.occurrences, r.records) for r in frequency.term_frequencies(spark.createDataFrame(rows, "field string, terms array<string>")).collect()}
-    assert got == {t: (occ[t], rec[t]) for t in occ}
+    for most in (1, 3, 1 << 18):
+        monkeypatch.setattr(frequency, "MAX_TERMS", most)
+        got_occ, got_rec = Counter(), Counter()
+        for b in frequency._counters(iter(batches)):
+            for _, t, o, r in zip(*(c.to_pylist() for c in b.columns)):
+                got_occ[t] += o
+                got_rec[t] += r
+        assert got_occ == occ and got_rec == rec
 
 
 def test_verdicts(spark, pubs):
