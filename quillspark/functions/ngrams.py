@@ -55,7 +55,8 @@ def windows(rows: DataFrame, toks: str = "toks", longest: int = 3) -> DataFrame:
     """A row for each window of 1 to longest tokens: n, start and words are added to the columns of rows.
 
     toks must be a column, not an expression: it would be evaluated for every window."""
-    sized = rows.where(F.size(toks) > 0).select("*", F.explode(F.sequence(F.lit(1), F.size(toks))).alias("start"))
+    # no filter on the size of toks: it would be pushed down with all that makes toks, and make it twice
+    sized = rows.select("*", F.explode(F.when(F.size(toks) > 0, F.sequence(F.lit(1), F.size(toks)))).alias("start"))
     each = sized.select("*", F.explode(F.array(*[F.lit(n) for n in range(1, longest + 1)])).alias("n")).where(F.col("start") + F.col("n") - 1 <= F.size(toks))
     return each.withColumn("ngram", F.array_join(F.slice(toks, F.col("start"), F.col("n")), " "))
 
