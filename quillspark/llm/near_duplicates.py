@@ -13,7 +13,7 @@ is not expanded. Its classes go to an exact way instead: prefix filtering, by wh
 reach the threshold if they share one of their rarest words. Every candidate is verified on whole texts.
 
 At similarity s a pair is met with probability 1 - (1 - s**ROWS)**BANDS times that of passing the screen:
-0.99 at 0.75, over 0.9997 from 0.8. Null fields count as empty; records under `least` words have no
+0.998 at 0.75, over 0.9999 from 0.8. Null fields count as empty; records under `least` words have no
 partner; repeated rows pair as other rows do; an empty table gives no rows.
 """
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from quillspark.session import cut, spread
 
-COORDINATES, ROWS, BANDS, SIGNATURE = 512, 8, 48, 128
+COORDINATES, ROWS, BANDS, SIGNATURE = 512, 7, 54, 128
 BUCKET = 256
-SCREEN = 30  # of SIGNATURE bits that may differ
+SCREEN = 28  # of SIGNATURE bits that may differ
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 18
 _EMPTY = np.uint32(0xFFFFFFFF)
