@@ -1,8 +1,9 @@
 """Garbled text from wrong character encoding: transformations learnt from clean near-twins.
 
 Texts are joined on what is left without their non-ASCII characters: a garbled text and its clean twin have
-the same rest. Aligned on it, their runs of non-ASCII characters give pairs (garbled, clean), counted over
-the collection. A pair that a transformation of code pages explains (written in one, read in another, once
+the same rest. Of the texts with one rest, that with the fewest runs that look garbled (of several, the most
+frequent) is the centre; every other is aligned with it, and their runs of non-ASCII characters give pairs
+(garbled, clean), counted over the collection. A pair that a transformation of code pages explains (written in one, read in another, once
 or repeatedly) supports that transformation, other pairs are kept as they are. Together with counts of the
 runs' neighbourhoods over the whole collection they decide on the remaining texts:
 
@@ -23,7 +24,7 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import spread
@@ -108,6 +109,11 @@ def repairs(run: str):
             yield f"cp1252>{page}", one
 
 
+def suspect(run: str) -> bool:
+    """Whether a run looks garbled by itself, without the collection."""
+    return any(c not in _RIGHT for c in run) or any(_from_utf8(run, page) is not None for page in PAGES)
+
+
 class Repairer:
     """Decides on runs. contexts: {(before, run, after): n}; pairs: {(garbled, clean): twins}."""
 
@@ -219,39 +225,53 @@ def _contexts(batches):
 
 
 def _rests(batches):
+    looks: dict[str, bool] = {}
     for batch in batches:
-        keys, variants = [], []
+        keys, variants, suspects = [], [], []
+        if len(looks) > FLUSH:
+            looks.clear()
         for text in _texts(batch):
             rest, at, parts = [], 0, []
-            size = 0
+            size = bad = 0
             for m in RUN.finditer(text):
                 rest.append(text[at : m.start()])
                 size += m.start() - at
                 at = m.end()
-                parts.append(f"{size}\x01{m.group()[:MAX_RUN]}")
+                r = m.group()[:MAX_RUN]
+                if r not in looks:
+                    looks[r] = suspect(r)
+                bad += looks[r]
+                parts.append(f"{size}\x01{r}")
             rest.append(text[at:])
             keys.append(xxhash.xxh3_64_intdigest("".join(rest)) - (1 << 63))
             variants.append("\x02".join(parts))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(variants, pa.string())], names=["rest", "variant"])
+            suspects.append(bad)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(variants, pa.string()), pa.array(suspects, pa.int32())], names=["rest", "variant", "suspects"])
 
 
 def _align(batches):
     count: Counter = Counter()
     for batch in batches:
-        for lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = (dict(z.split("\x01", 1) for z in v.split("\x02")) for v in (lo, hi))
+        for variant, centre in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = (dict(z.split("\x01", 1) for z in v.split("\x02")) for v in (variant, centre))
             count.update((r, y[o]) for o, r in x.items() if o in y and y[o] != r)
     k = list(count)
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), pa.array(list(count.values()), pa.int64())], names=["a", "b", "n"])
 
 
+def twins(src: DataFrame) -> DataFrame:
+    """variant, centre: each distinct text but the centre of its rest. Copies are counted before they are shuffled."""
+    each = src.mapInArrow(_rests, "rest long, variant string, suspects int").groupBy("rest", "variant", "suspects").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct("suspects", (-F.col("n")).alias("n"), "variant")).over(Window.partitionBy("rest"))
+    return each.withColumn("centre", best["variant"]).where("variant <> centre").select("variant", "centre")
+
+
 def learn(records: DataFrame, columns: tuple[str, ...] = ("title", "abstract")) -> Repairer:
     """What the whole collection says about its runs; two aggregations, bounded results."""
     src = spread(records.select(*columns))
     contexts = src.mapInArrow(_contexts, "before string, run string, after string, n long").groupBy("before", "run", "after").agg(F.sum("n").alias("n"))
     contexts = {(r.before, r.run, r.after): r.n for r in contexts.orderBy(F.desc("n"), "before", "run", "after").limit(MAX_CONTEXTS).collect()}
-    twins = src.mapInArrow(_rests, "rest long, variant string").groupBy("rest").agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).where("lo <> hi")
-    pairs = twins.select("lo", "hi").mapInArrow(_align, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = twins(src).mapInArrow(_align, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = {(r.a, r.b): r.n for r in pairs.orderBy(F.desc("n"), "a", "b").limit(MAX_PAIRS).collect()}
     return Repairer(contexts, pairs)
 

@@ -50,3 +50,21 @@ def test_repeated_decoding():
 
 def test_empty(pubs):
     assert E.garbled_fields(pubs()).collect() == []
+
+
+def test_every_variant_is_aligned_with_the_clean_one(pubs):
+    clean = "à região: avaliação é também técnica"
+    variants = [garble(clean, *way) for way in WAYS]
+    rows = [{"rec_id": k, "abstract": t} for k, t in enumerate([*variants, variants[0], variants[0], clean])]
+    got = E.twins(pubs(*rows).select("title", "abstract")).collect()
+    assert len(got) == len(set(variants)) and {r.centre for r in got} == {next(r.centre for r in got)}
+    assert "é" in got[0].centre and "ã" in got[0].centre and all("é" not in r.variant.split("\x01") for r in got)
+    pairs = {(a, b) for x in got for a, b in zip(*([z.split("\x01")[1] for z in v.split("\x02")] for v in (x.variant, x.centre)))}
+    assert {(garble("é", *way), "é") for way in WAYS} <= pairs
+
+
+def test_pairs_of_middle_variants_are_learnt(pubs):
+    clean = "técnica de observação"
+    rows = [{"rec_id": k, "abstract": t} for k, t in enumerate([clean] * 9 + [garble(clean, *way) for way in WAYS])]
+    learnt = E.learn(pubs(*rows)).learnt
+    assert all(learnt[garble("é", *way)]["é"] for way in WAYS)
