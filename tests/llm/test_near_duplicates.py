@@ -68,6 +68,23 @@ def test_streamed_buckets_are_those_of_one_batch(monkeypatch):
         assert {p for p in got if p[0] != p[1]} == {p for p in whole if p[0] != p[1]} and {p[0] for p in got if p[0] == p[1]} == {p[0] for p in whole if p[0] == p[1]}
 
 
+@pytest.mark.parametrize("similarity", [0.75, 0.8])
+def test_screen_loses_less_than_one_in_a_million(similarity):
+    from math import comb
+
+    p, n = (1 - similarity) / 2, D.SIGNATURE
+    assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(D.SCREEN + 1, n + 1)) < 1e-6
+
+
+def test_pairs_of_a_bucket_pass_the_screen():
+    import pyarrow as pa
+
+    far = (1 << 34) - 1  # 34 bits differ
+    cols = ([1, 1, 1], [10, 20, 30], np.full(3, 50, np.int32), [0, far, -1], [0, 0, -1])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in cols], names=list("abcde"))
+    assert [tuple(c.to_pylist()) for b in D._pairs(0.75)(iter([batch])) for c in b.columns] == [(10,), (20,)]
+
+
 def test_hot_buckets_take_the_exact_way(pubs, monkeypatch):
     text = " ".join(f"c{i}" for i in range(60))
     rows = [{"rec_id": k, "id": f"P{k}", "title": f"x{k} y{k}", "abstract": text} for k in range(40)]
