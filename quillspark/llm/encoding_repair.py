@@ -13,6 +13,9 @@ runs' neighbourhoods over the whole collection they decide on the remaining text
   one found; the factor is lower for transformations and pairs that twins support;
 * replacement characters are always garbled, and restored by the most frequent run of that neighbourhood.
 
+All counts stay in Spark, whole: each neighbourhood is joined with the counts of what it may be restored to
+and decided on once; the texts are joined with the decisions on garbled ones.
+
 Null, empty and plain ASCII fields have no row; rightly written and dropped accents are no case. Repeated
 rows come out each, an empty table gives none. What can't be restored keeps its characters.
 """
@@ -27,13 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import spread
+from quillspark.session import cut, spread
 
 RUN = re.compile(r"[^\x00-\x7f]+")
-#: Bounds of what is sent to the driver: neighbourhoods and learnt pairs, the most frequent first. Rarer
-#: ones than these bounds leave can't outweigh another neighbourhood.
-MAX_CONTEXTS, MAX_PAIRS, MAX_RUN = 400_000, 20_000, 12
-FLUSH = 1 << 17
+FLUSH = 1 << 17  # entries of a counter or memo in a Python worker
 PAGES = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_15")
 
 
@@ -52,6 +52,7 @@ _BYTE = {p: {c: b for b, c in m.items()} for p, m in _READ.items()}
 _BYTE["cp1252"].update({chr(b): b for b in range(128, 160)})
 _RIGHT = set(_READ["cp1252"].values()) | set("–—‘’“”„…•€™≥≤≠∞√") - {chr(b) for b in range(128, 160)}
 _RIGHT -= {chr(b) for b in range(128, 160)} | set("ÐÞþðýÝ¦¬¤¸¯¨ƒˆ‰‹›Šš†‡Žž") | {"­"}
+_ALL_RIGHT = r"\A[%s]+\z" % "".join(rf"\x{{{ord(c):x}}}" for c in sorted(_RIGHT))  # as Spark has it
 
 
 def neighbour(c: str) -> str:
@@ -216,7 +217,7 @@ def _contexts(batches):
 
     for batch in batches:
         for text in _texts(batch):
-            count.update((p, r[:MAX_RUN], n) for _, _, p, r, n in runs(text))
+            count.update((p, r, n) for _, _, p, r, n in runs(text))
         if len(count) > FLUSH:
             yield out()
             count.clear()
@@ -237,7 +238,7 @@ def _rests(batches):
                 rest.append(text[at : m.start()])
                 size += m.start() - at
                 at = m.end()
-                r = m.group()[:MAX_RUN]
+                r = m.group()
                 if r not in looks:
                     looks[r] = suspect(r)
                 bad += looks[r]
@@ -266,29 +267,98 @@ def twins(src: DataFrame) -> DataFrame:
     return each.withColumn("centre", best["variant"]).where("variant <> centre").select("variant", "centre")
 
 
-def learn(records: DataFrame, columns: tuple[str, ...] = ("title", "abstract")) -> Repairer:
-    """What the whole collection says about its runs; two aggregations, bounded results."""
-    src = spread(records.select(*columns))
-    contexts = src.mapInArrow(_contexts, "before string, run string, after string, n long").groupBy("before", "run", "after").agg(F.sum("n").alias("n"))
-    contexts = {(r.before, r.run, r.after): r.n for r in contexts.orderBy(F.desc("n"), "before", "run", "after").limit(MAX_CONTEXTS).collect()}
-    pairs = twins(src).mapInArrow(_align, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = {(r.a, r.b): r.n for r in pairs.orderBy(F.desc("n"), "a", "b").limit(MAX_PAIRS).collect()}
-    return Repairer(contexts, pairs)
+def collection(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """contexts(before, run, after, n), pairs(a, b, n), learnt(bad, good, k): all that the collection says of its runs."""
+    contexts = cut(src.mapInArrow(_contexts, "before string, run string, after string, n long").groupBy("before", "run", "after").agg(F.sum("n").alias("n")))
+    pairs = cut(twins(src).mapInArrow(_align, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    total = contexts.groupBy("run").agg(F.sum("n").alias("total"))
+    ways = pairs.select(F.col("a").alias("bad"), F.col("b").alias("good"), "n").unionAll(pairs.select(F.col("b").alias("bad"), F.col("a").alias("good"), "n"))
+    ways = ways.where(~F.col("bad").contains("�") & F.col("good").rlike(_ALL_RIGHT)).groupBy("bad", "good").agg(F.sum("n").alias("k"))
+    weighed = ways.join(total.select(F.col("run").alias("bad"), F.col("total").alias("bads")), "bad").join(total.select(F.col("run").alias("good"), F.col("total").alias("goods")), "good")
+    return contexts, pairs, cut(weighed.where("goods >= 4 * bads").select("bad", "good", "k"))
+
+
+def _named(batches):
+    for batch in batches:
+        count: Counter = Counter()
+        for bad, good, k in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for x, y in ((bad, good), (good, bad)):
+                count.update({t: k for t in {t for t, z in repairs(x) if z == y}})
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["t", "k"])
+
+
+def _candidates(batches):
+    for batch in batches:
+        rows = [(p, r, n, good, "repair") for p, r, n in zip(*(batch.column(i).to_pylist() for i in range(3))) for good in {x for _, x in repairs(r)}]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in range(5)], names=["before", "run", "after", "good", "by"])
+
 
+def _verdicts(support):
+    def run(batches):
+        for batch in batches:
+            r = Repairer({}, {})
+            r.support.update(support)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            for (p, bad, n), found, left, right, options in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7))):
+                r.contexts[p, bad, n], r.left[p, bad], r.right[bad, n] = found, left, right
+                for x in options or ():
+                    good = x["good"]
+                    r.contexts[p, good, n], r.left[p, good], r.right[good, n] = x["have"], x["left"], x["right"]
+                    if x["by"] == "twin":
+                        r.learnt.setdefault(bad, Counter())[good] = 1
+                    elif x["by"] == "place":
+                        r.by_place.setdefault((p, len(good), n), []).append((x["have"], good))
+            rows = [(*key, good, t) for key in keys for garbled, good, t in [r.verdict(*key)] if garbled]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in range(5)], names=["before", "run", "after", "good", "t"])
+
+    return run
+
+
+def verdicts(contexts: DataFrame, learnt: DataFrame) -> DataFrame:
+    """before, run, after, good, t of every neighbourhood of the collection that is garbled."""
+    named = learnt.mapInArrow(_named, "t string, k long").groupBy("t").agg(F.sum("k").alias("k")).collect()  # a row for each transformation at most
+    here = contexts.select("before", "run", "after")
+    placed = here.where(F.col("run").contains("�") | F.col("run").rlike("^Ã+$"))
+    rights = contexts.where(F.col("run").rlike(_ALL_RIGHT)).select("before", F.col("run").alias("good"), "after")
+    fits = F.when(F.col("x.run").contains("�"), F.expr("y.good rlike concat('^', translate(x.run, '�', '.'), '$')")).otherwise(F.col("y.good").rlike("^[À-ß]+$"))
+    same = (F.col("x.before") == F.col("y.before")) & (F.col("x.after") == F.col("y.after")) & (F.length("x.run") == F.length("y.good"))
+    options = (
+        here.mapInArrow(_candidates, "before string, run string, after string, good string, by string")
+        .unionAll(here.join(learnt.select(F.col("bad").alias("run"), "good"), "run").select("before", "run", "after", "good", F.lit("twin").alias("by")))
+        .unionAll(placed.alias("x").join(rights.alias("y"), same & fits).select("x.before", "x.run", "x.after", "y.good", F.lit("place").alias("by")))
+    )
+    left = contexts.groupBy("before", "run").agg(F.sum("n").alias("left"))
+    right = contexts.groupBy("run", "after").agg(F.sum("n").alias("right"))
+    weighed = options.join(contexts.withColumnsRenamed({"run": "good", "n": "have"}), ["before", "good", "after"], "left").join(left.withColumnRenamed("run", "good"), ["before", "good"], "left").join(right.withColumnRenamed("run", "good"), ["good", "after"], "left")
+    weighed = weighed.fillna(0, ["have", "left", "right"]).groupBy("before", "run", "after").agg(F.collect_list(F.struct("good", "by", "have", "left", "right")).alias("options"))
+    own = contexts.join(left, ["before", "run"]).join(right, ["run", "after"]).join(weighed, ["before", "run", "after"], "left")
+    return own.select("before", "run", "after", "n", "left", "right", "options").mapInArrow(_verdicts({r.t: r.k for r in named}), "before string, run string, after string, good string, t string")
+
+
+def _places(batches):
+    """Each row's neighbourhoods, once."""
+    for batch in batches:
+        rows = []
+        for rec, *texts in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            met = {(p, r, n) for text in texts if text and not text.isascii() for _, _, p, r, n in runs(text)}
+            rows += [(rec, *x) for x in met]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3))], names=["rec_id", "before", "run", "after"])
 
-def _apply(state, columns):
-    made: list[Repairer] = []
 
+def _apply(columns):
     def run(batches):
-        if not made:
-            made.append(Repairer(*state.value))
         for batch in batches:
             rows = []
-            ids = batch.column(0).to_pylist()
-            for k, field in enumerate(columns, 1):
-                for rec, text in zip(ids, batch.column(k).to_pylist()):
-                    if text and not text.isascii() and (x := made[0].field(text)):
-                        rows.append((rec, field, *x))
+            for rec, known, *texts in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                r = Repairer({}, {})
+                r.known = {(x["before"], x["run"], x["after"]): (True, x["good"], x["t"]) for x in known}
+                for field, text in zip(columns, texts):
+                    if text and not text.isascii():
+                        for _, _, p, bad, n in runs(text):
+                            r.known.setdefault((p, bad, n), (False, bad, ""))
+                        if x := r.field(text):
+                            rows.append((rec, field, *x))
             cols = list(zip(*rows)) or [()] * 4
             types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["rec_id", "field", "restored", "transformations"])
@@ -298,10 +368,10 @@ def _apply(state, columns):
 
 def garbled_fields(records: DataFrame, id_column: str = "rec_id", columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
     """rec_id, field, restored, transformations of every garbled field."""
-    repairer = learn(records, columns)
-    pairs = {}
-    for bad, goods in repairer.learnt.items():
-        for good, k in goods.items():
-            pairs[bad, good] = k
-    state = records.sparkSession.sparkContext.broadcast((repairer.contexts, pairs))
-    return spread(records.select(F.col(id_column).cast("long").alias("rec_id"), *columns)).mapInArrow(_apply(state, columns), "rec_id long, field string, restored string, transformations array<string>")
+    src = spread(records.select(F.col(id_column).cast("long").alias("rec_id"), *columns))
+    contexts, _, learnt = collection(src.select(*columns))
+    garbled = cut(verdicts(contexts, learnt))
+    met = src.mapInArrow(_places, "rec_id long, before string, run string, after string").join(garbled, ["before", "run", "after"])
+    known = met.groupBy(F.col("rec_id").alias("rec")).agg(F.collect_set(F.struct("before", "run", "after", "good", "t")).alias("known"))
+    held = src.join(known, F.col("rec_id").eqNullSafe(F.col("rec"))).select("rec_id", "known", *columns)
+    return held.mapInArrow(_apply(columns), "rec_id long, field string, restored string, transformations array<string>")

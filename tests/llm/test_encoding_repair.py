@@ -66,5 +66,21 @@ def test_every_variant_is_aligned_with_the_clean_one(pubs):
 def test_pairs_of_middle_variants_are_learnt(pubs):
     clean = "técnica de observação"
     rows = [{"rec_id": k, "abstract": t} for k, t in enumerate([clean] * 9 + [garble(clean, *way) for way in WAYS])]
-    learnt = E.learn(pubs(*rows)).learnt
-    assert all(learnt[garble("é", *way)]["é"] for way in WAYS)
+    learnt = {(r.bad, r.good) for r in E.collection(pubs(*rows).select("title", "abstract"))[2].collect()}
+    assert all((garble("é", *way), "é") in learnt for way in WAYS)
+
+
+def test_decisions_are_those_of_all_counts(pubs, rows):
+    """Joined in Spark as by one Repairer that holds every count; runs are whole."""
+    long = garble("éàéàéàéàé", "utf-8", "cp1252")
+    extra = [{"rec_id": 5000 + k, "abstract": t} for k, t in enumerate(["uma avalia��o da regi�o", "\x93nota\x94", "SITUAÃO E AVALIAÃÃO", "ÁGUA E CORROSÃO: AVALIAÇÃO", f"a {long} b", "a éàéàéàéàé b"])]
+    src = pubs(*rows, *extra)
+    contexts, pairs, learnt = E.collection(src.select("title", "abstract"))
+    full = E.Repairer({(r.before, r.run, r.after): r.n for r in contexts.collect()}, {(r.a, r.b): r.n for r in pairs.collect()})
+    got = {(r.bad, r.good): r.k for r in learnt.collect()}
+    assert got == {(bad, good): k for bad, goods in full.learnt.items() for good, k in goods.items()}
+    full.support = E.Repairer(full.contexts, got).support
+    want = {key: x[1:] for key in full.contexts if (x := full.verdict(*key))[0]}
+    found = {(r.before, r.run, r.after): (r.good, r.t) for r in E.verdicts(contexts, learnt).collect()}
+    assert found == want and len(want) > 20
+    assert (" ", long, " ") in full.contexts and len(long) > 12 and want[" ", long, " "][0] == "éàéàéàéàé"
