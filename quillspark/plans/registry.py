@@ -644,7 +644,7 @@ def generate_tags(spark, d):
 
 @query()
 def parse_tags(spark, d):
-    return table(spark, d, "documents").where("doc_kind = 'prompt'").select("doc_id", parse_responses(F.col("text")).alias("tags"))
+    return table(spark, d, "documents").select("doc_id", parse_responses(F.col("text")).alias("tags"))
 
 
 def _filled(c, array=False):
@@ -686,6 +686,14 @@ def loss_asof(spark, d):
     return analysis.last_known(e.where("step % 5 = 0"), e.where("step % 7 = 3").select("run", "step"))
 
 
+@query("""WITH e AS (SELECT event_type AS run, event_id AS step, value FROM events), p AS (SELECT * FROM e WHERE value IS NOT NULL)
+SELECT e.run, e.step, p.value FROM e ASOF LEFT JOIN p ON e.run = p.run AND e.step >= p.step""")
+def loss_asof_all(spark, d):
+    """As loss_asof, every event a point and a request."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
+    return analysis.last_known(e, e.select("run", "step"))
+
+
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return incremental.windowed_counts(table(spark, d, "events"), "ts", "event_type").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -44,3 +44,8 @@ def test_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(registry.QUERIES) > 60
     assert entry.entry(spark).limit(5).count() == 5
+
+
+@pytest.mark.parametrize("name,source", [("parse_tags", "documents"), ("loss_asof_all", "events")])
+def test_whole_tables_are_read(spark, name, source):
+    assert registry.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
