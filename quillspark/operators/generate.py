@@ -12,11 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.parsing import parse_response
+from quillspark.operators.curriculum import SECTIONS
 
 SYSTEM = "You name the areas of expertise of a researcher. Answer with one JSON object and nothing else."
 TASK = 'Read the publications below and answer with the {n} tags that describe the author best, most certain first, as {{"tags": ["...", "..."]}}.'
 EXAMPLE = ("Publications:\nTítulo: Example title", '{"tags": ["example tag", "another tag"]}')
 
+CURRICULUM_TASK = 'Read the curriculum below and answer with the {n} tags that describe the author best, most certain first, as {{"tags": ["...", "..."]}}. Weigh all sections together, keep the language of the evidence and name no persons, institutions or posts.'
+CURRICULUM_EXAMPLES = [
+    ('Curriculum:\n{"formacao_academica":[{"curso":"Example course"}],"linhas_de_pesquisa":[{"linha":"Example line"}]}', '{"tags": ["example tag", "another tag"]}'),
+    ('Curriculum:\n{"ensino":[{"disciplinas":["Disciplina de exemplo"]}]}', '{"tags": ["tag de exemplo", "outra tag"]}'),
+]
+
 
 @dataclass(frozen=True)
 class GenerationConfig:
@@ -71,6 +78,24 @@ def chat_messages(publications: Column, config: GenerationConfig = GenerationCon
     return F.array(say("system", F.lit(SYSTEM)), *few, say("user", task))
 
 
+def curriculum_json(compacted: DataFrame) -> DataFrame:
+    """curriculum.profile(...) -> author, curriculum: the sections in their order as one JSON object, each a list of its
+    records by recency, then place; fields a record lacks are left out."""
+    kinds = dict(compacted.drop("author", "section", "pos", "recency").dtypes)
+    told = [F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith("array") else F.when(F.col(c) != "", F.col(c)).alias(c) for c, t in kinds.items()]
+    rows = compacted.where(F.col("section").isin(*SECTIONS)).select("author", "section", F.struct(F.coalesce("recency", "pos").alias("o"), "pos", F.to_json(F.struct(*told)).alias("record")).alias("x"))
+    per = rows.groupBy("author").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.col("x")))), lambda x: x["record"]), ",").alias(s) for s in SECTIONS])
+    return per.select("author", F.concat(F.lit("{"), F.concat_ws(",", *[F.when(F.col(s) != "", F.concat(F.lit(f'"{s}":['), F.col(s), F.lit("]"))) for s in SECTIONS]), F.lit("}")).alias("curriculum"))
+
+
+def curriculum_messages(curriculum: Column, config: GenerationConfig = GenerationConfig()) -> Column:
+    """As chat_messages, over a curriculum in JSON, with the prompt and two examples of its own."""
+    config.validate()
+    say = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    few = [say(role, F.lit(x)) for pair in CURRICULUM_EXAMPLES for role, x in zip(("user", "assistant"), pair)] if config.mode == "few_shot" else []
+    return F.array(say("system", F.lit(SYSTEM)), *few, say("user", F.concat(F.lit(CURRICULUM_TASK.format(n=config.n_tags) + "\n\nCurriculum:\n"), curriculum)))
+
+
 def chat_prompt(messages: Column) -> Column:
     """One string, for generators that take no message list."""
     return F.concat(F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"])), "\n"), F.lit("\n<|assistant|>\n"))

@@ -704,6 +704,13 @@ def curriculum_profile(spark, d):
     return curriculum.profile(_curricula(spark, d))
 
 
+@query()
+def generate_curriculum_tags(spark, d):
+    told = generate.curriculum_json(curriculum.profile(_curricula(spark, d)))
+    prompts = told.select("author", generate.chat_prompt(generate.curriculum_messages(F.col("curriculum"))).alias("prompt"))
+    return generate.generate(prompts).select("author", "tags", "error")
+
+
 @query()
 def curriculum_units(spark, d):
     return curriculum.units(curriculum.profile(_curricula(spark, d)))

@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import curriculum, generate, profiles
 from quillspark.sources import readers, sinks
@@ -128,3 +129,24 @@ def test_stream_adds_each_author_once(spark, tmp_path):
         q.awaitTermination()
         spark.createDataFrame([("2", "c"), ("3", "d")], "author string, prompt string").write.mode("append").parquet(src)
     assert sorted(r.author for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_curriculum_prompts(spark):
+    import json
+
+    empty = {"recency": None, "tipo": None, "ano": None, "titulo": None, "natureza": None, "palavras_chave": [], "areas": [], "vinculo_cargo": [], "curso": None, "linha": None}
+    rows = [
+        {"author": "1", "section": "producao_bibliografica", "pos": 5, "recency": 2, "titulo": "older", "ano": "2001"},
+        {"author": "1", "section": "producao_bibliografica", "pos": 6, "recency": 1, "titulo": 'a "newer" one', "ano": "2020", "palavras_chave": ["k1", "k2"]},
+        *({"author": "1", "section": s, "pos": k, "areas": [s]} for k, s in enumerate(curriculum.SECTIONS) if s != "producao_bibliografica"),
+        {"author": "2", "section": "linhas_de_pesquisa", "pos": 0, "linha": "l"},
+    ]
+    schema = "author string, section string, pos int, recency int, tipo string, ano string, titulo string, natureza string, palavras_chave array<string>, areas array<string>, vinculo_cargo array<string>, curso string, linha string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    df = spark.createDataFrame([tuple((empty | r)[n] for n in names) for r in rows], schema)
+    told = generate.curriculum_json(df)
+    got = {r.author: json.loads(r.curriculum) for r in told.collect()}
+    assert list(got["1"]) == curriculum.SECTIONS and len(got["1"]) == 9 and got["2"] == {"linhas_de_pesquisa": [{"linha": "l"}]}
+    assert got["1"]["producao_bibliografica"] == [{"ano": "2020", "titulo": 'a "newer" one', "palavras_chave": ["k1", "k2"]}, {"ano": "2001", "titulo": "older"}]
+    m = {r.author: r.m for r in told.select("author", generate.curriculum_messages(F.col("curriculum"), generate.GenerationConfig(n_tags=7)).alias("m")).collect()}
+    assert [x.role for x in m["2"]] == ["system", "user", "assistant", "user", "assistant", "user"] and "7 tags" in m["2"][-1].content and m["2"][-1].content.endswith('{"linhas_de_pesquisa":[{"linha":"l"}]}')
