@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_ARROW_DEFAULT = "10000"
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -29,10 +31,10 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that the operators rely on, and this package on executors that lack it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # texts run to tens of thousands of characters: Arrow batches stay small in memory
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    """Arrow batches for long texts, and this package on executors that lack it."""
+    # texts run to tens of thousands of characters: Arrow batches stay small in memory, unless the session has its own size
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _ARROW_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
@@ -51,10 +53,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable eager checkpoint in the shared folder of spark.checkpoint.dir.
 
-    Only where no folder is set (tests) a local one is chosen."""
+    Where none is set a folder of this machine serves a local session (tests); a cluster's executors could
+    not read it, so there it is an error."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -67,6 +72,9 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where a few small files would leave most of them idle.
 
     Call it on selected columns, before work that costs more than a shuffle of them. Tables that are read in
-    at least half as many partitions as there are cores stay as they are, so at scale nothing moves."""
+    at least half as many partitions as there are cores stay as they are, so at scale nothing moves. Rows that
+    come out of a shuffle stay too: to ask for their partitions would run it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
