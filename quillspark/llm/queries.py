@@ -25,9 +25,9 @@ def p1_classes(spark, sf_dir):
 
 
 def p2_found(spark, sf_dir):
-    from quillspark.llm.distinctiveness import log_entropy_weights
+    from quillspark.llm.distinctiveness import shared_terms
 
-    return log_entropy_weights(_pubs(spark, sf_dir), least_tf=3).where(F.col("df").between(2, 5)).select("rec_id", "term")
+    return shared_terms(_pubs(spark, sf_dir), 3, 5).select("rec_id", "term")
 
 
 def p2_weights(spark, sf_dir):
