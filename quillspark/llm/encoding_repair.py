@@ -7,10 +7,14 @@ frequent) is the centre; every other is aligned with it, and their runs of non-A
 or repeatedly) supports that transformation, other pairs are kept as they are. Together with counts of the
 runs' neighbourhoods over the whole collection they decide on the remaining texts:
 
-* UTF-8 read as a single-byte page leaves sequences that can't be anything else, and are decoded back;
+* transformations that twins show are tried first, and only where none fits those that no twin shows;
+* UTF-8 read as a single-byte page leaves sequences that can't be anything else, and are decoded back, into
+  Latin letters and signs or into a run of letters of one other script;
 * a single-byte page read as another leaves one wrong character for one right one. It is taken as garbled
   where the restored neighbourhood (character before, run, character after) is many times as frequent as the
-  one found; the factor is lower for transformations and pairs that twins support;
+  one found; the factor is lower for transformations and pairs that twins support. A word that is more
+  frequent as found than as restored contests that: it is right unless most of its records hold other garbled
+  runs too;
 * replacement characters are always garbled, and restored by the most frequent run of that neighbourhood.
 
 All counts stay in Spark, whole: each neighbourhood is joined with the counts of what it may be restored to
@@ -23,6 +27,7 @@ rows come out each, an empty table gives none. What can't be restored keeps its
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
@@ -55,6 +60,11 @@ _RIGHT -= {chr(b) for b in range(128, 160)} | set("ÐÞþðýÝ¦¬¤¸¯¨ƒˆ
 _ALL_RIGHT = r"\A[%s]+\z" % "".join(rf"\x{{{ord(c):x}}}" for c in sorted(_RIGHT))  # as Spark has it
 
 
+#: Transformations that the collection's counts decide on; what others leave can't be right text.
+_HARD = re.compile(r"utf8>(?!latin1, lost).*|lost|cp1252>latin1")
+_AFTER = re.compile(r"[A-Za-z]*")
+
+
 def neighbour(c: str) -> str:
     if not c:
         return " "
@@ -64,10 +74,28 @@ def neighbour(c: str) -> str:
 
 
 def runs(text: str):
-    """(start, end, before, run, after) of each run of non-ASCII characters."""
+    """(start, end, before, run, after) of each run of non-ASCII characters; before and after are the ASCII
+    letters that touch it, or the kind of what does. The character next to the run is their last and first."""
     for m in RUN.finditer(text):
         a, b = m.span()
-        yield a, b, neighbour(text[a - 1 : a]), m.group(), neighbour(text[b : b + 1])
+        k = a
+        while k and text[k - 1].isascii() and text[k - 1].isalpha():
+            k -= 1
+        yield a, b, text[k:a] or neighbour(text[a - 1 : a]), m.group(), _AFTER.match(text, b).group() or neighbour(text[b : b + 1])
+
+
+def _foreign(run: str, page: str) -> str | None:
+    """The run as UTF-8 letters of one script other than Latin that were read as page."""
+    byte = _BYTE[page]
+    if any(c not in byte for c in run):
+        return None
+    try:
+        out = bytes(byte[c] for c in run).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    scripts = {unicodedata.name(c, "? ?").split()[0] for c in out if not unicodedata.combining(c)}
+    plain = all(unicodedata.category(c)[0] in "LM" for c in out) and len(scripts) == 1 and not scripts & {"LATIN", "?", "MODIFIER", "COMBINING"}
+    return out if plain and (len(out) > 1 or run[0] in "ÐÎÏ") else None
 
 
 def _from_utf8(run: str, page: str) -> str | None:
@@ -101,6 +129,9 @@ def _from_page(run: str, page: str) -> str | None:
 def repairs(run: str):
     """(transformation, restored run) of each transformation that may have led to the run."""
     for page in PAGES:
+        if (other := _foreign(run, page)) is not None:
+            yield f"utf8>{page}", other
+            return
         now, times = run, 0
         while times < 4 and (nxt := _from_utf8(now, page)) is not None:
             now, times = nxt, times + 1
@@ -116,10 +147,11 @@ def suspect(run: str) -> bool:
 
 
 class Repairer:
-    """Decides on runs. contexts: {(before, run, after): n}; pairs: {(garbled, clean): twins}."""
+    """Decides on runs. contexts: {(before, run, after): n}, of one character each side; pairs: {(garbled,
+    clean): twins}; unsupported: whether transformations that no twin shows are tried too."""
 
-    def __init__(self, contexts: dict, pairs: dict):
-        self.contexts = contexts
+    def __init__(self, contexts: dict, pairs: dict, unsupported: bool = True):
+        self.contexts, self.unsupported = contexts, unsupported
         self.total = Counter()
         self.left, self.right = Counter(), Counter()
         self.by_place: dict = {}
@@ -154,18 +186,21 @@ class Repairer:
         if key not in self.known:
             if len(self.known) > FLUSH:
                 self.known.clear()
-            self.known[key] = self._decide(p, run, n)
+            self.known[key] = self._decide(p[-1:], run, n[:1])
         return self.known[key]
 
     def _decide(self, p, run, n):
         best = None
-        for t, good in repairs(run):
-            if t.startswith("utf8"):
-                weight = self.contexts.get((p, good, n), 0) + self.support[t] / 1e9
-                if best is None or weight >= best[0]:
-                    best = (weight, good, t)
-        if best:
-            return True, best[1], best[2]
+        ways = list(repairs(run))
+        shown = [x for x in ways if self.support[x[0]]]
+        for part in (shown, [x for x in ways if not self.support[x[0]]] if self.unsupported else []):
+            for t, good in part:
+                if t.startswith("utf8"):
+                    weight = self.contexts.get((p, good, n), 0) + self.support[t] / 1e9
+                    if best is None or weight >= best[0]:
+                        best = (weight, good, t)
+            if best:
+                return True, best[1], best[2]
         if "�" in run:
             options = [x for x in self.by_place.get((p, len(run), n), ()) if all(a == b or a == "�" for a, b in zip(run, x[1]))]
             k, good = max(options, default=(0, run))
@@ -174,8 +209,8 @@ class Repairer:
             good = "".join(_READ["cp1252"].get(ord(c), c) for c in run)
             return True, good, "cp1252>latin1"
         options = []
-        for t, good in repairs(run):
-            if self._outweighs(p, good, run, n, 8 if self.support[t] else 25):
+        for t, good in ways:
+            if (self.support[t] or self.unsupported) and self._outweighs(p, good, run, n, 8 if self.support[t] else 25):
                 options.append((self.contexts.get((p, good, n), 0), good, t))
         for good, k in self.learnt.get(run, {}).items():
             if self._outweighs(p, good, run, n, 8):
@@ -208,12 +243,12 @@ def _texts(batch):
                 yield text
 
 
-def _contexts(batches):
+def _words(batches):
     count: Counter = Counter()
 
     def out():
         k = list(count)
-        return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in k], pa.string()) for i in range(3)), pa.array(list(count.values()), pa.int64())], names=["before", "run", "after", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in k], pa.string()) for i in range(3)), pa.array(list(count.values()), pa.int64())], names=["head", "run", "tail", "n"])
 
     for batch in batches:
         for text in _texts(batch):
@@ -225,6 +260,15 @@ def _contexts(batches):
         yield out()
 
 
+def words(src: DataFrame) -> DataFrame:
+    """head, run, tail, n: each run of the collection with the letters that touch it."""
+    return src.mapInArrow(_words, "head string, run string, tail string, n long").groupBy("head", "run", "tail").agg(F.sum("n").alias("n"))
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"before": F.substring("head", -1, 1), "after": F.substring("tail", 1, 1)})
+
+
 def _rests(batches):
     looks: dict[str, bool] = {}
     for batch in batches:
@@ -267,9 +311,10 @@ def twins(src: DataFrame) -> DataFrame:
     return each.withColumn("centre", best["variant"]).where("variant <> centre").select("variant", "centre")
 
 
-def collection(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """contexts(before, run, after, n), pairs(a, b, n), learnt(bad, good, k): all that the collection says of its runs."""
-    contexts = cut(src.mapInArrow(_contexts, "before string, run string, after string, n long").groupBy("before", "run", "after").agg(F.sum("n").alias("n")))
+def collection(src: DataFrame, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """contexts(before, run, after, n), pairs(a, b, n), learnt(bad, good, k): all that the collection says of its
+    runs. counted: its words, where they are counted already."""
+    contexts = cut(_beside(words(src) if counted is None else counted).groupBy("before", "run", "after").agg(F.sum("n").alias("n")))
     pairs = cut(twins(src).mapInArrow(_align, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     total = contexts.groupBy("run").agg(F.sum("n").alias("total"))
     ways = pairs.select(F.col("a").alias("bad"), F.col("b").alias("good"), "n").unionAll(pairs.select(F.col("b").alias("bad"), F.col("a").alias("good"), "n"))
@@ -293,10 +338,10 @@ def _candidates(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in range(5)], names=["before", "run", "after", "good", "by"])
 
 
-def _verdicts(support):
+def _verdicts(support, unsupported):
     def run(batches):
         for batch in batches:
-            r = Repairer({}, {})
+            r = Repairer({}, {}, unsupported)
             r.support.update(support)
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             for (p, bad, n), found, left, right, options in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7))):
@@ -314,7 +359,7 @@ def _verdicts(support):
     return run
 
 
-def verdicts(contexts: DataFrame, learnt: DataFrame) -> DataFrame:
+def verdicts(contexts: DataFrame, learnt: DataFrame, unsupported: bool = True) -> DataFrame:
     """before, run, after, good, t of every neighbourhood of the collection that is garbled."""
     named = learnt.mapInArrow(_named, "t string, k long").groupBy("t").agg(F.sum("k").alias("k")).collect()  # a row for each transformation at most
     here = contexts.select("before", "run", "after")
@@ -332,18 +377,26 @@ def verdicts(contexts: DataFrame, learnt: DataFrame) -> DataFrame:
     weighed = options.join(contexts.withColumnsRenamed({"run": "good", "n": "have"}), ["before", "good", "after"], "left").join(left.withColumnRenamed("run", "good"), ["before", "good"], "left").join(right.withColumnRenamed("run", "good"), ["good", "after"], "left")
     weighed = weighed.fillna(0, ["have", "left", "right"]).groupBy("before", "run", "after").agg(F.collect_list(F.struct("good", "by", "have", "left", "right")).alias("options"))
     own = contexts.join(left, ["before", "run"]).join(right, ["run", "after"]).join(weighed, ["before", "run", "after"], "left")
-    return own.select("before", "run", "after", "n", "left", "right", "options").mapInArrow(_verdicts({r.t: r.k for r in named}), "before string, run string, after string, good string, t string")
+    return own.select("before", "run", "after", "n", "left", "right", "options").mapInArrow(_verdicts({r.t: r.k for r in named}, unsupported), "before string, run string, after string, good string, t string")
+
+
+def contested(garbled: DataFrame, counted: DataFrame) -> DataFrame:
+    """head, run, tail of the words that are more frequent as found than as restored, by counts alone."""
+    soft = garbled.where(~F.col("t").rlike(f"^(?:{_HARD.pattern})$"))
+    found = _beside(counted.where("n >= 3")).join(soft, ["before", "run", "after"]).select("head", "run", "tail", "good", "n")
+    have = counted.select("head", F.col("run").alias("good"), "tail", F.col("n").alias("have"))
+    return found.join(have, ["head", "good", "tail"], "left").where("n > 4 * coalesce(have, 0)").select("head", "run", "tail", F.lit(True).alias("doubt"))
 
 
 def _places(batches):
-    """Each row's neighbourhoods, once."""
+    """Each row's words with a run, once."""
     for batch in batches:
         rows = []
         for rec, *texts in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
             met = {(p, r, n) for text in texts if text and not text.isascii() for _, _, p, r, n in runs(text)}
             rows += [(rec, *x) for x in met]
         cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3))], names=["rec_id", "before", "run", "after"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3))], names=["rec_id", "head", "run", "tail"])
 
 
 def _apply(columns):
@@ -352,7 +405,7 @@ def _apply(columns):
             rows = []
             for rec, known, *texts in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 r = Repairer({}, {})
-                r.known = {(x["before"], x["run"], x["after"]): (True, x["good"], x["t"]) for x in known}
+                r.known = {(x["head"], x["run"], x["tail"]): (True, x["good"], x["t"]) for x in known}
                 for field, text in zip(columns, texts):
                     if text and not text.isascii():
                         for _, _, p, bad, n in runs(text):
@@ -366,12 +419,22 @@ def _apply(columns):
     return run
 
 
-def garbled_fields(records: DataFrame, id_column: str = "rec_id", columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
-    """rec_id, field, restored, transformations of every garbled field."""
+def garbled_fields(records: DataFrame, id_column: str = "rec_id", columns: tuple[str, ...] = ("title", "abstract"), unsupported: bool = True) -> DataFrame:
+    """rec_id, field, restored, transformations of every garbled field.
+
+    Without unsupported only transformations that twins show are applied."""
     src = spread(records.select(F.col(id_column).cast("long").alias("rec_id"), *columns))
-    contexts, _, learnt = collection(src.select(*columns))
-    garbled = cut(verdicts(contexts, learnt))
-    met = src.mapInArrow(_places, "rec_id long, before string, run string, after string").join(garbled, ["before", "run", "after"])
-    known = met.groupBy(F.col("rec_id").alias("rec")).agg(F.collect_set(F.struct("before", "run", "after", "good", "t")).alias("known"))
+    counted = cut(words(src.select(*columns)))
+    contexts, _, learnt = collection(src.select(*columns), counted)
+    garbled = cut(verdicts(contexts, learnt, unsupported))
+    doubts = contested(garbled, counted)
+    met = _beside(src.mapInArrow(_places, "rec_id long, head string, run string, tail string")).join(garbled, ["before", "run", "after"]).join(doubts, ["head", "run", "tail"], "left")
+    met = cut(met.select("rec_id", "head", "run", "tail", "good", "t", F.coalesce("doubt", F.lit(False)).alias("doubt")))
+    sure = met.where("not doubt")
+    company = sure.select("rec_id").distinct().withColumn("other", F.lit(1))
+    doubted = met.where("doubt")
+    kept = doubted.join(company, "rec_id", "left").groupBy("head", "run", "tail").agg((F.count("other") * 2 >= F.count(F.lit(1))).alias("kept")).where("kept").drop("kept")
+    settled = sure.unionAll(doubted.join(kept, ["head", "run", "tail"], "left_semi").select(*sure.columns))
+    known = settled.groupBy(F.col("rec_id").alias("rec")).agg(F.collect_set(F.struct("head", "run", "tail", "good", "t")).alias("known"))
     held = src.join(known, F.col("rec_id").eqNullSafe(F.col("rec"))).select("rec_id", "known", *columns)
     return held.mapInArrow(_apply(columns), "rec_id long, field string, restored string, transformations array<string>")

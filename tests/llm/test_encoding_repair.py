@@ -84,3 +84,28 @@ def test_decisions_are_those_of_all_counts(pubs, rows):
     found = {(r.before, r.run, r.after): (r.good, r.t) for r in E.verdicts(contexts, learnt).collect()}
     assert found == want and len(want) > 20
     assert (" ", long, " ") in full.contexts and len(long) > 12 and want[" ", long, " "][0] == "éàéàéàéàé"
+
+
+def test_a_word_that_is_right_contests_its_neighbourhood(pubs):
+    """así stands where authors’ stands far more often; authorsí is garbled all the same."""
+    rows = [{"rec_id": k, "abstract": f"The authors’ material was obtained, no. {k}"} for k in range(300)]
+    rows += [{"rec_id": 1000 + k, "abstract": f"Describimos el caso, así como la respuesta {k}"} for k in range(6)]
+    rows += [{"rec_id": 2000 + k, "abstract": garble(f"The authors’ material was obtained, no. {k}", "cp1252", "mac_roman")} for k in range(5)]
+    got = {r.rec_id: r.restored for r in E.garbled_fields(pubs(*rows)).collect()}
+    assert set(got) == set(range(2000, 2005)) and got[2001] == "The authors’ material was obtained, no. 1"
+
+
+@pytest.mark.parametrize("text", ["привет мир и слова", "καλημέρα κόσμε", "数据处理", "שלום עולם", "é informação e ação"])
+@pytest.mark.parametrize("page", ["cp1252", "latin-1"])
+def test_other_scripts_come_back(text, page):
+    wrong = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in text.encode("utf-8"))
+    assert E.Repairer({}, {}).field(wrong)[0] == text
+    assert E.Repairer({}, {}).field("«ESPAÑA» DOÑA É” à» Ó…") is None
+
+
+def test_what_twins_show_is_enough(pubs, rows):
+    """Found with the transformations of twins alone; none without twins but what can't be right."""
+    alone = {r.rec_id for r in E.garbled_fields(pubs(*rows), unsupported=False).collect()}
+    assert alone == {r["rec_id"] for r in rows if r["rec_id"] >= 1000 and r["rec_id"] % 2 == 0}
+    single = [{"rec_id": k, "abstract": garble(SENTENCES[k], "utf-8", "cp1252")} for k in range(3)]
+    assert E.garbled_fields(pubs(*single), unsupported=False).collect() == [] and len(E.garbled_fields(pubs(*single)).collect()) == 3
