@@ -1,17 +1,22 @@
 """Document languages, also of the parts of mixed ones: string-kernel classification.
 
-The kernel of two segments counts the character n-grams of 1 to 5 characters (word ends included) that
-their distinct words both hold: a blended spectrum of presence, normalised by the n-grams of each side.
-A bounded sample of labelled rows is drawn by hash; MAX_LANDMARKS of its segments are Nyström landmarks,
-and one-versus-rest kernel ridge regression is solved on their features, twice, the second time without
-the segments whose label the first solution contradicts. As every landmark is a sum of n-gram features, the solution folds into one weight for each
-n-gram and language; batches of segments are then scored by one product of their word incidence with the
-words' weights.
+The kernel of two segments is the number of character n-grams of 1 to 5 characters (word ends included) that
+are present in both: a blended spectrum of presence, normalised by the n-grams of each side. A bounded sample
+of labelled rows is drawn by hash; MAX_LANDMARKS of its segments are Nyström landmarks, and one-versus-rest
+kernel ridge regression is solved on their features, twice, the second time without the segments whose label
+the first solution contradicts. As every landmark is a vector of n-grams, the solution folds into one weight
+for each n-gram and language, and batches of segments are scored by one product of their 0/1 matrix of
+n-grams with the weights.
 
 A title is one segment, an abstract is cut into sentences. Each gets the best language and a confidence
-(0 to 1, from the margin to the second). Segments under MIN_WORDS words, placeholders, null and empty
-fields have no language. Repeated rows come out each; an empty table gives none. Without any labelled row
-nothing can be learnt and no field has a language.
+(0 to 1, from the margin to the second). A segment of low margin is searched for the place where its language
+changes: it is parted there if both sides have MIN_PART words and are clear by themselves. Parts have a
+language of their own; the field has that of the whole sentence, and those of titles set side by side
+(a = b, a / b, a [b]).
+
+Titles under MIN_TITLE_WORDS words, abstract segments that are no sentence (without an end mark and under
+MIN_WORDS words), placeholders, null and empty fields have no language. Repeated rows come out each; an
+empty table gives none. Without any labelled row nothing can be learnt and no field has a language.
 """
 
 from __future__ import annotations
@@ -30,8 +35,16 @@ from quillspark.session import spread
 
 LANGUAGES = ("pt", "en", "es", "fr")
 #: Bounds of the sample that is fitted: rows drawn, segments used, landmarks, n-gram places.
-MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 2500, 12000, 384, 1 << 15
-RIDGE, MIN_WORDS, MIN_TITLE_WORDS, MIN_MARGIN, LONGEST = 1e-5, 5, 4, 0.12, 5
+MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 5000, 24000, 1024, 1 << 15
+RIDGE, MIN_WORDS, MIN_TITLE_WORDS, LONGEST = 1e-5, 5, 4, 5
+#: Segments under MIXED are searched for a change of language; parts need MIN_PART words and CLEAR.
+MIXED, MIN_PART, CLEAR = 1.0, 4, 0.5
+CHUNK = 64  # segments in a product
+DENSE = 2048  # n-grams that most landmarks have; the kernel multiplies these and counts the others
+_END = re.compile(r"[.!?…][\"”»)\]]*\s*\Z")
+_SIDE = re.compile(r"[=/|\[\]]")
+#: What stands in place of a text.
+_PLACEHOLDER = re.compile(r"(?i)\W*(?:(?:resumo|abstract|resumen|r[ée]sum[ée]|texto?|text|summary)\W+)?(?:not? available|n[ãa]o (?:dispon[íi]vel|informado|consta)|no disponible|non disponible|indispon[íi]vel|unavailable|n/?[ad]|(?:sem|no|sin|sans) (?:resumo|abstract|resumen|r[ée]sum[ée]))\W*\Z")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TAG = re.compile(r"<[^<>]{0,200}>|&#?\w{1,10};|\{\{[^{}]*\}\}|```.*?```|https?://\S+|\\(?:cite|label|begin|end)\{[^{}]*\}", re.S)
 _ACCENT = re.compile(r"\\['`^~\"c]\s*\{?\\?([A-Za-z])\}?")
@@ -73,31 +86,70 @@ def grams(word: str) -> list[int]:
     return list({xxhash.xxh32_intdigest(w[i : i + n]) & (PLACES - 1) for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)})
 
 
+class Presence:
+    """0/1 matrices of the n-grams of sets of words; each word's n-grams are made once."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.grams: list[np.ndarray] = []
+        self.matrix = np.zeros((CHUNK, PLACES), np.float32)
+
+    def learn(self, sets) -> list[str]:
+        if len(self.index) > 1 << 18:
+            self.index, self.grams = {}, []
+        new = list(dict.fromkeys(w for ws in sets for w in ws if w not in self.index))
+        for w in new:
+            self.index[w] = len(self.grams)
+            self.grams.append(np.array(grams(w), np.uint16))
+        return new
+
+    def chunks(self, sets):
+        """(first, matrix) of CHUNK sets at a time; the matrix is used again for the next."""
+        flat = self.matrix.ravel()
+        for first in range(0, len(sets), CHUNK):
+            part = sets[first : first + CHUNK]
+            each = [[self.grams[self.index[w]] for w in ws] for ws in part]
+            at = np.repeat(np.arange(len(part), dtype=np.int32) * PLACES, [sum(map(len, x)) for x in each]) + np.concatenate([g for x in each for g in x] or [np.zeros(0, np.uint16)])
+            flat[at] = 1
+            yield first, self.matrix[: len(part)]
+            flat[at] = 0
+
+
+class Landmarks:
+    """The kernel of segments with a 0/1 matrix of landmarks."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.norm = np.sqrt(matrix.sum(axis=1))
+        self.top = np.argsort(-matrix.sum(axis=0), kind="stable")[:DENSE]
+        self.dense = np.ascontiguousarray(matrix[:, self.top].T)
+        rest = matrix.copy()
+        rest[:, self.top] = 0
+        gram, self.who = np.nonzero(rest.T)
+        self.many = np.bincount(gram, minlength=PLACES)
+        self.start = np.cumsum(self.many) - self.many
+
+    def kernel(self, m: np.ndarray) -> np.ndarray:
+        both = m[:, self.top] @ self.dense
+        row, gram = np.divmod(np.flatnonzero(m), PLACES)
+        n = self.many[gram]
+        at = np.arange(n.sum()) + np.repeat(self.start[gram] - (np.cumsum(n) - n), n)
+        both += np.bincount(np.repeat(row, n) * len(self.norm) + self.who[at], minlength=both.size).reshape(both.shape)
+        return both / self.norm / np.sqrt(m.sum(axis=1, keepdims=True))
+
+
 def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
     """Weights PLACES x languages from (segment, language)."""
     sets = [(words(s), LANGUAGES.index(k)) for s, k in sample]
     sets = [(w, k) for w, k in sets if len(w) >= MIN_TITLE_WORDS][:MAX_SEGMENTS]
     if not sets or len({k for _, k in sets}) < 2:
         return None
-    index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(w for w, _ in sets)))}
-    g = [grams(w) for w in index]
-    size = np.array([len(x) for x in g], np.float64)
-    flat, at = np.concatenate([np.array(x) for x in g]), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)
-    ids = [np.array([index[w] for w in sorted(ws)]) for ws, _ in sets]
-    norm = np.sqrt([size[i].sum() for i in ids])
-    y = np.array([k for _, k in sets])
+    y, own = np.array([k for _, k in sets]), [w for w, _ in sets]
     pick = np.sort(np.concatenate([np.flatnonzero(y == k)[: MAX_LANDMARKS // len(LANGUAGES)] for k in range(len(LANGUAGES))]))
-    landmarks = np.zeros((len(pick), PLACES), np.float32)
-    for r, s in enumerate(pick):
-        for i in ids[s]:
-            landmarks[r, g[i]] += 1
-        landmarks[r] /= norm[s]
-    by_word = np.zeros((len(index), len(pick)), np.float32)
-    for a in range(0, len(index), 4096):
-        b = min(len(index), a + 4096)
-        lo, hi = at[a], at[b] if b < len(index) else len(flat)
-        by_word[a:b] = np.add.reduceat(landmarks.T[flat[lo:hi]], at[a:b] - lo, axis=0)
-    kernel = np.stack([by_word[i].sum(axis=0) for i in ids]).astype(np.float64) / norm[:, None]
+    present = Presence()
+    present.learn(own)
+    chosen = np.concatenate([m.copy() for _, m in present.chunks([own[i] for i in pick])])
+    landmarks = Landmarks(chosen)
+    kernel = np.concatenate([landmarks.kernel(m) for _, m in present.chunks(own)]).astype(np.float64)
     value, vector = np.linalg.eigh(kernel[pick])
     half = vector / np.sqrt(np.maximum(value, 1e-6))
     z = kernel @ half
@@ -106,34 +158,71 @@ def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
         target = np.where(y[keep, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
         w = np.linalg.solve(z[keep].T @ z[keep] + RIDGE * keep.sum() * np.eye(z.shape[1]), z[keep].T @ target)
         keep = (z @ w).argmax(axis=1) == y
-    return (landmarks.T @ (half @ w)).astype(np.float32)
+    return (chosen.T @ (half @ w / landmarks.norm[:, None])).astype(np.float32)
 
 
 class Scorer:
-    """Scores of segments: their words' weights are made once and added up in one product a batch."""
+    """Scores of segments in one product a chunk, and the place where a segment's language changes."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.index = weights, {}
-        self.table, self.sizes = np.zeros((0, len(LANGUAGES)), np.float32), np.zeros(0, np.float32)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.index) > 1 << 18:
-            self.index, self.table, self.sizes = {}, self.table[:0], self.sizes[:0]
-        g = [grams(w) for w in new]
-        n = np.array([len(x) for x in g])
-        rows = np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(g), np.int64)], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-        self.index.update({w: len(self.index) + i for i, w in enumerate(new)})
-        self.table, self.sizes = np.concatenate([self.table, rows]), np.concatenate([self.sizes, n.astype(np.float32)])
+        self.weights = np.concatenate([weights, np.ones((PLACES, 1), np.float32)], axis=1)  # the last column counts n-grams
+        self.present = Presence()
 
     def scores(self, sets: list[set[str]]) -> np.ndarray:
-        new = list(dict.fromkeys(w for ws in sets for w in ws if w not in self.index))
-        if new:
-            self._learn(new)
-            if any(w not in self.index for ws in sets for w in ws):  # the table was begun anew
-                self._learn(list(dict.fromkeys(w for ws in sets for w in ws if w not in self.index)))
-        ids = np.fromiter((self.index[w] for ws in sets for w in ws), np.int64)
-        at = np.concatenate([[0], np.cumsum([len(ws) for ws in sets])[:-1]]).astype(int)
-        return np.add.reduceat(self.table[ids], at, axis=0) / np.sqrt(np.add.reduceat(self.sizes[ids], at))[:, None]
+        self.present.learn(sets)
+        out = np.zeros((len(sets), len(LANGUAGES) + 1), np.float32)
+        for first, m in self.present.chunks(sets):
+            out[first : first + len(m)] = m @ self.weights
+        return out[:, :-1] / np.sqrt(np.maximum(out[:, -1:], 1))
+
+    def change(self, told: list[str]) -> int | None:
+        """The word before which the language changes most by the sums of words, None if it doesn't."""
+        if len(told) < 2 * MIN_PART:
+            return None
+        self.present.learn([told])
+        each = np.array([self.weights[self.present.grams[self.present.index[w]], :-1].sum(axis=0) for w in told])
+        head = np.cumsum(each, axis=0)[MIN_PART - 1 : len(told) - MIN_PART]
+        tail = each.sum(axis=0) - head
+        gain = np.where(head.argmax(axis=1) != tail.argmax(axis=1), head.max(axis=1) + tail.max(axis=1), -np.inf)
+        return MIN_PART + int(gain.argmax()) if np.isfinite(gain.max()) else None
+
+    def parts(self, text: str) -> list[tuple[int, int, int, float]]:
+        """(start, end, language, margin) of the parts of a mixed segment; one if it isn't mixed."""
+        at = [m.span() for m in _WORD.finditer(text)]
+        told = [text[a:b].lower() for a, b in at]
+
+        def best(a, b):
+            s = np.sort(x := self.scores([set(told[a:b])])[0])
+            return int(x.argmax()), float(s[-1] - s[-2])
+
+        def split(a, b):
+            k = self.change(told[a:b])
+            if k is None:
+                return [(a, b)]
+            (x, mx), (y, my) = best(a, a + k), best(a + k, b)
+            return split(a, a + k) + split(a + k, b) if x != y and min(mx, my) >= CLEAR else [(a, b)]
+
+        cuts = split(0, len(told))
+        starts = [0, *(at[a][0] for a, _ in cuts[1:]), len(text)]
+        return [(p, q, *best(a, b)) for (a, b), p, q in zip(cuts, starts, starts[1:])]
+
+
+def confidence(margin):
+    return np.round(1 / (1 + np.exp(-4.0 * np.asarray(margin, np.float64))), 4)
+
+
+def _candidates(field: str, text: str) -> list[tuple[str, set[str]]]:
+    """The segments of a field that may have a language, with their words."""
+    out = []
+    for s in [" ".join(segments(text))] if field == "title" else segments(text):
+        told = _WORD.findall(s.lower())
+        if field == "title":
+            ok = len(told) >= MIN_TITLE_WORDS
+        else:
+            ok = len(told) >= MIN_WORDS or (len(told) > 1 and _END.search(s))
+        if ok and not _PLACEHOLDER.match(s):
+            out.append((s, set(told)))
+    return out
 
 
 def _run(state):
@@ -149,25 +238,26 @@ def _run(state):
             rows, sets = [], []
             for field, k in (("title", 1), ("abstract", 2)):
                 for rec, text in zip(ids, batch.column(k).to_pylist()):
-                    if not text:
-                        continue
-                    for i, s in enumerate([" ".join(segments(text))] if field == "title" else segments(text)):
-                        ws = words(s)
-                        if len(ws) >= (MIN_TITLE_WORDS if field == "title" else MIN_WORDS):
-                            rows.append((rec, field, i, s))
-                            sets.append(ws)
+                    for i, (s, ws) in enumerate(_candidates(field, text) if text else ()):
+                        rows.append((rec, field, i, s))
+                        sets.append(ws)
             if not rows:
                 continue
             score = held[0].scores(sets)
             order = np.sort(score, axis=1)
             margin = order[:, -1] - order[:, -2]
-            best = np.where(margin >= MIN_MARGIN, score.argmax(axis=1), -1)
-            names = np.array([*LANGUAGES, None], dtype=object)[best]
-            rec, field, i, s = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rec, pa.int64()), pa.array(field, pa.string()), pa.array(i, pa.int32()), pa.array(s, pa.string()), pa.array(list(names), pa.string()), pa.array(np.round(1 / (1 + np.exp(-4.0 * margin.astype(np.float64))), 4))],
-                names=["rec_id", "field", "segment", "text", "lang", "confidence"],
-            )
+            whole = np.array(LANGUAGES, dtype=object)[score.argmax(axis=1)]
+            out = []
+            for (rec, field, i, s), k, m, mixed in zip(rows, whole.tolist(), confidence(margin).tolist(), (margin < MIXED).tolist()):
+                found = held[0].parts(s) if mixed else ()
+                if len(found) < 2:
+                    out.append((rec, field, i, 0, s, k, m, k))
+                    continue
+                side = field == "title" and all(_SIDE.search(s[max(0, a - 3) : a]) for a, *_ in found[1:])
+                for j, (a, b, own, clear) in enumerate(found):
+                    out.append((rec, field, i, j, s[a:b], LANGUAGES[own], float(confidence(clear)), LANGUAGES[own] if side else k if j == 0 else None))
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["rec_id", "field", "segment", "part", "text", "lang", "confidence", "counts_as"])
 
     return run
 
@@ -186,16 +276,21 @@ def learn(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np
 
 
 def language_segments(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """rec_id, field, segment, text, lang, confidence of every title and sentence with enough words."""
+    """rec_id, field, segment, part, text, lang, confidence, counts_as of every title and sentence.
+
+    A mixed segment has a row for each part. counts_as is the language that the row gives its field: that of
+    the whole segment, of titles side by side that of each."""
     state = records.sparkSession.sparkContext.broadcast(learn(records, labels, max_rows))
-    return spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "title", "abstract")).mapInArrow(_run(state), "rec_id long, field string, segment int, text string, lang string, confidence double")
+    src = spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "title", "abstract"))
+    return src.mapInArrow(_run(state), "rec_id long, field string, segment int, part int, text string, lang string, confidence double, counts_as string")
 
 
 def field_languages(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """rec_id, field, lang, segments, confidence: each language of each field.
 
     The segments of a row lie in one partition, so counting them is one shuffle of counted rows."""
-    return language_segments(records, labels, max_rows).where("lang is not null").groupBy("rec_id", "field", "lang").agg(F.count(F.lit(1)).alias("segments"), F.max("confidence").alias("confidence"))
+    own = language_segments(records, labels, max_rows).where("counts_as is not null")
+    return own.groupBy("rec_id", "field", F.col("counts_as").alias("lang")).agg(F.count(F.lit(1)).alias("segments"), F.max("confidence").alias("confidence"))
 
 
 def unlabelled_languages(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

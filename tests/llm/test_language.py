@@ -49,3 +49,36 @@ def test_mixed_placeholder_and_empty(spark, pubs):
     assert got == {(-1, "abstract", "pt"), (-1, "abstract", "en")}
     assert L.language_segments(pubs(), labels).collect() == []
     assert L.field_languages(base.limit(5), labels.limit(0)).collect() == []
+
+
+def test_kernel_is_of_presence(labelled):
+    """A chunk's product equals the sets of n-grams; a word said twice or an n-gram of two words counts once."""
+    some = [L.words(s) for s, _ in labelled[:150]]
+    sets = [set().union(*map(L.grams, ws)) for ws in some]
+    p = L.Presence()
+    p.learn(some)
+    matrix = L.np.concatenate([m.copy() for _, m in p.chunks(some)])
+    assert [set(L.np.flatnonzero(r)) for r in matrix] == sets
+    marks = L.Landmarks(matrix[:40])
+    got = L.np.concatenate([marks.kernel(m) for _, m in p.chunks(some)])
+    assert all(abs(got[i, j] - len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5) < 1e-5 for i in range(150) for j in range(40))
+    weights = L.np.random.default_rng(1).random((L.PLACES, 4), L.np.float32)
+    want = [weights[sorted(x)].sum(axis=0) / len(x) ** 0.5 for x in sets]
+    assert L.np.allclose(L.Scorer(weights).scores(some), want, atol=1e-3)
+
+
+def test_parts_of_mixed_segments(spark, pubs):
+    labels = table(spark, SF, "idioma_rotulos")
+    base = table(spark, SF, "filtered_documents").select("rec_id", "title", "abstract")
+    rows = pubs(
+        {"rec_id": -1, "title": "A avaliação da produção científica nas escolas públicas = The evaluation of scientific production in public schools", "abstract": None},
+        {"rec_id": -2, "title": "The effect of light on growth", "abstract": "Os resultados mostram que não houve diferença entre os grupos estudados as reported in the study of the authors with all of the data."},
+        {"rec_id": -3, "title": "Resumo não disponível", "abstract": "Resumo não disponível. Abstract not available. No aplica. Os dados são claros."},
+        {"rec_id": -4, "title": None, "abstract": "word " * 60_000},
+    ).select("rec_id", "title", "abstract")
+    seg = L.language_segments(base.unionAll(rows), labels).where("rec_id < 0").collect()
+    told = {(r.rec_id, r.field, r.part): r.lang for r in seg if r.rec_id in (-1, -2)}
+    assert told == {(-1, "title", 0): "pt", (-1, "title", 1): "en", (-2, "title", 0): "en", (-2, "abstract", 0): "pt", (-2, "abstract", 1): "en"}
+    assert {r.text for r in seg if r.rec_id == -3} >= {"Os dados são claros."} and not any("dispon" in r.text or "available" in r.text for r in seg if r.rec_id == -3)
+    fields = {(r.rec_id, r.field, r.lang) for r in L.field_languages(base.unionAll(rows), labels).where("rec_id in (-1, -2)").collect()}
+    assert {(-1, "title", "pt"), (-1, "title", "en"), (-2, "title", "en")} <= fields and len([f for f in fields if f[:2] == (-2, "abstract")]) == 1
