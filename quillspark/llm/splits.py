@@ -25,7 +25,7 @@ BUCKETS = 4096
 def coauthor_edges(publications: DataFrame) -> DataFrame:
     """u, v: each author of a row tied to the row's first one, both ways, once (a star, not all pairs)."""
     keys = F.array_distinct(F.filter(F.transform("authors", author_key), lambda a: a.isNotNull()))
-    star = publications.select(keys.alias("a")).where(F.size("a") > 1).select(F.col("a")[0].alias("u"), F.explode(F.slice("a", 2, 1 << 20)).alias("v")).distinct()
+    star = publications.select(keys.alias("a")).where(F.size("a") > 1).select(F.col("a")[0].alias("u"), F.explode(F.slice(F.col("a"), F.lit(2), F.size("a"))).alias("v")).distinct()
     return star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 

@@ -1,14 +1,14 @@
 """Cutting oversized texts at natural boundaries: a recursive separator hierarchy.
 
-A text of more than `limit` tokens is cut into pieces of at most `limit`. From where a piece begins, it
-reaches as far as the limit allows, to the last section boundary within reach, else the last paragraph,
-sentence, word or character boundary: the effect of splitting by sections first, packing them greedily, and
-splitting further only what alone is too large. The next piece begins at the widest natural boundary within
-the last `overlap` tokens. Boundaries of a level in the first eighth of the reach are passed over for the
-next level, or a heading would stand alone.
+A text of more than `limit` tokens is split into its sections, a section that is too large into paragraphs, a
+paragraph into sentences, a sentence into words, a word into characters. The parts that are left, the largest
+that fit, are packed greedily in order: a piece takes parts until the next would burst it, or until a section
+or paragraph ends that had to be split. The next begins at the widest natural boundary within the last
+`overlap` tokens, nearer to the end where the next part needs the room.
 
 Sizes are exact: a slice of an encoding at token boundaries is the encoding of that slice, but for white
-space at its ends, which is encoded anew; where a piece is larger than counted its end moves back.
+space at its ends, which is encoded anew; where a piece is larger than counted it gives up its last part, then
+its overlap, and a part that is too large by itself is split further.
 
 Pieces cover the text: each begins where or before the last one ended. Texts within the limit, null and
 empty ones give no rows. Repeated ids are cut each on their own.
@@ -73,6 +73,28 @@ class _Sizes:
         return k - s + len(encode_text(self.enc, self.text[run:b]))
 
 
+def _parts(level: np.ndarray, s: int, e: int, room: int, kind: int = SECTION):
+    """(end, closes) of the largest parts of at most `room` tokens that s..e is split into, level by level;
+    closes: whether a section or paragraph ends there that had to be split."""
+    if e - s <= room:
+        yield e, False
+        return
+    cuts = s + 1 + np.flatnonzero(level[s + 1 : e] >= kind)
+    if kind == CHARACTER:  # the lowest: as many characters as fit
+        while e - s > room:
+            k = int(np.searchsorted(cuts, s + room, "right")) - 1
+            if k < 0 or cuts[k] <= s:
+                break  # a character that has more tokens than there is room
+            s = int(cuts[k])
+            yield s, False
+        yield e, False
+        return
+    for end in (*cuts.tolist(), e):
+        for at, closes in _parts(level, s, end, room, kind - 1):
+            yield at, closes or (at == end and end - s > room and kind >= PARAGRAPH)
+        s = end
+
+
 def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """(start, end, tokens, level of the end) of each piece, in characters."""
     ids = encode_text(enc, text)
@@ -85,36 +107,40 @@ def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int,
     char = np.searchsorted(first, ends)  # character offset, right where a token ends a character
     whole = np.append(first, len(raw))[np.minimum(char, len(first))] == ends
     level = np.where(whole, _levels(text)[np.minimum(char, len(text))], -1)
-    out, s, n, last, sizes = [], 0, len(ids), 0, _Sizes(enc, text, char)
-    while True:
-        e, kind = min(n, s + limit), 5
-        if e < n:
-            near = max(last + 1, s + (e - s) // 8)
-            for kind in (SECTION, PARAGRAPH, SENTENCE, WORD, CHARACTER):
-                hit = np.flatnonzero(level[near : e + 1] >= kind)
+    n, sizes = len(ids), _Sizes(enc, text, char)
+    parts, closes = map(list, zip(*_parts(level, 0, n, limit)))
+    out, begin, i, room = [], 0, 0, limit
+    while i < len(parts):
+        start = parts[i - 1] if i else 0
+        j = i
+        while not closes[j] and j + 1 < len(parts) and parts[j + 1] - begin <= limit:
+            j += 1
+        size = sizes(begin, parts[j])
+        while size > limit and j > i:
+            j -= 1
+            size = sizes(begin, parts[j])
+        if size > limit:
+            if begin < start:  # no room for an overlap
+                begin = start
+                continue
+            room = max(1, min(room, parts[i] - start) * 3 // 4)
+            finer = list(_parts(level, start, parts[i], room))
+            if len(finer) < 2:
+                raise ValueError(f"no boundary in {size} tokens")
+            parts[i : i + 1], closes[i : i + 1] = [x for x, _ in finer], [c for _, c in finer[:-1]] + [closes[i]]
+            continue
+        end, room = parts[j], limit
+        out.append((int(char[begin]), int(char[end]), size, NAMES[level[end]] if end < n else NAMES[-1]))
+        i = j + 1
+        if i < len(parts):
+            low = max(begin + 1, end - overlap, parts[i] - limit)
+            begin = end
+            for kind in (PARAGRAPH, SENTENCE, WORD, CHARACTER) if overlap else ():
+                hit = np.flatnonzero(level[low:end] >= kind)
                 if len(hit):
-                    e = near + int(hit[-1])
+                    begin = low + int(hit[0])
                     break
-        a, b = int(char[s]), int(char[e])
-        size = sizes(s, e)
-        while size > limit and e > last + 1:
-            back = np.flatnonzero(level[last + 1 : e] >= (WORD if e - s > limit // 2 else CHARACTER))
-            if not len(back):
-                break
-            e, kind = last + 1 + int(back[-1]), WORD
-            b = int(char[e])
-            size = sizes(s, e)
-        out.append((a, b, size, NAMES[kind]))
-        if e >= n:
-            return out
-        begin, last = e, e
-        for kind in (PARAGRAPH, SENTENCE, WORD, CHARACTER):
-            low = max(s + 1, e - overlap)
-            hit = np.flatnonzero(level[low:e] >= kind)
-            if overlap and len(hit):
-                begin = low + int(hit[0])
-                break
-        s = begin
+    return out
 
 
 def _run(limit, overlap, folder, name):
