@@ -119,13 +119,14 @@ class Landmarks:
     """The kernel of segments with a 0/1 matrix of landmarks."""
 
     def __init__(self, matrix: np.ndarray):
-        self.norm = np.sqrt(matrix.sum(axis=1))
-        self.top = np.argsort(-matrix.sum(axis=0), kind="stable")[:DENSE]
-        self.dense = np.ascontiguousarray(matrix[:, self.top].T)
-        rest = matrix.copy()
-        rest[:, self.top] = 0
-        gram, self.who = np.nonzero(rest.T)
-        self.many = np.bincount(gram, minlength=PLACES)
+        held = matrix.sum(axis=0, dtype=np.int64)
+        self.norm = np.sqrt(matrix.sum(axis=1, dtype=np.float64)).astype(np.float32)
+        self.top = np.argsort(-held, kind="stable")[:DENSE]
+        self.dense = np.ascontiguousarray(matrix[:, self.top].T, np.float32)
+        self.many = held.copy()
+        self.many[self.top] = 0
+        gram, who = np.nonzero(matrix.T)
+        self.who = who[self.many[gram] > 0].astype(np.int32)
         self.start = np.cumsum(self.many) - self.many
 
     def kernel(self, m: np.ndarray) -> np.ndarray:
@@ -138,7 +139,7 @@ class Landmarks:
 
 
 def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
-    """Weights PLACES x languages from (segment, language)."""
+    """Weights PLACES x languages from (segment, language). Only features are held of all segments."""
     sets = [(words(s), LANGUAGES.index(k)) for s, k in sample]
     sets = [(w, k) for w, k in sets if len(w) >= MIN_TITLE_WORDS][:MAX_SEGMENTS]
     if not sets or len({k for _, k in sets}) < 2:
@@ -147,18 +148,27 @@ def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
     pick = np.sort(np.concatenate([np.flatnonzero(y == k)[: MAX_LANDMARKS // len(LANGUAGES)] for k in range(len(LANGUAGES))]))
     present = Presence()
     present.learn(own)
-    chosen = np.concatenate([m.copy() for _, m in present.chunks([own[i] for i in pick])])
+    chosen = np.concatenate([m.astype(np.uint8) for _, m in present.chunks([own[i] for i in pick])])
     landmarks = Landmarks(chosen)
-    kernel = np.concatenate([landmarks.kernel(m) for _, m in present.chunks(own)]).astype(np.float64)
-    value, vector = np.linalg.eigh(kernel[pick])
+    among = np.concatenate([landmarks.kernel(m) for _, m in present.chunks([own[i] for i in pick])]).astype(np.float64)
+    value, vector = np.linalg.eigh((among + among.T) / 2)
     half = vector / np.sqrt(np.maximum(value, 1e-6))
-    z = kernel @ half
+    small = half.astype(np.float32)
+    z = np.zeros((len(own), len(pick)), np.float32)
+    for first, m in present.chunks(own):
+        z[first : first + len(m)] = landmarks.kernel(m) @ small
     keep = np.ones(len(y), bool)
     for _ in range(2):
-        target = np.where(y[keep, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
-        w = np.linalg.solve(z[keep].T @ z[keep] + RIDGE * keep.sum() * np.eye(z.shape[1]), z[keep].T @ target)
-        keep = (z @ w).argmax(axis=1) == y
-    return (chosen.T @ (half @ w / landmarks.norm[:, None])).astype(np.float32)
+        gram, right = RIDGE * keep.sum() * np.eye(z.shape[1]), np.zeros((z.shape[1], len(LANGUAGES)))
+        for first in range(0, len(y), 2048):
+            part = slice(first, first + 2048)
+            x = z[part][keep[part]].astype(np.float64)
+            gram += x.T @ x
+            right += x.T @ np.where(y[part][keep[part], None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
+        w = np.linalg.solve(gram, right)
+        keep = (z @ w.astype(np.float32)).argmax(axis=1) == y
+    folded = (half @ w / landmarks.norm[:, None]).astype(np.float32)
+    return np.concatenate([chosen[:, k : k + 2048].T.astype(np.float32) @ folded for k in range(0, PLACES, 2048)])
 
 
 class Scorer:
