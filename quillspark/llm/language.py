@@ -272,17 +272,25 @@ def _run(state):
     return run
 
 
+def _fit(batches):
+    """One row of weights, or none, from all the rows of the sample."""
+    sample = [(s, lang) for b in batches for title, abstract, lang in zip(*(b.column(k).to_pylist() for k in range(3))) for t in (title, abstract) if t for s in segments(t)[:8]]
+    weights = fit(sample)
+    if weights is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([weights.ravel()], pa.list_(pa.float32()))], names=["weights"])
+
+
 def learn(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray | None:
-    """Weights from at most max_rows rows whose label names one language, drawn by the hash of rec_id."""
+    """Weights from at most max_rows rows whose label names one language, drawn by the hash of rec_id.
+
+    They are fitted by one task; only the weights, PLACES x languages, come to the driver."""
     one = label_languages(F.col("rotulo"))
     drawn = labels.select("rec_id", one.alias("k")).where(F.size("k") == 1).select("rec_id", F.col("k")[0].alias("lang"))
     each = [drawn.where(F.col("lang") == k).orderBy(F.xxhash64("rec_id"), "rec_id").limit(max_rows // len(LANGUAGES)) for k in LANGUAGES]
     drawn = reduce(DataFrame.unionAll, each)  # as many of each language, at most max_rows
-    rows = records.select("rec_id", "title", "abstract").join(F.broadcast(drawn), "rec_id").orderBy(F.xxhash64("rec_id")).limit(2 * max_rows).select("title", "abstract", "lang").collect()
-    sample = []
-    for title, abstract, lang in rows:
-        sample += [(s, lang) for t in (title, abstract) if t for s in segments(t)[:8]]
-    return fit(sample)
+    rows = records.select("rec_id", "title", "abstract").join(F.broadcast(drawn), "rec_id").orderBy(F.xxhash64("rec_id")).limit(2 * max_rows)
+    got = rows.select("title", "abstract", "lang").coalesce(1).mapInArrow(_fit, "weights array<float>").collect()
+    return np.array(got[0].weights, np.float32).reshape(PLACES, -1) if got else None
 
 
 def language_segments(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
