@@ -39,7 +39,7 @@ MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 5000, 24000, 1024, 1 << 15
 RIDGE, MIN_WORDS, MIN_TITLE_WORDS, LONGEST = 1e-5, 5, 4, 5
 #: Segments under MIXED are searched for a change of language; parts need MIN_PART words and CLEAR.
 MIXED, MIN_PART, CLEAR = 1.0, 4, 0.5
-CHUNK = 64  # segments in a product
+CHUNK, SPARSE = 64, 16  # segments in a product: as a full matrix, and as its entries
 DENSE = 2048  # n-grams that most landmarks have; the kernel multiplies these and counts the others
 _END = re.compile(r"[.!?…][\"”»)\]]*\s*\Z")
 _SIDE = re.compile(r"[=/|\[\]]")
@@ -92,7 +92,8 @@ class Presence:
     def __init__(self):
         self.index: dict[str, int] = {}
         self.grams: list[np.ndarray] = []
-        self.matrix = np.zeros((CHUNK, PLACES), np.float32)
+        self.matrix = None
+        self.last = np.zeros(SPARSE * PLACES, np.int32)
 
     def learn(self, sets) -> list[str]:
         if len(self.index) > 1 << 18:
@@ -103,17 +104,45 @@ class Presence:
             self.grams.append(np.array(grams(w), np.uint16))
         return new
 
+    def _places(self, part):
+        """Of the sets' n-grams, with repeats: how many each set has, and their places in a matrix of a row a set."""
+        each = [[self.grams[self.index[w]] for w in ws] for ws in part]
+        n = np.array([sum(map(len, x)) for x in each])
+        return n, np.repeat(np.arange(len(part), dtype=np.int32) * PLACES, n) + np.concatenate([g for x in each for g in x] or [np.zeros(0, np.uint16)])
+
     def chunks(self, sets):
         """(first, matrix) of CHUNK sets at a time; the matrix is used again for the next."""
+        if self.matrix is None:
+            self.matrix = np.zeros((CHUNK, PLACES), np.float32)
         flat = self.matrix.ravel()
         for first in range(0, len(sets), CHUNK):
             part = sets[first : first + CHUNK]
-            each = [[self.grams[self.index[w]] for w in ws] for ws in part]
-            at = np.repeat(np.arange(len(part), dtype=np.int32) * PLACES, [sum(map(len, x)) for x in each]) + np.concatenate([g for x in each for g in x] or [np.zeros(0, np.uint16)])
+            _, at = self._places(part)
             flat[at] = 1
             yield first, self.matrix[: len(part)]
             flat[at] = 0
 
+    def products(self, sets, weights: np.ndarray):
+        """(sums, present): the 0/1 matrix of the sets, kept sparse, times weights, and the n-grams of each set."""
+        out, size = np.zeros((len(sets), weights.shape[1]), np.float32), np.ones(len(sets), np.float32)
+        for first in range(0, len(sets), SPARSE):
+            part = sets[first : first + SPARSE]
+            n, at = self._places(part)
+            if not len(at):
+                continue
+            turn = np.arange(len(at), dtype=np.int32)
+            self.last[at] = turn  # of the mentions of a place the last is taken
+            once = self.last[at] == turn
+            start = np.cumsum(n) - n
+            some = n > 0
+            gram = at[once] & (PLACES - 1)
+            count = np.add.reduceat(once, start[some], dtype=np.int32)
+            at_row = np.cumsum(count) - count
+            rows = first + np.flatnonzero(some)
+            out[rows] = np.add.reduceat(weights[gram], at_row, axis=0)
+            size[rows] = count
+        return out, size
+
 
 class Landmarks:
     """The kernel of segments with a 0/1 matrix of landmarks."""
@@ -175,22 +204,19 @@ class Scorer:
     """Scores of segments in one product a chunk, and the place where a segment's language changes."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights = np.concatenate([weights, np.ones((PLACES, 1), np.float32)], axis=1)  # the last column counts n-grams
-        self.present = Presence()
+        self.weights, self.present = np.ascontiguousarray(weights, np.float32), Presence()
 
     def scores(self, sets: list[set[str]]) -> np.ndarray:
         self.present.learn(sets)
-        out = np.zeros((len(sets), len(LANGUAGES) + 1), np.float32)
-        for first, m in self.present.chunks(sets):
-            out[first : first + len(m)] = m @ self.weights
-        return out[:, :-1] / np.sqrt(np.maximum(out[:, -1:], 1))
+        out, size = self.present.products(sets, self.weights)
+        return out / np.sqrt(size)[:, None]
 
     def change(self, told: list[str]) -> int | None:
         """The word before which the language changes most by the sums of words, None if it doesn't."""
         if len(told) < 2 * MIN_PART:
             return None
         self.present.learn([told])
-        each = np.array([self.weights[self.present.grams[self.present.index[w]], :-1].sum(axis=0) for w in told])
+        each = np.array([self.weights[self.present.grams[self.present.index[w]]].sum(axis=0) for w in told])
         head = np.cumsum(each, axis=0)[MIN_PART - 1 : len(told) - MIN_PART]
         tail = each.sum(axis=0) - head
         gain = np.where(head.argmax(axis=1) != tail.argmax(axis=1), head.max(axis=1) + tail.max(axis=1), -np.inf)
