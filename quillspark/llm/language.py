@@ -132,15 +132,11 @@ class Presence:
                 continue
             turn = np.arange(len(at), dtype=np.int32)
             self.last[at] = turn  # of the mentions of a place the last is taken
-            once = self.last[at] == turn
-            start = np.cumsum(n) - n
-            some = n > 0
-            gram = at[once] & (PLACES - 1)
-            count = np.add.reduceat(once, start[some], dtype=np.int32)
-            at_row = np.cumsum(count) - count
-            rows = first + np.flatnonzero(some)
-            out[rows] = np.add.reduceat(weights[gram], at_row, axis=0)
-            size[rows] = count
+            once = np.flatnonzero(self.last[at] == turn)
+            begin = np.searchsorted(once, np.cumsum(n) - n)
+            some = np.flatnonzero(n)
+            out[first + some] = np.add.reduceat(weights[at[once] & (PLACES - 1)], begin[some], axis=0)
+            size[first + some] = np.diff(begin[some], append=len(once))
         return out, size
 
 
@@ -261,35 +257,53 @@ def _candidates(field: str, text: str) -> list[tuple[str, set[str]]]:
     return out
 
 
-def _run(state):
+def _held(state, held: list[Scorer]) -> Scorer:
+    """The worker's scorer, made once."""
+    if not held:
+        held.append(Scorer(state.value))
+    return held[0]
+
+
+def _gathered(batch):
+    """(rec_id, field, place in the field, text) and the words of each segment of a batch."""
+    ids = batch.column(0).to_pylist()
+    rows, sets = [], []
+    for field, k in (("title", 1), ("abstract", 2)):
+        for rec, text in zip(ids, batch.column(k).to_pylist()):
+            for i, (s, ws) in enumerate(_candidates(field, text) if text else ()):
+                rows.append((rec, field, i, s))
+                sets.append(ws)
+    return rows, sets
+
+
+def _scored(scorer: Scorer, sets):
+    """Best language of each set of words, and its margin to the second."""
+    score = scorer.scores(sets)
+    order = np.sort(score, axis=1)
+    return score.argmax(axis=1), order[:, -1] - order[:, -2]
+
+
+def _side_by_side(s: str, found) -> bool:
+    return len(found) > 1 and all(_SIDE.search(s[max(0, a - 3) : a]) for a, *_ in found[1:])
+
+
+def _segments(state):
     held: list[Scorer] = []
 
     def run(batches):
-        if state.value is None:
-            return
-        if not held:
-            held.append(Scorer(state.value))
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows, sets = [], []
-            for field, k in (("title", 1), ("abstract", 2)):
-                for rec, text in zip(ids, batch.column(k).to_pylist()):
-                    for i, (s, ws) in enumerate(_candidates(field, text) if text else ()):
-                        rows.append((rec, field, i, s))
-                        sets.append(ws)
+        for batch in batches if state.value is not None else ():
+            rows, sets = _gathered(batch)
             if not rows:
                 continue
-            score = held[0].scores(sets)
-            order = np.sort(score, axis=1)
-            margin = order[:, -1] - order[:, -2]
-            whole = np.array(LANGUAGES, dtype=object)[score.argmax(axis=1)]
+            scorer = _held(state, held)
+            best, margin = _scored(scorer, sets)
             out = []
-            for (rec, field, i, s), k, m, mixed in zip(rows, whole.tolist(), confidence(margin).tolist(), (margin < MIXED).tolist()):
-                found = held[0].parts(s) if mixed else ()
+            for (rec, field, i, s), k, m, mixed in zip(rows, (LANGUAGES[x] for x in best), confidence(margin).tolist(), (margin < MIXED).tolist()):
+                found = scorer.parts(s) if mixed else ()
                 if len(found) < 2:
                     out.append((rec, field, i, 0, s, k, m, k))
                     continue
-                side = field == "title" and all(_SIDE.search(s[max(0, a - 3) : a]) for a, *_ in found[1:])
+                side = field == "title" and _side_by_side(s, found)
                 for j, (a, b, own, clear) in enumerate(found):
                     out.append((rec, field, i, j, s[a:b], LANGUAGES[own], float(confidence(clear)), LANGUAGES[own] if side else k if j == 0 else None))
             types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
@@ -298,6 +312,38 @@ def _run(state):
     return run
 
 
+def _fields(state):
+    """As _segments with counts_as, counted for each field: no text leaves the worker."""
+    held: list[Scorer] = []
+
+    def run(batches):
+        for batch in batches if state.value is not None else ():
+            rows, sets = _gathered(batch)
+            if not rows:
+                continue
+            scorer = _held(state, held)
+            best, margin = _scored(scorer, sets)
+            known: dict = {}
+            field = np.array([known.setdefault((r[0], r[1]), len(known)) for r in rows])
+            sided = [(f, scorer.parts(r[3]), k) for k, (r, f, m) in enumerate(zip(rows, field, margin)) if m < MIXED and r[1] == "title" and _SIDE.search(r[3])]
+            sided = [x for x in sided if _side_by_side(rows[x[2]][3], x[1])]
+            plain = np.ones(len(rows), bool)
+            plain[[k for *_, k in sided]] = False
+            key = np.concatenate([field[plain] * len(LANGUAGES) + best[plain], np.array([f * len(LANGUAGES) + own for f, found, _ in sided for _, _, own, _ in found], np.int64)])
+            clear = np.concatenate([margin[plain], [m for _, found, _ in sided for *_, m in found]])
+            kinds, place, n = np.unique(key, return_inverse=True, return_counts=True)
+            most = np.full(len(kinds), -np.inf)
+            np.maximum.at(most, place, clear)
+            rec, name = zip(*known)
+            at = (kinds // len(LANGUAGES)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rec[i] for i in at], pa.int64()), pa.array([name[i] for i in at], pa.string()), pa.array([LANGUAGES[i] for i in kinds % len(LANGUAGES)], pa.string()), pa.array(n, pa.int64()), pa.array(confidence(most))],
+                names=["rec_id", "field", "lang", "segments", "confidence"],
+            )
+
+    return run
+
+
 def _fit(batches):
     """One row of weights, or none, from all the rows of the sample."""
     sample = [(s, lang) for b in batches for title, abstract, lang in zip(*(b.column(k).to_pylist() for k in range(3))) for t in (title, abstract) if t for s in segments(t)[:8]]
@@ -319,22 +365,24 @@ def learn(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np
     return np.array(got[0].weights, np.float32).reshape(PLACES, -1) if got else None
 
 
+def _source(records: DataFrame) -> DataFrame:
+    return spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "title", "abstract"))
+
+
 def language_segments(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """rec_id, field, segment, part, text, lang, confidence, counts_as of every title and sentence.
 
     A mixed segment has a row for each part. counts_as is the language that the row gives its field: that of
     the whole segment, of titles side by side that of each."""
     state = records.sparkSession.sparkContext.broadcast(learn(records, labels, max_rows))
-    src = spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "title", "abstract"))
-    return src.mapInArrow(_run(state), "rec_id long, field string, segment int, part int, text string, lang string, confidence double, counts_as string")
+    return _source(records).mapInArrow(_segments(state), "rec_id long, field string, segment int, part int, text string, lang string, confidence double, counts_as string")
 
 
 def field_languages(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """rec_id, field, lang, segments, confidence: each language of each field.
-
-    The segments of a row lie in one partition, so counting them is one shuffle of counted rows."""
-    own = language_segments(records, labels, max_rows).where("counts_as is not null")
-    return own.groupBy("rec_id", "field", F.col("counts_as").alias("lang")).agg(F.count(F.lit(1)).alias("segments"), F.max("confidence").alias("confidence"))
+    """rec_id, field, lang, segments, confidence: each language of each field, once for repeated rec_ids."""
+    state = records.sparkSession.sparkContext.broadcast(learn(records, labels, max_rows))
+    own = _source(records).mapInArrow(_fields(state), "rec_id long, field string, lang string, segments long, confidence double")
+    return own.groupBy("rec_id", "field", "lang").agg(F.sum("segments").alias("segments"), F.max("confidence").alias("confidence"))
 
 
 def unlabelled_languages(records: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

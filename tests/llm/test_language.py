@@ -82,3 +82,10 @@ def test_parts_of_mixed_segments(spark, pubs):
     assert {r.text for r in seg if r.rec_id == -3} >= {"Os dados são claros."} and not any("dispon" in r.text or "available" in r.text for r in seg if r.rec_id == -3)
     fields = {(r.rec_id, r.field, r.lang) for r in L.field_languages(base.unionAll(rows), labels).where("rec_id in (-1, -2)").collect()}
     assert {(-1, "title", "pt"), (-1, "title", "en"), (-2, "title", "en")} <= fields and len([f for f in fields if f[:2] == (-2, "abstract")]) == 1
+
+
+def test_fields_count_their_segments(spark):
+    labels, base = table(spark, SF, "idioma_rotulos"), table(spark, SF, "filtered_documents").select("rec_id", "title", "abstract")
+    seg = L.language_segments(base, labels).where("counts_as is not null").groupBy("rec_id", "field", F.col("counts_as").alias("lang")).agg(F.count(F.lit(1)).alias("segments"))
+    got = L.field_languages(base, labels).select("rec_id", "field", "lang", "segments")
+    assert seg.exceptAll(got).isEmpty() and got.exceptAll(seg).isEmpty()
