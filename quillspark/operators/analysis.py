@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import matching, metrics
+from quillspark.operators.ordering import carried
 
 THETAS = (0.60, 0.65, 0.70, 0.75, 0.80)
 TIE = 0.01
@@ -86,12 +87,11 @@ def best_system(means: DataFrame, systems: list[str]) -> DataFrame:
     return means.select("area", reduce(lambda c, s: c.when(F.col(s) == top, s), systems, F).alias("best"), top.alias("value"))
 
 
-def last_known(points: DataFrame, at: DataFrame, step: str = "step", value: str = "value") -> DataFrame:
+def last_known(points: DataFrame, at: DataFrame, step: str = "step", value: str = "value", width: int = 1 << 16) -> DataFrame:
     """As-of lookup: for each row of at the value of the last point at or before its step, by run.
 
-    Points and requests are one sorted stream in a run; no range join."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run").orderBy(step, "asks").rowsBetween(Window.unboundedPreceding, 0)
+    Points and requests are one sorted stream; no range join. A run is worked off in ranges of `width` steps,
+    the last value of each going on to the next, so a run of any length is split over tasks."""
     both = points.select("run", step, value, F.lit(0).alias("asks")).unionByName(at.select("run", step, F.lit(None).cast("double").alias(value), F.lit(1).alias("asks")))
-    return both.withColumn("last", F.last(value, ignorenulls=True).over(w)).where("asks = 1").select("run", step, F.col("last").alias(value))
+    out = carried(both, "last", F.col(value), ["run"], F.floor(F.col(step) / width), [step, "asks"])
+    return out.where("asks = 1").select("run", step, F.col("last").alias(value))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.ngrams import LEXICON
 from quillspark.functions import text as X
 from quillspark.functions.parsing import parse_responses
-from quillspark.operators import analysis, curriculum, dataset, generate, judgements, matching, metrics, profiles, rankers, vectors
+from quillspark.operators import analysis, curriculum, dataset, generate, judgements, matching, metrics, ordering, profiles, rankers, vectors
 from quillspark.session import prepare, table
 from quillspark.sources import readers
 from quillspark.streaming import incremental
@@ -615,7 +615,8 @@ def recency_topn(spark, d):
 SELECT author_id, doc_kind || '_' || lpad(CAST(row_number() OVER (PARTITION BY author_id, doc_kind ORDER BY doc_id) - 1 AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY author_id, doc_kind ORDER BY doc_id) - 1 AS VARCHAR))) AS INT), '0') AS unit, doc_id FROM t""")
 def unit_numbering(spark, d):
     t = table(spark, d, "documents").where("author_id is not null").where(F.length(X.clean_field(F.col("text"))) > 0)
-    n = (F.row_number().over(Window.partitionBy("author_id", "doc_kind").orderBy("doc_id")) - 1).cast("string")
+    t = ordering.numbered(t.select("author_id", "doc_kind", "doc_id"), "n", ["author_id", "doc_kind"], {"_range": (F.floor(F.col("doc_id") / 65536), False)}, ["doc_id"])
+    n = (F.col("n") - 1).cast("string")
     return t.select("author_id", F.concat("doc_kind", F.lit("_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("unit"), "doc_id")
 
 
