@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.ngrams import lexicon_tagger, ngram_arrays, tokens, well_formed, windows
+from quillspark.operators.ordering import carried
 from quillspark.session import spread
 
 
@@ -35,6 +36,11 @@ def coauthored(publications: DataFrame, authors: DataFrame, distinct: bool = Tru
     return exploded(publications, distinct).join(authors.select("author"), "author", "left_semi")
 
 
+def _own(publications: DataFrame, authors: DataFrame, distinct: bool = True) -> DataFrame:
+    """The fields of the publications of each author of the set, before anything is made of them."""
+    return coauthored(spread(publications.select("pos", "id", "title", "keywords", "abstract", "authors")), authors, distinct).drop("authors")
+
+
 def missing(authors: DataFrame, publications: DataFrame) -> DataFrame:
     """Authors of the set without any publication."""
     return authors.select("author").distinct().join(exploded(publications.select("authors")).select("author"), "author", "left_anti")
@@ -49,6 +55,24 @@ def filter_summary(publications: DataFrame, authors: DataFrame) -> DataFrame:
     return left.select(total.alias("read"), "kept", wanted.alias("wanted"), "found", (wanted - F.col("found")).alias("missing"), "links")
 
 
+def filter_report(lines: DataFrame, publications: DataFrame, authors: DataFrame, examples: int = 10) -> DataFrame:
+    """One row of seven counters: lines, invalid, kept, wanted, found, missing, examples (the first missing authors).
+
+    lines: readers.line_counts, one row (lines, invalid)."""
+    links = coauthored(publications.select("pos", "authors"), authors)
+    left = links.agg(F.countDistinct("pos").alias("kept"), F.countDistinct("author").alias("found"))
+    none = missing(authors, publications).orderBy("author").limit(examples).agg(F.array_sort(F.collect_list("author")).alias("examples"))
+    wanted = authors.select(F.countDistinct("author")).scalar()
+    row = left.select(lines.select("lines").scalar().alias("lines"), lines.select("invalid").scalar().alias("invalid"), "kept", wanted.alias("wanted"), "found", (wanted - F.col("found")).alias("missing"))
+    return row.withColumn("examples", none.select("examples").scalar())
+
+
+def build_counts(publications: DataFrame, authors: DataFrame, kept: Column | None = None) -> DataFrame:
+    """One row: selected publications, authors with publications, links; kept: what a profile keeps of a publication."""
+    links = coauthored(publications.where(kept) if kept is not None else publications, authors).select("pos", "author")
+    return links.agg(F.countDistinct("pos").alias("selected"), F.countDistinct("author").alias("authors"), F.count(F.lit(1)).alias("links"))
+
+
 def _in_order(value: Column) -> Column:
     """Values in input order, from an aggregation."""
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"])
@@ -69,7 +93,7 @@ def text_profile(publications: DataFrame, authors: DataFrame, chunk: int | None
     profile) of the publications of `chunk` consecutive values of pos: parts in order are the profile, and no
     author is gathered in one place."""
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
-    rows = coauthored(publications.withColumn("t", text).where("t <> ''").select("pos", "authors", "t"), authors)
+    rows = _own(publications, authors).select("author", "pos", text.alias("t")).where("t <> ''")
     key = ["author"] if chunk is None else ["author", F.floor(F.col("pos") / chunk).alias("part")]
     return rows.groupBy(*key).agg(F.array_join(_in_order(F.col("t")), ", ").alias("profile"))
 
@@ -77,7 +101,7 @@ def text_profile(publications: DataFrame, authors: DataFrame, chunk: int | None
 def labelled_profile(publications: DataFrame, authors: DataFrame) -> DataFrame:
     """author, n_publicacoes, publicacoes_textuais of every author of the set, empty profiles too."""
     text = X.labelled_text(F.col("title"), F.col("keywords"), F.col("abstract"))
-    rows = coauthored(publications.withColumn("t", text).where("t <> ''").select("pos", "authors", "t"), authors)
+    rows = _own(publications, authors).select("author", "pos", text.alias("t")).where("t <> ''")
     held = rows.groupBy("author").agg(_in_order(F.col("t")).alias("texts"))
     texts = F.coalesce("texts", F.array().cast("array<string>"))
     return authors.select("author").distinct().join(held, "author", "left").select("author", F.size(texts).alias("n_publicacoes"), texts.alias("publicacoes_textuais"))
@@ -89,10 +113,9 @@ def structured_profile(publications: DataFrame, authors: DataFrame, variant: str
     keep_keyword_only: a publication without title and abstract stays if it has keywords. An author named
     twice in a record gets it twice, unless distinct. most: only the author's first publications, as prompts
     and supervised records use them."""
-    p = publications.withColumn("s", X.structured(F.col("title"), F.col("keywords"), F.col("abstract"), variant))
+    p = _own(publications, authors, distinct).select("author", "pos", X.structured(F.col("title"), F.col("keywords"), F.col("abstract"), variant).alias("s"))
     filled = (F.col("s.titulo") != "") | (F.col("s.abstract") != "")
-    p = p.where(filled | (F.col("s.keywords") != "") if keep_keyword_only else filled)
-    rows = first_of_author(coauthored(p.select("pos", "authors", "s"), authors, distinct), most)
+    rows = first_of_author(p.where(filled | (F.col("s.keywords") != "") if keep_keyword_only else filled), most)
     return rows.groupBy("author").agg(_in_order(F.col("s")).alias("publicacoes"))
 
 
@@ -100,8 +123,8 @@ def field_evidence(publications: DataFrame, authors: DataFrame) -> DataFrame:
     """author, doc_id, pieces: cleaned title, keywords and abstract; of a repeated document the last counts."""
     kws = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: X.clean_text(k))
     pieces = F.filter(F.concat(F.array(X.clean_text(F.col("title"))), kws, F.array(X.clean_text(F.col("abstract")))), lambda x: x != "")
-    p = publications.where("coalesce(id, '') <> ''").select("pos", "authors", F.col("id").cast("string").alias("doc_id"), pieces.alias("pieces"))
-    rows = coauthored(p.where(F.size("pieces") > 0), authors)
+    own = _own(publications.where("coalesce(id, '') <> ''"), authors)
+    rows = own.select("author", "pos", F.col("id").cast("string").alias("doc_id"), pieces.alias("pieces")).where(F.size("pieces") > 0)
     return rows.groupBy("author", "doc_id").agg(F.max_by("pieces", "pos").alias("pieces"))
 
 
@@ -134,17 +157,20 @@ def ngrams_by_document(publications: DataFrame, tagger=lexicon_tagger, longest:
 
 
 def ngram_profile(publications: DataFrame, authors: DataFrame, tagger=lexicon_tagger, longest: int = 3) -> DataFrame:
-    """author, ngram, freq: the bag of each author. Windows are made once a document, for documents of the set
-    only, and counted before they are shuffled."""
-    rows = document_windows(of_authors(publications, authors), tagger, longest).where("ok").select("ngram", F.explode(F.array_distinct(_authors())).alias("author"))
-    return rows.join(authors.select("author"), "author", "left_semi").groupBy("author", "ngram").agg(F.count(F.lit(1)).alias("freq"))
+    """author, ngram, freq: the bag of each author. Publications of other authors go before windows are made, and
+    nothing is shuffled until the windows of an author are counted."""
+    rows = document_windows(_own(publications, authors).withColumn("authors", F.array("author")), tagger, longest).where("ok")
+    return rows.select(F.col("authors")[0].alias("author"), "ngram").groupBy("author", "ngram").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def carried_language(sentences: DataFrame, detected: Column, by: list[str], order: list[str], start: str = "pt", least: int = 20) -> DataFrame:
-    """lang: what was detected on sentences of at least `least` characters, else the last before, else start."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """lang: what was detected on sentences of at least `least` characters, else the last before, else start.
+
+    by an author the language goes on through all documents, by a document it begins anew. An author's
+    sentences are worked off in ranges of pos, so that one with a third of all rows is split."""
     one = F.when(F.length(X.strip(F.col("raw"))) >= least, detected)
-    return sentences.withColumn("lang", F.coalesce(F.last(one, ignorenulls=True).over(w), F.lit(start)))
+    bucket = F.lit(0) if by == ["pos"] else F.floor(F.col("pos") / 4096)
+    return carried(sentences, "_lang", one, by, bucket, order).withColumn("lang", F.coalesce("_lang", F.lit(start))).drop("_lang")
 
 
 def field_frequency(publications: DataFrame, fields: list[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def spread(df: DataFrame) -> DataFrame:
     Call it on selected columns, before work that costs more than a shuffle of them. Tables that are read in
     at least half as many partitions as there are cores stay as they are, so at scale nothing moves. Rows that
     come out of a shuffle stay too: to ask for their partitions would run it."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if re.search(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
