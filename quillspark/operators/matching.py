@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quillspark.operators.vectors import TOP
 
 
-def greedy(pairs: DataFrame, theta: float, by: list[str] | None = None) -> DataFrame:
+def greedy(pairs: DataFrame, theta: float, by: list[str] | None = None, top: int = TOP) -> DataFrame:
     """pairs(author, i, j, sim) -> author, i, j, sim: pairs in the order (-sim, i, j), both sides free, sim >= theta and > 0.
 
-    A prediction can only lose gold tags to TOP - 1 others, so its best TOP pairs decide; that bounds the
-    array that is folded, however much gold an author has."""
+    Of `top` predictions an author has, one can only lose gold tags to top - 1 others, so its best `top` pairs
+    decide; that bounds the array that is folded, however much gold an author has."""
     by = by or ["author"]
     near = pairs.where((F.col("sim") >= theta) & (F.col("sim") > 0)) if theta is not None else pairs
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy(F.desc("sim"), "j"))).where(F.col("r") <= TOP)
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy(F.desc("sim"), "j"))).where(F.col("r") <= top)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("k"), "i", "j")))
     empty = F.expr("named_struct('pi', cast(array() as array<int>), 'gj', cast(array() as array<int>), 'm', cast(array() as array<struct<i:int,j:int,sim:double>>))")
     fold = F.aggregate(

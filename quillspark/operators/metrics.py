@@ -101,6 +101,20 @@ def author_metrics(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "author", "left"), parts).na.fill(0.0)
 
 
+#: The columns of the file of metrics by author and what they hold.
+FILE_COLUMNS = {
+    "nDCG@10": "ndcg_10", "nDCG@20": "ndcg_20", "Precision@5": "p_5", "Precision@10": "p_10", "Precision@20": "p_20", "Recall@5": "r_5", "Recall@10": "r_10", "Recall@20": "r_20",
+    "MAP@10": "map_10", "Coverage@10": "c_10", "Diversity@10": "d_10", "MAP@20": "map_20", "Coverage@20": "c_20", "Diversity@20": "d_20", "Match_Valido@10": "mv_10", "Match_Valido@20": "mv_20",
+}
+
+
+def author_table(ranking: DataFrame, covered: DataFrame, diverse: DataFrame, system: str) -> DataFrame:
+    """Autor, the sixteen metrics and Modelo, in the order of the file. Coverage and diversity are 0 where an
+    author has no documents or no two predictions."""
+    m = author_metrics(ranking, covered, diverse)
+    return m.select(F.concat(F.lit("ID_"), "author").alias("Autor"), *[F.col(c).alias(name) for name, c in FILE_COLUMNS.items()], F.lit(system).alias("Modelo"))
+
+
 def macro(metrics: DataFrame) -> DataFrame:
     """One row: authors and the unweighted mean of every metric."""
     cols = [c for c in metrics.columns if c != "author"]

@@ -29,12 +29,13 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(v)
 
 
-def vocabulary(*columns: DataFrame) -> DataFrame:
-    """text: distinct non-empty strings of one-column DataFrames."""
+def vocabulary(*columns: DataFrame, ordered: bool = True) -> DataFrame:
+    """text: distinct non-empty strings of one-column DataFrames, in code-point order."""
     rows = columns[0].toDF("text")
     for c in columns[1:]:
         rows = rows.unionAll(c.toDF("text"))
-    return rows.where("text is not null and text <> ''").distinct()
+    rows = rows.where("text is not null and text <> ''").distinct()
+    return rows.orderBy("text") if ordered else rows
 
 
 class HashingEmbedder:
@@ -72,10 +73,10 @@ def lookup(rows: DataFrame, column: str, embeddings: DataFrame, size: int) -> Da
     return rows.join(embeddings.select(F.col("text").alias(column), "emb"), column, "left").withColumn("vector", F.coalesce("emb", zero)).drop("emb")
 
 
-def similarities(predictions: DataFrame, gold: DataFrame, keep: list[str], theta: float | None = None) -> DataFrame:
+def similarities(predictions: DataFrame, gold: DataFrame, keep: list[str], theta: float | None = None, top: int = TOP) -> DataFrame:
     """author, i, sim and the columns keep of gold, for each pair within an author; with theta only pairs of
-    sim >= theta and sim > 0."""
-    packed = predictions.where(F.col("i") < TOP).groupBy("author").agg(F.array_sort(F.collect_list(F.struct("i", "vector"))).alias("p"))
+    sim >= theta and sim > 0. The first `top` predictions of an author are taken, as by the metrics' greatest cut."""
+    packed = predictions.where(F.col("i") < top).groupBy("author").agg(F.array_sort(F.collect_list(F.struct("i", "vector"))).alias("p"))
     rows = gold.select("author", "vector", *keep).join(packed, "author")
     rows = rows.select("author", "vector", F.transform("p", lambda x: x["i"]).alias("ii"), F.flatten(F.transform("p", lambda x: x["vector"])).alias("pv"), *keep)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

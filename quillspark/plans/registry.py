@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.ngrams import LEXICON
 from quillspark.functions import text as X
+from quillspark.functions.language import detect
 from quillspark.functions.parsing import parse_responses
 from quillspark.operators import analysis, curriculum, dataset, generate, judgements, matching, metrics, ordering, profiles, rankers, vectors
 from quillspark.session import prepare, table
@@ -176,6 +177,38 @@ def language_carry(spark, d):
     return profiles.carried_language(s, got, ["pos"], ["pos", "sent"]).select("pos", "sent", "lang")
 
 
+_FUNCTION_WORDS = {
+    "pt": "a ao aos as até com como da das de do dos e em entre foi foram já mais mas na nas no nos não o os ou para pela pelo por que se sem ser seu sua são também um uma à às é",
+    "en": "a an and are as at be been but by for from had has have in into is it its not of on or our than that the their these this to was we were which with without",
+    "es": "a al como con de del el ella en entre es esta este fue fueron ha la las lo los más no o para pero por que se sin son su sus también un una y ya",
+    "fr": "a au aux avec ce ces cette comme dans de des du elle en entre est et été la le les leur mais ne nous ont ou par pas plus pour que qui sans se ses son sont sur un une à",
+}
+_DETECTED = f"""s AS (SELECT rec_id AS pos, id, authors, {_SENTENCES} AS x FROM filtered_documents WHERE coalesce(id, '') <> ''),
+t AS (SELECT pos, CAST(generate_subscripts(x, 1) - 1 AS INT) AS sent, unnest(x) AS raw FROM s),
+told AS (SELECT pos, sent, raw, string_split_regex(lower(raw), '[^\\p{{L}}]+') AS ws FROM t),
+cnt AS (SELECT pos, sent, raw, {", ".join(f"len(list_filter(ws, lambda q: q IN ({', '.join(repr(w) for w in ws.split())}))) AS {k}" for k, ws in _FUNCTION_WORDS.items())} FROM told),
+det AS (SELECT pos, sent, raw, CASE WHEN pt > greatest(en, es, fr) THEN 'pt' WHEN en > greatest(pt, es, fr) THEN 'en' END AS l FROM cnt)"""
+
+
+@query(f"WITH {_DETECTED} SELECT pos, sent, l AS lang FROM det")
+def language_detect(spark, d):
+    return profiles.document_sentences(_pubs(spark, d)).select("pos", "sent", detect(F.col("raw")).alias("lang"))
+
+
+@query(f"WITH {_DETECTED} SELECT pos, sent, coalesce(last_value(CASE WHEN length(raw) >= 20 THEN l END IGNORE NULLS) OVER (PARTITION BY pos ORDER BY sent ROWS UNBOUNDED PRECEDING), 'pt') AS lang FROM det")
+def language_by_document(spark, d):
+    s = profiles.document_sentences(_pubs(spark, d))
+    return profiles.carried_language(s, detect(F.col("raw")), ["pos"], ["pos", "sent"]).select("pos", "sent", "lang")
+
+
+@query(f"""WITH {_DETECTED}, {_AUTHORED}, {_SET}, own AS (SELECT author, det.* FROM det JOIN (SELECT pos, author FROM ex JOIN target USING (author)) a USING (pos))
+SELECT author, pos, sent, coalesce(last_value(CASE WHEN length(raw) >= 20 THEN l END IGNORE NULLS) OVER (PARTITION BY author ORDER BY pos, sent ROWS UNBOUNDED PRECEDING), 'pt') AS lang FROM own""")
+def language_by_author(spark, d):
+    """The language goes on through all sentences of an author."""
+    s = profiles.coauthored(profiles.document_sentences(_pubs(spark, d)).select("pos", "sent", "raw", "authors", detect(F.col("raw")).alias("found")), _judged(spark, d))
+    return profiles.carried_language(s, F.col("found"), ["author"], ["pos", "sent"]).select("author", "pos", "sent", "lang")
+
+
 _TOKENS = f"""s AS (SELECT rec_id AS pos, id, authors, {_SENTENCES} AS x FROM filtered_documents WHERE coalesce(id, '') <> ''),
 t AS (SELECT pos, generate_subscripts(x, 1) - 1 AS sent, unnest(x) AS raw FROM s),
 k AS (SELECT pos, sent, list_filter(string_split({_normal('raw')}, ' '), lambda q: length(q) >= 2) AS toks FROM t),
@@ -589,6 +622,116 @@ def publication_distribution(spark, d):
     return _rounded(analysis.distribution(n, "n"))
 
 
+# the same comparison by matched tags: systems are evaluated at the production threshold -------------------
+
+_SYSTEMS = {"pop": "SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY freq DESC, ngram) AS INT) AS rank, ngram AS tag FROM bag", "tfidf": "SELECT author, rank, tag FROM tfidf", "given": f"""SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY score DESC, tag) AS INT) AS rank, tag FROM (SELECT author, tag, max(n - pos) AS score FROM
+ (SELECT author, {_collapse('t')} AS tag, pos, n FROM (SELECT author, unnest(tags) AS t, generate_subscripts(tags, 1) - 1 AS pos, len(tags) AS n FROM (SELECT {_author('author_id')} AS author, target_tags AS tags FROM dataset_treino_1001_autores))) WHERE tag <> '' GROUP BY ALL)"""}
+
+
+def _tag_vec(system):
+    """p, g and pr of one system, vectors made by the hashing rule."""
+    return f"""{_TFIDF_RANK}, {_GOLD}, pt AS (SELECT author, rank - 1 AS i, tag FROM ({_SYSTEMS[system]}) WHERE rank <= 20),
+gt AS (SELECT author, tag, weight, CAST(row_number() OVER (PARTITION BY author ORDER BY weight DESC, tag) - 1 AS INT) AS j FROM gold),
+wd AS (SELECT text, generate_subscripts(ws, 1) AS k, unnest(ws) AS w FROM (SELECT text, list_filter(string_split_regex(lower(text), '{WS}+'), lambda q: q <> '') AS ws FROM (SELECT tag AS text FROM pt UNION SELECT tag FROM gt))),
+gr AS (SELECT text, k, unnest(list_distinct(list_append(list_transform(range(1, length(w) + 1), lambda z: substr(' ' || w || ' ', z, 3)), w))) AS gram FROM wd),
+dm AS (SELECT text, h % 64 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM (SELECT text, CAST('0x' || substr(md5(gram), 1, 8) AS UBIGINT) AS h FROM gr) GROUP BY ALL),
+un AS (SELECT text, d, CAST(CAST(CAST(x / n AS FLOAT) AS DOUBLE) AS DOUBLE) AS x FROM dm JOIN (SELECT text, sqrt(sum(x * x)) AS n FROM dm GROUP BY text HAVING sum(x * x) > 0) USING (text)),
+pr AS (SELECT p.author, i, j, g.tag, weight, coalesce(sum(a.x * b.x), 0) AS sim FROM pt p JOIN gt g USING (author) LEFT JOIN un a ON a.text = p.tag LEFT JOIN un b ON b.text = g.tag AND b.d = a.d GROUP BY ALL),
+p AS (SELECT * FROM pt), g AS (SELECT * FROM gt)"""
+
+
+def _tag_metrics_sql(system, cols, theta=0.75):
+    ctes, sel = _metric_sql(cols)
+    return f"WITH RECURSIVE {_tag_vec(system)}, {_greedy_sql(theta)}{ctes} SELECT author, " + ", ".join(f"{e} AS {c}" for c, e in sel) + " FROM own JOIN ideal USING (author)"
+
+
+def _rank_of(spark, d, system):
+    if system == "given":
+        return positional_ranking(spark, d)
+    return rankers.pop(_bag(spark, d), 20) if system == "pop" else rankers.tfidf(_bag(spark, d), _total(spark, d), 20)
+
+
+def _tag_sides(spark, d, system):
+    pred = _rank_of(spark, d, system).where("rank <= 20").select("author", (F.col("rank") - 1).alias("i"), "tag")
+    gold = qrels_gold(spark, d).select("author", "tag", "weight")
+    words = vectors.embed(vectors.vocabulary(pred.select("tag"), gold.select("tag"), ordered=False))
+    return vectors.lookup(pred, "tag", words, 64), vectors.gold_order(vectors.lookup(gold, "tag", words, 64))
+
+
+def _tag_matches(spark, d, system, theta=0.75):
+    pred, gold = _tag_sides(spark, d, system)
+    return pred, gold, matching.greedy(vectors.similarities(pred, gold, ["j"], theta), theta)
+
+
+def _tag_metrics(spark, d, system):
+    pred, gold, m = _tag_matches(spark, d, system)
+    return metrics.ranking_metrics(matching.ranked_matches(pred, m, gold), gold)
+
+
+@query(f"WITH RECURSIVE {_tag_vec('tfidf')}, {_greedy_sql(0.75)} SELECT author, i, j, round(sim, 5) AS sim FROM m")
+def tag_match_tfidf(spark, d):
+    return _tag_matches(spark, d, "tfidf")[2].withColumn("sim", F.round("sim", 5))
+
+
+@query(f"WITH RECURSIVE {_tag_vec('given')}, {_greedy_sql(0.75)} SELECT author, i, j, round(sim, 5) AS sim FROM m")
+def tag_match_given(spark, d):
+    return _tag_matches(spark, d, "given")[2].withColumn("sim", F.round("sim", 5))
+
+
+_ALL = ("ndcg", "p_", "r_", "map", "mv")
+
+
+@query("SELECT author, " + ", ".join(f"round({c}, 6) AS {c}" if not c.startswith("mv") else c for c, _ in _metric_sql(_ALL)[1]) + f" FROM ({_tag_metrics_sql('given', _ALL)})")
+def tag_metrics_given(spark, d):
+    return _rounded(_tag_metrics(spark, d, "given"))
+
+
+@query("SELECT author, " + ", ".join(f"round({c}, 6) AS {c}" if not c.startswith("mv") else c for c, _ in _metric_sql(_ALL)[1]) + f" FROM ({_tag_metrics_sql('tfidf', _ALL)})")
+def tag_metrics_tfidf(spark, d):
+    return _rounded(_tag_metrics(spark, d, "tfidf"))
+
+
+_NDCG = f"""WITH sa AS (SELECT author, ndcg_10 AS score_a FROM ({_tag_metrics_sql('pop', ('ndcg',))})), sb AS (SELECT author, ndcg_10 AS score_b FROM ({_tag_metrics_sql('tfidf', ('ndcg',))})), {_AREA},
+cmp AS (SELECT author, area, score_a, score_b, CASE WHEN abs(score_a - score_b) < 0.01 THEN 'tie' WHEN score_a > score_b THEN 'win' ELSE 'loss' END AS outcome FROM sa JOIN sb USING (author) JOIN ar USING (author))"""
+
+
+def _ndcg_compared(spark, d):
+    a, b = (_tag_metrics(spark, d, k).select("author", F.col("ndcg_10").alias("score")) for k in ("pop", "tfidf"))
+    return analysis.compare(a, b, _areas(spark, d), "score")
+
+
+@query(_NDCG + " SELECT area, count(*) AS authors, round(avg(score_a), 6) AS mean_a, round(avg(score_b), 6) AS mean_b, round(avg(score_a) - avg(score_b), 6) AS delta, CASE WHEN avg(score_a) - avg(score_b) > 0 THEN 'pop' ELSE 'tfidf' END AS winner FROM cmp GROUP BY area")
+def ndcg_delta_by_area(spark, d):
+    return _rounded(analysis.by_area(_ndcg_compared(spark, d), "score", ("pop", "tfidf")))
+
+
+@query(_NDCG + """, c AS (SELECT area, count(*) FILTER (outcome = 'win') AS win, count(*) FILTER (outcome = 'tie') AS tie, count(*) FILTER (outcome = 'loss') AS loss, count(*) AS total FROM cmp GROUP BY area)
+SELECT *, round(100 * win / total, 6) AS win_pct, round(100 * tie / total, 6) AS tie_pct, round(100 * loss / total, 6) AS loss_pct FROM c""")
+def ndcg_win_tie_loss(spark, d):
+    return _rounded(analysis.outcomes(_ndcg_compared(spark, d)))
+
+
+@query(f"""WITH {_AREA}, a AS ({" UNION ALL ".join(f"SELECT '{k}' AS system, author, ndcg_10 AS score FROM ({_tag_metrics_sql(k, ('ndcg',))})" for k in _SYSTEMS)}),
+m AS (SELECT area, {", ".join(f"round(avg(score) FILTER (system = '{k}'), 6) AS {k}" for k in _SYSTEMS)} FROM a JOIN ar USING (author) GROUP BY area)
+SELECT area, CASE WHEN pop = greatest(pop, tfidf, given) THEN 'pop' WHEN tfidf = greatest(pop, tfidf, given) THEN 'tfidf' ELSE 'given' END AS best, greatest(pop, tfidf, given) AS value FROM m""")
+def ndcg_best_system(spark, d):
+    """Three systems that are all real rankings: counts, TF-IDF and the given tags in their order."""
+    one = [_tag_metrics(spark, d, k).select("author", F.lit(k).alias("system"), F.col("ndcg_10").alias("score")) for k in _SYSTEMS]
+    rows = one[0].unionAll(one[1]).unionAll(one[2]).join(_areas(spark, d), "author")
+    return analysis.best_system(rows.groupBy("area").agg(*[F.round(F.avg(F.when(F.col("system") == k, F.col("score"))), 6).alias(k) for k in _SYSTEMS]), list(_SYSTEMS))
+
+
+@query(_MATCHED + _m_ctes + f", {_DIV}, {_CSQL[len(_VEC) + 2 :]}, cv AS (SELECT author, avg(CAST({_SCORE.format(k=10)} >= {THETA} AS INT)) AS c_10, avg(CAST({_SCORE.format(k=20)} >= {THETA} AS INT)) AS c_20 FROM sc GROUP BY author), mt AS (SELECT author, " + ", ".join(f"{e} AS {c}" for c, e in _m_sel)
+ + """ FROM own JOIN ideal USING (author))
+SELECT 'ID_' || author AS "Autor", round(ndcg_10, 5) AS "nDCG@10", round(ndcg_20, 5) AS "nDCG@20", round(p_5, 5) AS "Precision@5", round(p_10, 5) AS "Precision@10", round(p_20, 5) AS "Precision@20", round(r_5, 5) AS "Recall@5", round(r_10, 5) AS "Recall@10", round(r_20, 5) AS "Recall@20",
+ round(map_10, 5) AS "MAP@10", round(coalesce(c_10, 0), 5) AS "Coverage@10", round(coalesce(d_10, 0), 5) AS "Diversity@10", round(map_20, 5) AS "MAP@20", round(coalesce(c_20, 0), 5) AS "Coverage@20", round(coalesce(d_20, 0), 5) AS "Diversity@20", mv_10 AS "Match_Valido@10", mv_20 AS "Match_Valido@20", 'vectors' AS "Modelo"
+FROM mt LEFT JOIN cv USING (author) LEFT JOIN dv USING (author)""")
+def author_metrics_file(spark, d):
+    ranking = metrics.ranking_metrics(_matched(spark, d), _vgold(spark, d))
+    m = metrics.author_table(ranking, metrics.coverage(_scores(spark, d), THETA), metrics.diversity(_pred(spark, d)), "vectors")
+    return m.select(*[F.round(F.col(f"`{c}`"), 5).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in m.dtypes])
+
+
 @query("""WITH a AS (SELECT pub_year, unnest(areas).general_area AS area FROM filtered_documents)
 SELECT area, min(pub_year) AS first_year, max(pub_year) AS last_year, count(pub_year) AS with_year, count(*) FILTER (pub_year IS NULL) AS without_year, max(pub_year) - min(pub_year) + 1 AS span FROM a WHERE area IS NOT NULL GROUP BY area""")
 def period_by_area(spark, d):
