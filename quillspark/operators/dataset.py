@@ -55,8 +55,10 @@ def random_split(authors: DataFrame, config: SplitConfig = SplitConfig()) -> Dat
 
 
 def hash_split(authors: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
-    """author, split by the hash of seed and author: any number of authors, no shuffle, stable when authors come."""
-    u = F.pmod(F.xxhash64(F.lit(config.seed), "author"), F.lit(1_000_000)) / 1_000_000
+    """author, split by a hash of seed and author: any number of authors, no shuffle, stable when authors come.
+
+    The first 32 bits of a digest that every engine has, so the same split can be made elsewhere."""
+    u = F.conv(F.left(F.md5(F.concat(F.lit(f"{config.seed}:"), "author")), F.lit(8)), 16, 10).cast("long") / float(1 << 32)
     return authors.select("author", F.when(u < config.train, "train").when(u < config.train + config.validation, "validation").otherwise("test").alias("split"))
 
 

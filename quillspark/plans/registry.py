@@ -352,9 +352,15 @@ def vocabulary(spark, d):
     return vectors.vocabulary(qrels_gold(spark, d).select("tag"), top, _pubs(spark, d).select(X.clean_text(F.col("title"))))
 
 
-@query()
+@query(f"""WITH {_BAG}, {_GOLD}, tx AS (SELECT tag AS text FROM gold WHERE tag <> '' UNION SELECT ngram FROM bag WHERE ngram <> ''),
+wd AS (SELECT text, generate_subscripts(ws, 1) AS k, unnest(ws) AS w FROM (SELECT text, list_filter(string_split_regex(lower(text), '{WS}+'), lambda q: q <> '') AS ws FROM tx)),
+gr AS (SELECT text, k, unnest(list_distinct(list_append(list_transform(range(1, length(w) + 1), lambda z: substr(' ' || w || ' ', z, 3)), w))) AS gram FROM wd),
+dm AS (SELECT text, CAST(h % 64 AS INT) AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM (SELECT text, CAST('0x' || substr(md5(gram), 1, 8) AS UBIGINT) AS h FROM gr) GROUP BY ALL)
+SELECT text, d, round(x / n, 5) AS x FROM dm JOIN (SELECT text, sqrt(sum(x * x)) AS n FROM dm GROUP BY text) USING (text) WHERE x <> 0""")
 def embed_vocabulary(spark, d):
-    return vectors.embed(vectors.vocabulary(qrels_gold(spark, d).select("tag"), _bag(spark, d).select("ngram")))
+    """A row for each place of a vector that is not 0."""
+    e = vectors.embed(vectors.vocabulary(qrels_gold(spark, d).select("tag"), _bag(spark, d).select("ngram"), ordered=False))
+    return e.select("text", F.posexplode("emb").alias("d", "x")).where("x <> 0").select("text", "d", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 # vectors, matching and metrics -------------------------------------------------------------------------
@@ -779,16 +785,39 @@ def chat_messages(spark, d):
     return p.select("author", F.size(generate.chat_messages(F.col("publicacoes"))).alias("messages"), F.least(F.size("publicacoes"), F.lit(50)).alias("used"))
 
 
-@query()
+_PROMPT_END = 'Read the publications below and answer with the 30 tags that describe the author best, most certain first, as {"tags": ["...", "..."]}.'
+_SAID = f"""{_REPEATED}, {_SET}, s AS (SELECT author, pos, {_structured('basic')} AS s FROM er JOIN target USING (author)),
+n AS (SELECT author, s, row_number() OVER (PARTITION BY author ORDER BY pos) AS r FROM s WHERE s.titulo <> '' OR s.abstract <> ''),
+told AS (SELECT author, '{_PROMPT_END}' || chr(10) || chr(10) || 'Publications:' || chr(10) || string_agg(array_to_string(list_filter([CASE WHEN s.titulo <> '' THEN 'Título: ' || s.titulo END, CASE WHEN s.keywords <> '' THEN 'Palavras-chave: ' || s.keywords END, CASE WHEN s.abstract <> '' THEN 'Resumo: ' || s.abstract END], lambda z: z IS NOT NULL), chr(10)), chr(10) || chr(10) ORDER BY r) AS said FROM n WHERE r <= 50 GROUP BY author)"""
+
+
+@query(f"""WITH {_SAID}, w AS (SELECT author, list_filter(string_split_regex(said, '{WS}+'), lambda z: z <> '')[-30:] AS ws FROM told),
+e AS (SELECT author, unnest(ws) AS t, generate_subscripts(ws, 1) AS k FROM w), f AS (SELECT author, t, min(k) AS k FROM e GROUP BY ALL)
+SELECT author, string_agg(t, ' | ' ORDER BY k) AS tags, CAST(NULL AS VARCHAR) AS error FROM f GROUP BY author""")
 def generate_tags(spark, d):
     p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), most=50)
     prompts = p.select("author", generate.chat_prompt(generate.chat_messages(F.col("publicacoes"))).alias("prompt"))
-    return generate.generate(prompts).select("author", "tags", "error")
+    return _joined(generate.generate(prompts).select("author", "tags", "error"))
 
 
-@query()
+@query(f"""WITH {_SAID} SELECT author, md5(said) AS last_message FROM told""")
+def chat_text(spark, d):
+    """The text of the last message of each prompt, as a digest."""
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), most=50)
+    return p.select("author", F.md5(F.element_at(generate.chat_messages(F.col("publicacoes")), -1)["content"]).alias("last_message"))
+
+
+_LOOSE = chr(32) + chr(34) + "''" + chr(9) + "-•"
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_strip("regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<think>.*?</think>', '', 'g'), '(?i)</?think>', '', 'g')")} AS b FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(b, '^```(json)?{WS}*', ''), '{WS}*```$', '') AS b FROM b),
+r AS (SELECT doc_id, b, CASE WHEN NOT json_valid(b) THEN NULL WHEN json_type(b) = 'ARRAY' THEN json_extract_string(b, '$[*]') WHEN json_type(b) = 'OBJECT' AND json_type(b, '$.tags') = 'ARRAY' THEN json_extract_string(b, '$.tags[*]') END AS whole,
+ regexp_extract_all(regexp_extract(b, '(?s)"tags"\\s*:\\s*\\[(.*)', 1), '"([^"]+)"', 1) AS cut_off, string_split_regex(b, '[,;\n]+') AS items FROM c)
+SELECT doc_id, array_to_string(CASE WHEN whole IS NOT NULL OR len(cut_off) > 0 THEN list_filter(list_transform(coalesce(whole, cut_off), lambda z: {_strip('z')}), lambda z: z <> '')
+ ELSE list_filter(list_transform(items, lambda z: {_strip(f"trim(z, '{_LOOSE}')")}), lambda z: length(z) BETWEEN 1 AND 79)[:30] END, ' | ') AS tags FROM r""")
 def parse_tags(spark, d):
-    return table(spark, d, "documents").select("doc_id", parse_responses(F.col("text")).alias("tags"))
+    return _joined(table(spark, d, "documents").select("doc_id", parse_responses(F.col("text")).alias("tags")))
 
 
 def _filled(c, array=False):
@@ -809,12 +838,25 @@ def split_70_15_15(spark, d):
     return dataset.random_split(a)
 
 
-@query()
+_TRAINED = f"a AS (SELECT DISTINCT {_author('author_id')} AS author FROM dataset_treino_1001_autores WHERE {_author('author_id')} <> '')"
+
+
+@query(f"WITH {_TRAINED}, u AS (SELECT author, CAST('0x' || substr(md5('42:' || author), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM a) SELECT author, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM u")
 def split_by_hash(spark, d):
     a = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author")).where("author <> ''").distinct()
     return dataset.hash_split(a)
 
 
+@query(f"""WITH {_TRAINED}, n AS (SELECT count(*) AS n, CAST(ceil(round(count(*) * 0.3, 9)) AS BIGINT) AS held FROM a), k AS (SELECT n, held, CAST(ceil(round(held * 0.5, 9)) AS BIGINT) AS test FROM n)
+SELECT unnest(['train', 'validation', 'test']) AS split, unnest([n - held, held - test, test]) AS authors, CAST(0 AS BIGINT) AS failures FROM k""")
+def split_sizes(spark, d):
+    """How many authors each part of the seeded split has, and what its check finds wrong."""
+    a = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author")).where("author <> ''").distinct()
+    s = dataset.random_split(a)
+    wrong = dataset.check_split(s, a).agg(F.coalesce(F.sum("failures"), F.lit(0)).alias("n"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("authors")).withColumn("failures", wrong.select("n").scalar())
+
+
 @query(f"""WITH {_REPEATED}, {_GOLD}, t AS (SELECT author, tag, max(weight) AS weight FROM parsed WHERE tag <> '' AND author <> '' AND weight IN (1, 2, 3) GROUP BY ALL),
 s AS (SELECT author, pos, {_structured('extended')} AS s FROM er), n AS (SELECT author, least(count(*), 50) AS n_publicacoes_usadas FROM s WHERE s.titulo <> '' OR s.abstract <> '' OR s.keywords <> '' GROUP BY author)
 SELECT author, CAST(n_publicacoes_usadas AS INT) AS n_publicacoes_usadas, string_agg(tag, ' | ' ORDER BY weight DESC, tag) AS target_tags FROM n JOIN t USING (author) GROUP BY ALL""")
