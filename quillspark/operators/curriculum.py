@@ -250,8 +250,9 @@ def units(compacted: DataFrame) -> DataFrame:
     each = rows.where(~area).select("author", "section", "o", F.lit(0).alias("k"), "pieces")
     split = rows.where(area).select("author", "section", "o", F.posexplode("pieces").alias("k", "p"))
     split = split.groupBy("author", "section", "p").agg(F.min(F.struct("o", "k")).alias("x")).select("author", "section", "x.o", "x.k", F.array("p").alias("pieces"))
-    number = F.row_number().over(Window.partitionBy("author", "section").orderBy("o", "k")) - 1
-    return each.unionByName(split).select("author", F.concat("section", F.lit("_"), F.lpad(number.cast("string"), 3, "0")).alias("doc_id"), "section", "pieces")
+    number = (F.row_number().over(Window.partitionBy("author", "section").orderBy("o", "k")) - 1).cast("string")
+    number = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    return each.unionByName(split).select("author", F.concat("section", F.lit("_"), number).alias("doc_id"), "section", "pieces")
 
 
 def section_summary(compacted: DataFrame) -> DataFrame:
@@ -260,6 +261,37 @@ def section_summary(compacted: DataFrame) -> DataFrame:
     return n.groupBy("section").agg(F.count(F.lit(1)).alias("authors"), F.avg("n").alias("mean"), F.max("n").alias("most"))
 
 
+def unit_summary(units_table: DataFrame) -> DataFrame:
+    """section, units, authors, mean, least and most units an author; the row of section null is over all."""
+    n = units_table.groupBy("author", "section").agg(F.count(F.lit(1)).alias("n"))
+    stats = (F.sum("n").alias("units"), F.count(F.lit(1)).alias("authors"), F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+    total = n.groupBy("author").agg(F.sum("n").alias("n"))
+    return n.groupBy("section").agg(*stats).unionByName(total.agg(*stats).select(F.lit(None).cast("string").alias("section"), "units", "authors", "mean", "least", "most"))
+
+
 def uncovered(field_units: DataFrame, ngram_units: DataFrame) -> DataFrame:
     """Units with fields but without n-grams: must be empty before coverage is measured."""
     return field_units.select("author", "doc_id").join(ngram_units.select("author", "doc_id"), ["author", "doc_id"], "left_anti")
+
+
+def alignment(curricula: DataFrame, judged: DataFrame, units_table: DataFrame) -> DataFrame:
+    """One row: authors with a curriculum, of those judged, not judged, judged without a unit (missing), and with
+    units though not both (extra)."""
+    own, known = curricula.select("author").distinct(), judged.select("author").distinct()
+    both, has = own.join(known, "author", "left_semi"), units_table.select("author").distinct()
+    count = lambda df: df.select(F.count(F.lit(1))).scalar()
+    extra = has.join(both, "author", "left_anti")
+    return own.agg(F.count(F.lit(1)).alias("curricula")).select("curricula", count(both).alias("judged"), count(own.join(known, "author", "left_anti")).alias("not_judged"), count(both.join(has, "author", "left_anti")).alias("missing"), count(extra).alias("extra"))
+
+
+def audit_report(curricula: DataFrame, judged: DataFrame, units_table: DataFrame) -> dict:
+    """The report beside the units: alignment, totals by section and the spread over authors. Extra authors are an error."""
+    told = alignment(curricula, judged, units_table).first().asDict()
+    if told["extra"]:
+        raise ValueError(f"{told['extra']} authors have units without a judged curriculum")
+    rows = {r.section: r for r in unit_summary(units_table).collect()}  # a row a section
+    over = rows.get(None)
+    return told | {
+        "sections": SECTIONS, "fields": UNIT_FIELDS, "units_by_section": {s: rows[s].units if s in rows else 0 for s in SECTIONS},
+        "mean_units": over.mean or 0.0, "least_units": over.least or 0, "most_units": over.most or 0,
+    }

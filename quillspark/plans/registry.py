@@ -885,11 +885,6 @@ def event_windows(spark, d):
     return incremental.windowed_counts(table(spark, d, "events"), "ts", "event_type").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
-def curriculum_profile(spark, d):
-    return curriculum.profile(_curricula(spark, d))
-
-
 @query()
 def generate_curriculum_tags(spark, d):
     told = generate.curriculum_json(curriculum.profile(_curricula(spark, d)))
@@ -897,14 +892,78 @@ def generate_curriculum_tags(spark, d):
     return generate.generate(prompts).select("author", "tags", "error")
 
 
-@query()
-def curriculum_units(spark, d):
-    return curriculum.units(curriculum.profile(_curricula(spark, d)))
-
-
 def _curricula(spark, d):
     """Curricula made of the publications of each author of the supervised set: the tables have no XML."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(X.clean_text(c), "&", "&amp;"), "<", "&lt;"), '"', "&quot;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
     one = F.transform("publicacoes", lambda p, i: F.concat(F.lit('<ARTIGO-PUBLICADO SEQUENCIA-PRODUCAO="1"><DADOS-BASICOS-DO-ARTIGO NATUREZA="COMPLETO" TITULO-DO-ARTIGO="'), esc(p["titulo"]), F.lit('" ANO-DO-ARTIGO="'), (F.lit(1990) + i % 30).cast("string"), F.lit('"/></ARTIGO-PUBLICADO>')))
     xml = F.concat(F.lit("<CURRICULO-VITAE><PRODUCAO-BIBLIOGRAFICA><ARTIGOS-PUBLICADOS>"), F.array_join(one, ""), F.lit("</ARTIGOS-PUBLICADOS></PRODUCAO-BIBLIOGRAFICA></CURRICULO-VITAE>"))
     return table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author"), xml.alias("content"))
+
+
+# curricula with all nine sections, made of each author's judged tags ---------------------------------------
+
+
+def _full_curricula(spark, d):
+    """XML of each judged author: tag i of the author in the order of weight and name is the i-th record."""
+    gold = judgements.gold(readers.judgement_table(spark, d), True).select("author", "tag", "weight", X.clean_text(F.col("tag")).alias("t")).where("t <> ''")
+    tags = gold.groupBy("author").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("k"), "tag", F.col("weight").alias("w"), F.regexp_replace("t", '"', "&quot;").alias("t")))).alias("x"))
+    t, own = (lambda z: z["t"]), F.col("x")
+    of = lambda w: F.filter("x", lambda z: z["w"] == w)
+    say = lambda items, f: F.array_join(F.transform(items, f), "")
+    tell = lambda form, *values: F.format_string(form, *values)
+    first, last = F.element_at(own, 1)["t"], F.element_at(own, -1)["t"]
+    xml = F.concat(
+        tell('<CURRICULO-VITAE><DADOS-GERAIS NOME-COMPLETO="N"><FORMACAO-ACADEMICA-TITULACAO><DOUTORADO NOME-CURSO="%s" ANO-DE-CONCLUSAO="2001" TITULO-DA-DISSERTACAO-TESE="%s"/></FORMACAO-ACADEMICA-TITULACAO>', first, last),
+        F.lit("<AREAS-DE-ATUACAO>"), say(of(3), lambda z: tell('<AREA-DE-ATUACAO NOME-DA-AREA-DO-CONHECIMENTO="%s"/>', t(z))), F.lit("</AREAS-DE-ATUACAO>"),
+        tell('<ATUACOES-PROFISSIONAIS><ATUACAO-PROFISSIONAL NOME-INSTITUICAO="I"><VINCULOS OUTRO-VINCULO-INFORMADO="%s"/>', first),
+        say(of(2), lambda z: tell('<LINHA-DE-PESQUISA TITULO-DA-LINHA-DE-PESQUISA="%s" OBJETIVOS-LINHA-DE-PESQUISA="o %s"/>', t(z), t(z))),
+        tell('<ATIVIDADES-DE-ENSINO><ENSINO NOME-CURSO="%s">', first), say(of(1), lambda z: tell('<DISCIPLINA NOME-DA-DISCIPLINA="%s"/>', t(z))),
+        F.lit("</ENSINO></ATIVIDADES-DE-ENSINO></ATUACAO-PROFISSIONAL></ATUACOES-PROFISSIONAIS></DADOS-GERAIS><PRODUCAO-BIBLIOGRAFICA><ARTIGOS-PUBLICADOS>"),
+        say(own, lambda z, i: tell('<ARTIGO-PUBLICADO><DADOS-BASICOS-DO-ARTIGO TITULO-DO-ARTIGO="%s" ANO-DO-ARTIGO="%d" NATUREZA="COMPLETO" DOI="x"/><PALAVRAS-CHAVE PALAVRA-CHAVE-1="k %d"/></ARTIGO-PUBLICADO>', t(z), 1990 + i % 25, z["w"])),
+        F.lit("</ARTIGOS-PUBLICADOS></PRODUCAO-BIBLIOGRAFICA><PRODUCAO-TECNICA><SOFTWARE>"),
+        say(own, lambda z, i: tell('<DADOS-BASICOS-DO-SOFTWARE TITULO-DO-SOFTWARE="%s" ANO="%d"/>', t(z), 2000 + i % 10)),
+        F.lit("</SOFTWARE></PRODUCAO-TECNICA><OUTRA-PRODUCAO><ORIENTACOES-CONCLUIDAS>"),
+        say(own, lambda z, i: tell('<ORIENTACAO TITULO-DO-TRABALHO="%s" ANO="%d"/>', t(z), 1995 + i % 7)),
+        F.lit("</ORIENTACOES-CONCLUIDAS><DEMAIS-TRABALHOS>"), say(own, lambda z: tell('<TRABALHO TITULO="%s"/>', t(z))), F.lit("</DEMAIS-TRABALHOS></OUTRA-PRODUCAO></CURRICULO-VITAE>"),
+    )
+    return tags.select("author", xml.alias("content"))
+
+
+_CV = f"""{_GOLD}, tr AS (SELECT author, tag, max(weight) AS w FROM parsed WHERE tag <> '' AND weight IN (1, 2, 3) AND author <> '' GROUP BY ALL),
+tc AS (SELECT author, tag, w, {_clean('tag')} AS t FROM tr), tg AS (SELECT author, t, w, row_number() OVER (PARTITION BY author ORDER BY w DESC, tag) - 1 AS i FROM tc WHERE t <> ''),
+en AS (SELECT author, arg_min(t, i) AS f, arg_max(t, i) AS l FROM tg GROUP BY author),
+works AS (SELECT author, 'producao_bibliografica' AS section, 1990 + i % 25 AS y, i, t, [t, 'COMPLETO', 'k ' || w] AS pieces, 30 AS most FROM tg
+ UNION ALL SELECT author, 'producao_tecnica', 2000 + i % 10, i, t, [t], 20 FROM tg UNION ALL SELECT author, 'orientacoes_concluidas', 1995 + i % 7, i, t, [t, 'ORIENTACAO'], 20 FROM tg
+ UNION ALL SELECT author, 'demais_trabalhos', -1, 0, f, [f], 20 FROM en),
+recent AS (SELECT *, CAST(row_number() OVER (PARTITION BY author, section ORDER BY y DESC, i) AS INT) AS recency FROM works QUALIFY recency <= most),
+un AS (SELECT author, section, recency AS o, pieces FROM recent UNION ALL SELECT author, 'formacao_academica', 0, [f, l] FROM en UNION ALL SELECT author, 'atuacao_profissional', 0, [f] FROM en
+ UNION ALL SELECT author, 'areas_de_atuacao', min(i), [t] FROM tg WHERE w = 3 GROUP BY author, t UNION ALL SELECT author, 'linhas_de_pesquisa', i, [t, 'o ' || t] FROM tg WHERE w = 2
+ UNION ALL SELECT author, 'ensino', 0, [f] || coalesce(ts, []) FROM en LEFT JOIN (SELECT author, list(t ORDER BY i) AS ts FROM tg WHERE w = 1 GROUP BY author) USING (author)),
+nu AS (SELECT author, section, section || '_' || lpad(CAST(row_number() OVER (PARTITION BY author, section ORDER BY o) - 1 AS VARCHAR), 3, '0') AS doc_id, pieces FROM un)"""
+
+
+@query(f"WITH {_CV} SELECT author, section, recency, CASE WHEN y > 0 THEN CAST(y AS VARCHAR) END AS ano, t AS titulo FROM recent")
+def curriculum_profile(spark, d):
+    p = curriculum.profile(_full_curricula(spark, d))
+    return p.where(F.col("recency").isNotNull()).select("author", "section", "recency", "ano", "titulo")
+
+
+@query(f"""WITH {_CV}, e AS (SELECT author, section, doc_id, unnest(pieces) AS x, generate_subscripts(pieces, 1) AS k FROM nu), f AS (SELECT author, section, doc_id, x, min(k) AS k FROM e GROUP BY ALL)
+SELECT author, section, doc_id, string_agg(x, ' | ' ORDER BY k) AS pieces FROM f GROUP BY ALL""")
+def curriculum_units(spark, d):
+    return _joined(curriculum.units(curriculum.profile(_full_curricula(spark, d))))
+
+
+@query(f"""WITH {_CV}, n AS (SELECT author, section, count(*) AS n FROM nu GROUP BY ALL), a AS (SELECT author, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY author)
+SELECT section, CAST(sum(n) AS BIGINT) AS units, count(*) AS authors, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM n GROUP BY section UNION ALL SELECT NULL, CAST(sum(n) AS BIGINT), count(*), round(avg(n), 6), min(n), max(n) FROM a""")
+def curriculum_unit_summary(spark, d):
+    return _rounded(curriculum.unit_summary(curriculum.units(curriculum.profile(_full_curricula(spark, d)))))
+
+
+@query(f"""WITH {_CV}, {_TRAINED}, cv AS (SELECT DISTINCT author FROM en) SELECT (SELECT count(*) FROM cv) AS curricula, (SELECT count(*) FROM cv JOIN a USING (author)) AS judged, (SELECT count(*) FROM cv WHERE author NOT IN (SELECT author FROM a)) AS not_judged,
+ CAST(0 AS BIGINT) AS missing, (SELECT count(*) FROM cv WHERE author NOT IN (SELECT author FROM a)) AS extra""")
+def curriculum_alignment(spark, d):
+    """Against the supervised authors; units are those of all curricula, so who is not in the set is extra."""
+    files = _full_curricula(spark, d)
+    wanted = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author")).where("author <> ''")
+    return curriculum.alignment(files, wanted, curriculum.units(curriculum.profile(files)))
