@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.parsing import parse_response
+from quillspark.functions.parsing import finetuned_tags, parse_response
 from quillspark.operators.curriculum import SECTIONS
+from quillspark.operators.guards import require_within
 
 SYSTEM = "You name the areas of expertise of a researcher. Answer with one JSON object and nothing else."
 TASK = 'Read the publications below and answer with the {n} tags that describe the author best, most certain first, as {{"tags": ["...", "..."]}}.'
@@ -109,23 +110,33 @@ def echo_generator(prompts: list[str], config: GenerationConfig, seed: int) -> l
 Generator = Callable[[list[str], GenerationConfig, int], list[str]]
 
 
+def batch_seed(seed: int, authors: list[str]) -> int:
+    """31 bits of the seed and the authors of a batch."""
+    return int.from_bytes(hashlib.sha256("\x1f".join([str(seed), *map(str, authors)]).encode()).digest()[:4], "big") >> 1
+
+
+def finetuned(results: DataFrame, config: GenerationConfig = GenerationConfig()) -> DataFrame:
+    """results with the tags of a fine-tuned model: thinking removed, normalised, every reading cut to n_tags."""
+    return results.withColumn("tags", F.when(F.col("error").isNull(), finetuned_tags(F.col("response"), config.n_tags)).otherwise(F.array().cast("array<string>")))
+
+
 def generate(prompts: DataFrame, config: GenerationConfig = GenerationConfig(), generator: Generator = echo_generator) -> DataFrame:
     """prompts(author, prompt) -> author, response, tags, error, config.
 
-    A failing batch gives its authors no tags and the error; others go on. Partitions are batches of
-    config.batch_size prompts, seeded by seed and batch."""
+    A failing batch gives its authors no tags and the error; others go on. A batch of config.batch_size prompts
+    is seeded by the configured seed and its authors, so no two batches of a run share a seed by their place, and
+    a batch of the same authors has the same seed wherever it runs."""
     config.validate()
     name = config.identity()
 
     def run(batches):
-        k = 0
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             answers, errors = [], []
             for at in range(0, len(ids), config.batch_size):
                 part = texts[at : at + config.batch_size]
                 try:
-                    got = generator(part, config, config.seed + k)
+                    got = generator(part, config, batch_seed(config.seed, ids[at : at + config.batch_size]))
                     if len(got) != len(part):
                         raise ValueError(f"{len(got)} answers to {len(part)} prompts")
                     answers += got
@@ -133,7 +144,6 @@ def generate(prompts: DataFrame, config: GenerationConfig = GenerationConfig(),
                 except Exception as e:  # noqa: BLE001
                     answers += [None] * len(part)
                     errors += [f"{type(e).__name__}: {e}"] * len(part)
-                k += 1
             tags = [parse_response(a, config.n_tags) for a in answers]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(answers, pa.string()), pa.array(tags, pa.list_(pa.string())), pa.array(errors, pa.string()), pa.array([name] * len(ids))], names=["author", "response", "tags", "error", "config"])
 
@@ -141,9 +151,11 @@ def generate(prompts: DataFrame, config: GenerationConfig = GenerationConfig(),
 
 
 def pending(prompts: DataFrame, done: DataFrame | None, config: GenerationConfig, retry_errors: bool = False) -> DataFrame:
-    """Prompts without a result of this configuration. A checkpoint of another configuration is refused."""
+    """Prompts without a result of this configuration. A checkpoint of another configuration, or with authors that
+    have no prompt, is refused: it belongs to another run."""
     if done is None:
         return prompts
+    require_within(done, prompts, "the results kept there", "the prompts")
     other = done.where(F.col("config") != config.identity()).limit(1)
     if not other.isEmpty():
         raise ValueError("the results kept there belong to another configuration")
@@ -151,8 +163,10 @@ def pending(prompts: DataFrame, done: DataFrame | None, config: GenerationConfig
     return prompts.join(kept.select("author"), "author", "left_anti")
 
 
-def resume(prompts: DataFrame, path: str, config: GenerationConfig = GenerationConfig(), generator: Generator = echo_generator, retry_errors: bool = False, fresh: bool = False) -> DataFrame:
-    """Appends what is missing to the Parquet table at path and returns the table: last result of each author."""
+def resume(prompts: DataFrame, path: str, config: GenerationConfig = GenerationConfig(), generator: Generator = echo_generator, retry_errors: bool = False, fresh: bool = False, partial: bool = False) -> DataFrame:
+    """Appends what is missing to the Parquet table at path and returns the table: last result of each author.
+
+    partial: prompts are some of a run's, as of a stream, so results of other authors are no error."""
     spark = prompts.sparkSession
     done = None
     if not fresh:
@@ -161,6 +175,8 @@ def resume(prompts: DataFrame, path: str, config: GenerationConfig = GenerationC
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+    if partial and done is not None:
+        done = done.join(prompts.select("author"), "author", "left_semi")
     out = generate(pending(prompts, done, config, retry_errors), config, generator).withColumn("made_at", F.current_timestamp())
     out.write.mode("overwrite" if fresh else "append").parquet(path)
     kept = spark.read.parquet(path)

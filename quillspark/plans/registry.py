@@ -7,14 +7,15 @@ the label is the author, even ids are predictions in order of id, odd ids are go
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.ngrams import LEXICON
 from quillspark.functions import text as X
 from quillspark.functions.language import detect
 from quillspark.functions.parsing import parse_responses
-from quillspark.operators import analysis, curriculum, dataset, generate, judgements, matching, metrics, ordering, profiles, rankers, vectors
+from quillspark.operators import analysis, curriculum, dataset, generate, guards, judgements, matching, metrics, ordering, profiles, rankers, vectors
 from quillspark.session import prepare, table
 from quillspark.sources import readers
 from quillspark.streaming import incremental
@@ -74,9 +75,16 @@ def _author(c):
     return f"regexp_replace({_strip(c)}, '^ID_', '')"
 
 
+_ENTITIES = {"basic": r"&[a-z]+;|&#\d+;", "extended": r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);"}
+_KEEP = {
+    "basic": rf"""[^\p{{L}}\p{{N}}_{WS[1:-1]}.,;:!?()\-'"áéíóúâêîôûãõàèìòùçÁÉÍÓÚÂÊÎÔÛÃÕÀÈÌÒÙÇñÑüÜ]""",
+    "extended": rf"""[^\p{{L}}\p{{N}}_{WS[1:-1]}À-ÖØ-öø-ÿ.,;:!?()\-/'"&+%#@=]""",
+}
+
+
 def _clean(c, variant="basic"):
-    entity = X.ENTITIES[variant]
-    keep = X.KEEP[variant].removeprefix("(?U)").replace(r"\s", WS[1:-1]).replace("'", "''")
+    entity = _ENTITIES[variant]
+    keep = _KEEP[variant].replace("'", "''")
     return _collapse(f"regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '{entity}', ' ', 'g'), '{keep}', ' ', 'g')")
 
 
@@ -100,7 +108,8 @@ def _normal(c):
     return f"array_to_string(list_filter({words}, lambda q: q <> '' AND NOT regexp_full_match(q, '(?i)m{{0,4}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})')), ' ')"
 
 
-_FROM, _TO = (x.replace("'", "''") for x in X._plain_letters())
+_COMPOSED = [(chr(i), d) for i in range(0xC0, 0x10000) if not (0xAC00 <= i <= 0xD7A3 or 0xD800 <= i <= 0xDFFF) and len(d := unicodedata.normalize("NFD", chr(i))) > 1 and {unicodedata.category(x) for x in d[1:]} == {"Mn"}]
+_FROM, _TO = ("".join(x).replace("'", "''") for x in zip(*((c, d[0]) for c, d in _COMPOSED)))
 
 _AUTHORED = f"ex AS (SELECT rec_id AS pos, id, title, keywords, abstract, unnest(list_distinct(list_filter(list_transform(authors, lambda z: {_author('z')}), lambda z: z <> ''))) AS author FROM filtered_documents)"
 _SET = f"target AS (SELECT DISTINCT {_author('author')} AS author FROM qrels WHERE author IS NOT NULL AND {_author('author')} <> '')"
@@ -125,6 +134,22 @@ def tfidf_rank(spark, d):
     return rankers.tfidf(_bag(spark, d), _total(spark, d))
 
 
+_EVERY = f"every AS (SELECT DISTINCT {_author('autor_id')} AS author FROM perfis_autores WHERE autor_id IS NOT NULL AND {_author('autor_id')} <> '')"
+
+
+@query(f"WITH {_BAG}, {_EVERY}, r AS (SELECT author, row_number() OVER (PARTITION BY author ORDER BY freq DESC, ngram) AS rank, ngram AS tag FROM bag) SELECT author, count(tag) AS n, coalesce(string_agg(tag, ' | ' ORDER BY rank), '') AS tags FROM every LEFT JOIN (SELECT * FROM r WHERE rank <= 50) USING (author) GROUP BY author")
+def pop_lists(spark, d):
+    """The first fifty of each author, an empty list of an author whose profiles are empty."""
+    x = rankers.as_lists(rankers.pop(_bag(spark, d), 50), "freq", authors=rankers.authors_of(table(spark, d, "perfis_autores")))
+    return x.select("author", F.size("ranking").cast("long").alias("n"), F.array_join(F.transform("ranking", lambda r: r["tag"]), " | ").alias("tags"))
+
+
+@query(f"WITH {_TFIDF_RANK}, {_EVERY} SELECT author, count(tag) AS n, coalesce(string_agg(tag, ' | ' ORDER BY rank), '') AS tags FROM every LEFT JOIN (SELECT * FROM tfidf WHERE rank <= 50) USING (author) GROUP BY author")
+def tfidf_lists(spark, d):
+    x = rankers.as_lists(rankers.tfidf(_bag(spark, d), _total(spark, d), 50), "score", authors=rankers.authors_of(table(spark, d, "perfis_autores")))
+    return x.select("author", F.size("ranking").cast("long").alias("n"), F.array_join(F.transform("ranking", lambda r: r["tag"]), " | ").alias("tags"))
+
+
 @query(f"WITH {_BAG}, {_IDF} SELECT ngram, df, round(idf, 9) AS idf FROM df")
 def df_idf(spark, d):
     x = rankers.idf(_bag(spark, d), _total(spark, d))
@@ -221,8 +246,11 @@ def ngram_windows(spark, d):
     return x.groupBy("ngram", "n").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-_LEX = {w: k for k, ws in reversed(LEXICON.items()) for w in ws}
-_FUN = "[" + ", ".join(f"'{w}'" for w in _LEX) + "]"
+_FUNCTIONAL = (
+    "de da do das dos em no na nos nas por para com sem sob sobre entre ate of in on at by for with from to between about across um uma uns umas os as este esta esse essa the an this that these those "
+    "e ou mas and or but nor que se ele ela eles elas it we they he she you which who foi foram ser sao esta estao is are was were be been has have"
+)
+_FUN = "[" + ", ".join(f"'{w}'" for w in _FUNCTIONAL.split()) + "]"
 _GRAMS = _TOKENS + f""", ok AS (SELECT * FROM w WHERE NOT list_contains({_FUN}, words[1]) AND NOT list_contains({_FUN}, words[-1]))"""
 
 
@@ -309,6 +337,26 @@ def filter_summary(spark, d):
     return profiles.filter_summary(_pubs(spark, d), _judged(spark, d))
 
 
+@query(f"""WITH {_AUTHORED}, {_SET}, l AS (SELECT DISTINCT pos, author FROM ex JOIN target USING (author)), m AS (SELECT author FROM target WHERE author NOT IN (SELECT author FROM l) ORDER BY author LIMIT 10)
+SELECT (SELECT count(*) FROM filtered_documents) AS lines, CAST(0 AS BIGINT) AS invalid, count(DISTINCT pos) AS kept, (SELECT count(*) FROM target) AS wanted, count(DISTINCT author) AS found, (SELECT count(*) FROM target) - count(DISTINCT author) AS missing,
+ coalesce((SELECT string_agg(author, ' | ' ORDER BY author) FROM m), '') AS examples FROM l""")
+def filter_report(spark, d):
+    lines = table(spark, d, "filtered_documents").agg(F.count(F.lit(1)).alias("lines"), F.lit(0).cast("long").alias("invalid"))
+    return _joined(profiles.filter_report(lines, _pubs(spark, d), _judged(spark, d)))
+
+
+@query(f"""WITH {_AUTHORED}, {_SET}, l AS (SELECT DISTINCT pos, author FROM ex JOIN target USING (author) WHERE {_clean('title')} <> '' OR {_clean('abstract')} <> '')
+SELECT count(DISTINCT pos) AS selected, count(DISTINCT author) AS authors, count(*) AS links FROM l""")
+def profile_build_counts(spark, d):
+    return profiles.build_counts(_pubs(spark, d), _judged(spark, d), (X.clean_text(F.col("title")) != "") | (X.clean_text(F.col("abstract")) != ""))
+
+
+@query(f"""WITH {_SET}, b AS (SELECT DISTINCT {_author('autor_id')} AS author FROM perfis_autores WHERE autor_id IS NOT NULL AND {_author('autor_id')} <> '')
+SELECT author, 'left' AS side FROM target WHERE author NOT IN (SELECT author FROM b) UNION ALL SELECT author, 'right' FROM b WHERE author NOT IN (SELECT author FROM target)""")
+def author_differences(spark, d):
+    return guards.differences(_judged(spark, d), rankers.authors_of(table(spark, d, "perfis_autores")))
+
+
 @query(f"WITH {_GOLD} SELECT * FROM gold")
 def qrels_gold(spark, d):
     return judgements.gold(readers.judgement_table(spark, d))

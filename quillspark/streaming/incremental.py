@@ -15,7 +15,7 @@ from quillspark.operators import generate
 def generate_stream(prompts: DataFrame, path: str, checkpoint: str, config: generate.GenerationConfig = generate.GenerationConfig(), generator: generate.Generator = generate.echo_generator):
     """Starts a query that appends results of new authors to path."""
     def batch(df: DataFrame, _: int) -> None:
-        generate.resume(df.dropDuplicates(["author"]), path, config, generator)
+        generate.resume(df.dropDuplicates(["author"]), path, config, generator, partial=True)
 
     return prompts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
