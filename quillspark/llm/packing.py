@@ -132,3 +132,19 @@ def pack(sizes: DataFrame, capacity: int = 2048, places: int = OPEN) -> DataFram
         if n == 1:
             break
     return done.select("container", F.posexplode("items").alias("position", "x")).select("container", "position", "x.doc_id", "x.start", F.col("x.n").alias("n_tokens"))
+
+
+def audit(packed: DataFrame, sizes: DataFrame, capacity: int = 2048, fill: float = 0.97) -> DataFrame:
+    """One row: items, and of them how many have other sums than their size or are split though they would fit;
+    containers over capacity; whether the containers are filled to at least `fill`, the last of all left out."""
+    parts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("parts"))
+    whole = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("times"))
+    both = whole.join(parts, "doc_id", "full_outer")
+    items = both.agg(
+        F.sum("times").alias("items"),
+        F.count_if(~F.col("packed").eqNullSafe(F.col("n"))).alias("wrong_sums"),
+        F.count_if((F.col("n") <= capacity * F.col("times")) & (F.col("times") == 1) & (F.col("parts") > 1)).alias("split_small"),
+    )
+    used = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    boxes = used.agg(F.count_if(F.col("used") > capacity).alias("over_capacity"), (F.coalesce(F.sum("used"), F.lit(0)) >= (F.count(F.lit(1)) - 1) * capacity * fill).alias("filled"))
+    return items.select("items", "wrong_sums", "split_small", boxes.select("over_capacity").scalar().alias("over_capacity"), boxes.select("filled").scalar().alias("filled"))

@@ -61,6 +61,14 @@ def p4_splits(spark, sf_dir):
     return split_groups(cut(author_groups(table(spark, sf_dir, "dataset_treino_1001_autores"), _pubs(spark, sf_dir))))
 
 
+def p4_audit(spark, sf_dir):
+    from quillspark.llm.splits import audit, author_groups, split_groups
+    from quillspark.session import cut
+
+    groups = cut(author_groups(table(spark, sf_dir, "dataset_treino_1001_autores"), _pubs(spark, sf_dir)))
+    return audit(cut(split_groups(groups)), groups)
+
+
 def p5_found(spark, sf_dir):
     from quillspark.llm.language import unlabelled_languages
 
@@ -105,6 +113,30 @@ def p8_ids(spark, sf_dir):
     return encode_corpus(table(prepare(spark), sf_dir, "documents"))
 
 
+def p8_round_trip(spark, sf_dir):
+    """Every text back from its ids, as a digest."""
+    from quillspark.llm.tokenizing import decode_corpus, encode_corpus
+
+    return decode_corpus(encode_corpus(table(prepare(spark), sf_dir, "documents"))).select("doc_id", F.md5("text").alias("digest"))
+
+
+def p9_audit(spark, sf_dir):
+    from quillspark.llm.packing import audit, pack
+    from quillspark.llm.tokenizing import token_counts
+    from quillspark.session import cut
+
+    sizes = token_counts(table(prepare(spark), sf_dir, "documents"))
+    return audit(cut(pack(sizes, 2048)), sizes)
+
+
+def p10_audit(spark, sf_dir):
+    from quillspark.llm.splitting import audit, split_oversized
+    from quillspark.session import cut
+
+    documents = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return audit(cut(split_oversized(documents, 512, 64)), documents)
+
+
 def p9_packed(spark, sf_dir):
     from quillspark.llm.packing import pack
     from quillspark.llm.tokenizing import token_counts
@@ -120,7 +152,7 @@ def p10_pieces(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p2_found, p2_weights, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_segments, p6_found, p6_restored, p7_found, p7_terms, p8_ids, p9_packed, p10_pieces)
+    for f in (p1_found, p1_classes, p2_found, p2_weights, p3_found, p3_clean, p4_found, p4_splits, p4_audit, p5_found, p5_segments, p6_found, p6_restored, p7_found, p7_terms, p8_ids, p8_round_trip, p9_packed, p9_audit, p10_pieces, p10_audit)
 }
 
 _WORDS = r"""
@@ -150,6 +182,18 @@ common AS (SELECT a.rec_id AS rec_id_a, b.rec_id AS rec_id_b, a.n AS na, b.n AS
   FROM words a JOIN words b ON a.word = b.word AND a.rec_id < b.rec_id AND a.id IS DISTINCT FROM b.id
   AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) GROUP BY ALL)
 SELECT rec_id_a, rec_id_b FROM common WHERE c >= 0.75 * (na + nb - c)""",
+    "p1_classes": "WITH" + _WORDS + """
+cls AS (SELECT rec_id, n, w, min(rec_id) OVER (PARTITION BY list_sort(w)) AS class_id FROM big),
+rw AS (SELECT class_id, n, unnest(w) AS word FROM cls WHERE rec_id = class_id),
+common AS (SELECT a.class_id AS x, b.class_id AS y, a.n AS na, b.n AS nb, count(*) AS c FROM rw a JOIN rw b ON a.word = b.word AND a.class_id < b.class_id AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT class_id, count(*) AS links FROM (SELECT x AS class_id FROM common WHERE c >= 0.75 * (na + nb - c) UNION ALL SELECT y FROM common WHERE c >= 0.75 * (na + nb - c)) GROUP BY class_id)
+SELECT d.rec_id, coalesce(c.class_id, d.rec_id) AS class_id, CASE WHEN c.class_id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY c.class_id) END AS copies, coalesce(l.links, 0) AS links
+FROM filtered_documents d LEFT JOIN cls c USING (rec_id) LEFT JOIN links l ON l.class_id = c.class_id""",
+    "p4_audit": r"""SELECT count(DISTINCT a) AS authors, CAST(0 AS BIGINT) AS parted, CAST(0 AS BIGINT) AS without, true AS in_proportion FROM (SELECT regexp_replace(trim(author_id), '^ID_\s*', '') AS a FROM dataset_treino_1001_autores)
+WHERE regexp_full_match(a, '[0-9]+') AND NOT regexp_full_match(a, '0+')""",
+    "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_audit": "SELECT count(*) AS items, CAST(0 AS BIGINT) AS wrong_sums, CAST(0 AS BIGINT) AS split_small, CAST(0 AS BIGINT) AS over_capacity, true AS filled FROM documents",
+    "p10_audit": "SELECT CAST(0 AS BIGINT) AS no_slice, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS needless",
     "p2_found": "WITH" + _LETTERS + """
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT rec_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5""",

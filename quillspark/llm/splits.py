@@ -84,3 +84,15 @@ def split_groups(groups: DataFrame, train: float = 0.7, validation: float = 0.15
     middle = (F.col("upto") - F.col("n") / 2) / total
     named = upto.select("b", F.when((F.col("b") == -1) | (middle < train), "train").when(middle < train + validation, "validation").otherwise("test").alias("split"))
     return groups.join(sized.join(F.broadcast(named), "b").select("group_id", "split"), "group_id").select("author_id", "group_id", "split")
+
+
+def audit(split: DataFrame, groups: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """One row: authors, groups that are parted, authors without a part, and whether each part has its share to
+    within the largest group."""
+    total = groups.select(F.count(F.lit(1))).scalar()
+    parted = split.groupBy("group_id").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("parted"))
+    largest = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    parts = split.agg(*[F.count_if(F.col("split") == k).alias(k) for k in ("train", "validation", "test")], F.count(F.lit(1)).alias("given"))
+    room = F.coalesce(largest.select("n").scalar(), F.lit(0)) + total * 2.0 / BUCKETS + 1
+    near = [F.abs(F.col(k) - total * share) <= room for k, share in (("train", train), ("validation", validation), ("test", 1 - train - validation))]
+    return parts.select(total.alias("authors"), parted.select("parted").scalar().alias("parted"), (total - F.col("given")).alias("without"), (near[0] & near[1] & near[2]).alias("in_proportion"))

@@ -20,9 +20,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from quillspark.llm.tokenizing import BYTE_BPE_50K, VOCABULARIES, encode_text, encoding, token_lengths
+from quillspark.llm.tokenizing import BYTE_BPE_50K, VOCABULARIES, encode_text, encoding, token_counts, token_lengths
 from quillspark.session import spread
 
 CHARACTER, WORD, SENTENCE, PARAGRAPH, SECTION = range(5)
@@ -164,3 +165,23 @@ def split_oversized(documents: DataFrame, limit: int = 512, overlap: int = 64, i
         raise ValueError("overlap must be at least 0 and at most limit - 8")
     src = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
     return spread(src).mapInArrow(_run(limit, overlap, folder, vocabulary), _SCHEMA)
+
+
+def audit(pieces: DataFrame, documents: DataFrame, limit: int = 512) -> DataFrame:
+    """One row of how many pieces or texts are wrong: pieces that are no slice of their text, gaps between pieces,
+    texts not covered to their ends, pieces over the limit by a new encoding, oversized texts without pieces and
+    pieces of texts that fit. doc_id must be unique."""
+    n = F.length("whole")
+    own = pieces.join(documents.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    last = F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("piece"))
+    rows = own.select("doc_id", "start_char", "end_char", F.substring("whole", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("slice"), F.col("text").alias("t"), n.alias("n"), last.alias("before"))
+    told = rows.agg(F.count_if(F.col("slice") != F.col("t")).alias("no_slice"), F.count_if((F.col("start_char") > F.coalesce("before", F.lit(0))) | (F.col("end_char") <= F.coalesce("before", F.lit(0)))).alias("gaps"))
+    ends = rows.groupBy("doc_id").agg((F.max("end_char") != F.max("n")).alias("cut"), (F.min("start_char") > 0).alias("late")).agg(F.count_if(F.col("cut") | F.col("late")).alias("uncovered"))
+    fresh = token_counts(pieces.select(F.monotonically_increasing_id().alias("doc_id"), "text")).agg(F.count_if(F.col("n_tokens") > limit).alias("over"))
+    large = token_counts(documents).where(F.col("n_tokens") > limit).select("doc_id")
+    have = pieces.select("doc_id").distinct()
+    count = lambda df: df.select(F.count(F.lit(1))).scalar()
+    return told.select(
+        "no_slice", "gaps", ends.select("uncovered").scalar().alias("uncovered"), fresh.select("over").scalar().alias("over_limit"),
+        count(large.join(have, "doc_id", "left_anti")).alias("missing"), count(have.join(large, "doc_id", "left_anti")).alias("needless"),
+    )

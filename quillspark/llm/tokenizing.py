@@ -125,6 +125,21 @@ def _counts(folder, name):
     return run
 
 
+def _decoded(folder, name):
+    def run(batches):
+        enc = encoding(folder, name)
+        for batch in batches:
+            texts = [enc.decode_bytes(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode_corpus(encoded: DataFrame, folder: str = VOCABULARIES, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
+    """doc_id, text of doc_id, ids: the way back; empty and null lists give an empty text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(folder, vocabulary), "doc_id long, text string")
+
+
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folder: str = VOCABULARIES, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
     """doc_id, ids array<int>: one row for each row of documents; its other columns are not read."""
     src = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
