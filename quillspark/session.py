@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,20 +51,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint in the shared folder of spark.checkpoint.dir.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, set where it isn't yet.
 
-    Where none is set a folder of this machine serves a local session (tests); a cluster's executors could
+    Where none is named a folder of this machine serves a local session (tests); a cluster's executors could
     not read it, so there it is an error."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable eager checkpoint in the shared folder."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, for files that a query writes and reads again."""
+    return f"{_checkpoint_folder(spark)}/files-{uuid.uuid4()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,6 @@ pos is monotonically increasing in file and line order; it is unique, not consec
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,12 +171,12 @@ STRUCTURED = "array<struct<titulo:string,keywords:string,abstract:string>>"
 
 
 def structured_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """author, publicacoes of {author: [{...}]}, or of a folder of JSON lines; a profile that is no list of objects is
-    an error."""
-    if os.path.isdir(path):
-        rows = spark.read.schema(f"author string, publicacoes {STRUCTURED}").option("mode", "FAILFAST").json(path)
-    else:
+    """author, publicacoes of a .json file {author: [{...}]}, or of a folder of JSON lines; a profile that is no list of
+    objects is an error."""
+    if path.lower().endswith(".json"):
         rows = json_map(spark, path, STRUCTURED).withColumnRenamed("value", "publicacoes")
+    else:
+        rows = spark.read.schema(f"author string, publicacoes {STRUCTURED}").option("mode", "FAILFAST").json(path)
     bad = F.col("publicacoes").isNull() | F.exists("publicacoes", lambda p: p.isNull())
     ok = F.when(~bad, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid profile of author "), F.coalesce("author", F.lit("?")))).cast("boolean"))
     return rows.where(ok)

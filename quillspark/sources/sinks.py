@@ -66,7 +66,8 @@ def author_metrics(table: DataFrame, path: str) -> None:
     """The file of metrics by author: metrics.author_table, its 18 columns in their order, by author."""
     from quillspark.operators.metrics import FILE_COLUMNS
 
-    metrics_csv(table.select("Autor", *[F.col(f"`{c}`") for c in FILE_COLUMNS], "Modelo").orderBy("Autor"), path)
+    out = table.select("Autor", *[F.col(f"`{c}`") for c in FILE_COLUMNS], "Modelo")
+    metrics_csv(out.repartition(1).sortWithinPartitions("Autor"), path)  # a row an author: one file
 
 
 # The columns of the sensitivity files and what they hold.
