@@ -24,9 +24,13 @@ PERSONAL = frozenset([
     "NOME-COMPLETO-DO-PARTICIPANTE-DA-BANCA", "NOME-DO-PARTICIPANTE", "NOME-COMPLETO-DO-CO-AUTOR", "CPF", "NUMERO-DO-CPF", "ORCID-ID", "ID-ORCID", "E-MAIL", "EMAIL", "TELEFONE",
     "CELULAR", "FAX", "DATA-NASCIMENTO", "DATA-DE-NASCIMENTO", "CIDADE-NASCIMENTO", "UF-NASCIMENTO", "PAIS-DE-NASCIMENTO", "NACIONALIDADE", "SEXO", "NUMERO-IDENTIFICADOR",
 ])
-WORTHLESS = frozenset(["NOME-AGENCIA", "NIVEL", "FLAG-BOLSA", "FLAG-DEDICACAO-EXCLUSIVA", "FLAG-VINCULO-EMPREGATICIO", "DOI", "ISBN", "ISSN", "VOLUME", "FASCICULO", "SERIE", "PAGINA-INICIAL", "PAGINA-FINAL"])
-_WORTHLESS_NAME = re.compile(r"CODIGO-|HOME-PAGE|SEQUENCIA-|NOME.*INSTITUICAO")
-_PEOPLE = re.compile(r"AUTOR|ORIENTADOR|CANDIDATO|PARTICIPANTE")
+WORTHLESS = frozenset([
+    "NOME-INSTITUICAO", "NOME-DA-INSTITUICAO", "NOME-AGENCIA", "SEQUENCIA-FORMACAO", "SEQUENCIA-ATIVIDADE", "SEQUENCIA-IMPORTANCIA", "SEQUENCIA-HISTORICO", "SEQUENCIA-FUNCAO-ATIVIDADE",
+    "SEQUENCIA-ESPECIFICACAO", "NIVEL", "FLAG-BOLSA", "FLAG-DEDICACAO-EXCLUSIVA", "FLAG-VINCULO-EMPREGATICIO", "DOI", "ISBN", "ISSN", "VOLUME", "FASCICULO", "SERIE", "PAGINA-INICIAL", "PAGINA-FINAL",
+])
+#: What names of left-out attributes begin with, and what they must hold besides; names of people.
+NAME_RULES = {"CODIGO-": [], "HOME-PAGE": [], "SEQUENCIA-": [], "NOME": ["INSTITUICAO"], "": ["URL"]}
+PEOPLE = ["AUTOR", "ORIENTADOR", "CANDIDATO", "PARTICIPANTE"]
 
 # Field names that a compact record is read from, and those that make a unit's text.
 TITLE = ["TITULO", "TITULO_DO_TRABALHO", "TITULO_DO_ARTIGO", "TITULO_DO_LIVRO", "TITULO_DO_CAPITULO_DO_LIVRO", "TITULO_DA_PRODUCAO", "TITULO_DA_ORIENTACAO"]
@@ -52,8 +56,12 @@ _ODD = re.compile(X.KEEP["basic"].removeprefix("(?U)").replace(r"\p{L}\p{N}_", r
 
 
 def left_out(attribute: str) -> bool:
+    """Personal attributes and those without value for what someone works on, by name or by a rule on names."""
     n = attribute.upper().strip()
-    return n in PERSONAL or n in WORTHLESS or "URL" in n or bool(_WORTHLESS_NAME.match(n)) or ("NOME" in n and bool(_PEOPLE.search(n)))
+    holds = lambda parts: any(p in n for p in parts)
+    if n in PERSONAL | WORTHLESS or ("NOME" in n and holds(PEOPLE)):
+        return True
+    return any(n.startswith(begin) and (not besides or holds(besides)) for begin, besides in NAME_RULES.items())
 
 
 def _clean(value: str | None) -> str:
