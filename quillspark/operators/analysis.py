@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import matching, metrics
-from quillspark.operators.ordering import carried
+from quillspark.operators.ordering import carried, numbered
 
 THETAS = (0.60, 0.65, 0.70, 0.75, 0.80)
 TIE = 0.01
@@ -45,6 +45,13 @@ def compare(a: DataFrame, b: DataFrame, areas: DataFrame, metric: str) -> DataFr
     return x.withColumn("delta", delta).withColumn("outcome", F.when(F.abs("delta") < TIE, "tie").when(F.col("delta") > 0, "win").otherwise("loss"))
 
 
+def delta_order(compared: DataFrame, by: str = "author") -> DataFrame:
+    """compared with place: from the greatest gain of the first system to its greatest loss, by name on ties.
+
+    The order is over all rows, in buckets of a thousandth, so no task sorts them all."""
+    return numbered(compared, "place", [], {"_step": (F.floor(F.col("delta") * 1000), True)}, [F.desc("delta"), by])
+
+
 def top_areas(areas: DataFrame, k: int = 10) -> DataFrame:
     """area, authors of the k areas with most authors, by name on ties."""
     return areas.where("area is not null").groupBy("area").agg(F.countDistinct("author").alias("authors")).orderBy(F.desc("authors"), "area").limit(k)

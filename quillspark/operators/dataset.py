@@ -90,6 +90,13 @@ def masked_example(prompt: Column, target: Column, end: int, most: int = 8192, m
     return F.concat(p, t), F.concat(F.array_repeat(F.lit(-100), F.size(p)), t)
 
 
+def trainer_rows(rows: DataFrame, prompt: str, target: str, end: int, most: int = 8192, most_target: int = 1024) -> DataFrame:
+    """rows with input_ids, attention_mask and labels in place of the token columns prompt and target."""
+    ids, labels = masked_example(F.col(prompt), F.col(target), end, most, most_target)
+    out = rows.withColumns({"input_ids": ids, "labels": labels}).drop(prompt, target)
+    return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+
+
 def split_identity(ids: Column, **options) -> Column:
     """A hash of the ordered ids and the options: the key under which results of a run are kept."""
     return F.sha2(F.concat(F.to_json(ids), F.lit(json.dumps(options, sort_keys=True))), 256)

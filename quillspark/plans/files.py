@@ -396,3 +396,12 @@ def config_identity(spark, d):
     """The configuration that every result carries."""
     out = generate.generate(R._judged(spark, d).select("author", F.lit("a b").alias("prompt")))
     return out.groupBy("config").agg(F.count(F.lit(1)).alias("authors"))
+
+
+@query("""WITH n AS (SELECT doc_id, n_chars AS p, doc_id % 3000 AS q FROM documents), t AS (SELECT doc_id, p, least(q, 1023) + 1 AS t FROM n), s AS (SELECT doc_id, CAST(least(p, greatest(0, 8192 - t)) + t AS INT) AS n, CAST(t AS INT) AS t FROM t)
+SELECT doc_id, n AS input_ids, n AS attention_mask, n AS labels, t AS learnt FROM s""")
+def trainer_rows(spark, d):
+    some = lambda n, v: F.array_repeat(F.lit(v), n.cast("int"))
+    t = table(spark, d, "documents").select("doc_id", some(F.col("n_chars"), 7).alias("p"), some(F.col("doc_id") % 3000, 5).alias("t"))
+    x = dataset.trainer_rows(t, "p", "t", 2)
+    return x.select("doc_id", F.size("input_ids").alias("input_ids"), F.size("attention_mask").alias("attention_mask"), F.size("labels").alias("labels"), F.size(F.filter("labels", lambda z: z != -100)).alias("learnt"))

@@ -654,6 +654,11 @@ def win_tie_loss_pivot(spark, d):
     return _rounded(analysis.outcomes(_compared(spark, d)))
 
 
+@query(f"WITH {_CMP} SELECT author, area, round(score_a - score_b, 6) AS delta, CAST(row_number() OVER (ORDER BY score_a - score_b DESC, author) AS INT) AS place FROM cmp")
+def delta_order(spark, d):
+    return _rounded(analysis.delta_order(_compared(spark, d)).select("author", "area", "delta", "place"))
+
+
 @query(f"WITH {_AREA} SELECT area, count(DISTINCT author) AS authors FROM ar GROUP BY area ORDER BY authors DESC, area LIMIT 10")
 def top_areas(spark, d):
     return analysis.top_areas(_areas(spark, d), 10)
@@ -1015,3 +1020,14 @@ def curriculum_alignment(spark, d):
     files = _full_curricula(spark, d)
     wanted = table(spark, d, "dataset_treino_1001_autores").select(X.author_id(F.col("author_id")).alias("author")).where("author <> ''")
     return curriculum.alignment(files, wanted, curriculum.units(curriculum.profile(files)))
+
+
+@query(f"""WITH {_CV}, n AS (SELECT author, section, count(*) AS records FROM recent GROUP BY ALL UNION ALL SELECT author, section, 1 FROM en, (SELECT unnest(['formacao_academica', 'atuacao_profissional', 'ensino']) AS section)
+ UNION ALL SELECT author, 'areas_de_atuacao', count(*) FROM tg WHERE w = 3 GROUP BY author UNION ALL SELECT author, 'linhas_de_pesquisa', count(*) FROM tg WHERE w = 2 GROUP BY author)
+SELECT author, section, records, CAST(0 AS BIGINT) AS empty FROM n""")
+def curriculum_json(spark, d):
+    """Records of each section of the JSON that prompts are made of; nothing empty stands in it."""
+    told = generate.curriculum_json(curriculum.profile(_full_curricula(spark, d)))
+    parts = F.array(*[F.struct(F.lit(s).alias("section"), F.get_json_object("curriculum", f"$.{s}").alias("x")) for s in curriculum.SECTIONS])
+    rows = told.select("author", F.explode(parts).alias("p")).where("p.x is not null").select("author", "p.section", "p.x")
+    return rows.select("author", "section", F.json_array_length("x").cast("long").alias("records"), F.size(F.filter(F.split("x", r'(?<=:)(?=null|\[\]|"")'), lambda z: z.rlike(r'^(null|\[\]|"")'))).cast("long").alias("empty"))
