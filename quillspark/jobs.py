@@ -64,8 +64,9 @@ def check_set(spark, a):
 
 def profiles_ft(spark, a):
     """Labelled text profiles of every listed author from a JSON array of publications."""
-    out = profiles.labelled_profile(readers.json_array(spark, a.documents), readers.author_ids(spark, a.authors))
-    sinks.jsonl(out.orderBy("author"), a.output, (a.documents, a.authors))
+    chunk = getattr(a, "chunk", None)
+    out = profiles.labelled_profile(readers.json_array(spark, a.documents), readers.author_ids(spark, a.authors), chunk)
+    sinks.jsonl(out.orderBy("author", *(["part"] if chunk else [])), a.output, (a.documents, a.authors))
 
 
 def profiles_baseline(spark, a):
@@ -79,7 +80,7 @@ def profiles_baseline(spark, a):
 
 
 def profiles_structured(spark, a):
-    sinks.jsonl(profiles.structured_profile(readers.jsonl(spark, a.documents), _judged(spark, a)), a.output, (a.documents, a.qrels))
+    sinks.jsonl(profiles.structured_profile(readers.jsonl(spark, a.documents), _judged(spark, a), chunk=getattr(a, "chunk", None)), a.output, (a.documents, a.qrels))
 
 
 def document_evidence(spark, a):
@@ -157,9 +158,10 @@ def parser() -> argparse.ArgumentParser:
     job("map-lines", map_lines, "input", "output")
     job("curricula", curricula, "xml", "qrels", "output")
     job("check-set", check_set, "records", "split")
-    job("profiles-ft", profiles_ft, "documents", "authors", "output")
+    parts = {"type": int, "help": "profiles in parts of the publications of so many positions, for authors with more text than a row holds"}
+    job("profiles-ft", profiles_ft, "documents", "authors", "output").add_argument("--chunk", **parts)
     job("profiles-baseline", profiles_baseline, "documents", "qrels", "output").add_argument("--mode", choices=("authors", "documents", "both"), default="both")
-    job("profiles-structured", profiles_structured, "documents", "qrels", "output")
+    job("profiles-structured", profiles_structured, "documents", "qrels", "output").add_argument("--chunk", **parts)
     job("document-evidence", document_evidence, "documents", "qrels", "output")
     for name, run in (("pop", pop), ("tfidf", tfidf)):
         job(name, run, "profiles", "output").add_argument("--keep-empty", action="store_true", help="authors with empty profiles have an empty ranking")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.ngrams import lexicon_tagger, ngram_arrays, tokens, well_formed, windows
-from quillspark.operators.ordering import carried
+from quillspark.operators.ordering import carried, numbered
 from quillspark.session import spread
 
 
@@ -86,37 +86,54 @@ def first_of_author(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("author").orderBy("pos"))).where(F.col("_n") <= most).drop("_n")
 
 
+def _key(chunk: int | None) -> list:
+    """Authors, or authors in parts of the publications of `chunk` consecutive values of pos."""
+    return ["author"] if chunk is None else ["author", F.floor(F.col("pos") / chunk).alias("part")]
+
+
 def text_profile(publications: DataFrame, authors: DataFrame, chunk: int | None = None) -> DataFrame:
     """author, profile: the author's publications joined by comma and space, empty ones left out.
 
-    One row an author holds all the author's text. With chunk the profile comes in parts (author, part,
-    profile) of the publications of `chunk` consecutive values of pos: parts in order are the profile, and no
-    author is gathered in one place."""
+    One row an author holds all the author's text, as the profile files do. With chunk every profile comes in
+    parts (author, part, profile): parts in order are the profile, and no author is gathered in one place. Use it
+    where an author may have more text than a row can hold."""
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
     rows = _own(publications, authors).select("author", "pos", text.alias("t")).where("t <> ''")
-    key = ["author"] if chunk is None else ["author", F.floor(F.col("pos") / chunk).alias("part")]
-    return rows.groupBy(*key).agg(F.array_join(_in_order(F.col("t")), ", ").alias("profile"))
+    return rows.groupBy(*_key(chunk)).agg(F.array_join(_in_order(F.col("t")), ", ").alias("profile"))
 
 
-def labelled_profile(publications: DataFrame, authors: DataFrame) -> DataFrame:
-    """author, n_publicacoes, publicacoes_textuais of every author of the set, empty profiles too."""
+def labelled_profile(publications: DataFrame, authors: DataFrame, chunk: int | None = None) -> DataFrame:
+    """author, n_publicacoes, publicacoes_textuais of every author of the set, empty profiles too; chunk: as for
+    text_profile, an author without a publication has one part, null."""
     text = X.labelled_text(F.col("title"), F.col("keywords"), F.col("abstract"))
     rows = _own(publications, authors).select("author", "pos", text.alias("t")).where("t <> ''")
-    held = rows.groupBy("author").agg(_in_order(F.col("t")).alias("texts"))
+    held = rows.groupBy(*_key(chunk)).agg(_in_order(F.col("t")).alias("texts"))
     texts = F.coalesce("texts", F.array().cast("array<string>"))
-    return authors.select("author").distinct().join(held, "author", "left").select("author", F.size(texts).alias("n_publicacoes"), texts.alias("publicacoes_textuais"))
+    own = authors.select("author").distinct().join(held, "author", "left")
+    return own.select("author", *(["part"] if chunk else []), F.size(texts).alias("n_publicacoes"), texts.alias("publicacoes_textuais"))
+
+
+def _structured(publications: DataFrame, authors: DataFrame, variant: str, keep_keyword_only: bool, distinct: bool) -> DataFrame:
+    p = _own(publications, authors, distinct).select("author", "pos", X.structured(F.col("title"), F.col("keywords"), F.col("abstract"), variant).alias("s"))
+    filled = (F.col("s.titulo") != "") | (F.col("s.abstract") != "")
+    return p.where(filled | (F.col("s.keywords") != "") if keep_keyword_only else filled)
+
+
+def structured_rows(publications: DataFrame, authors: DataFrame, variant: str = "basic", keep_keyword_only: bool = False, distinct: bool = False) -> DataFrame:
+    """author, place, titulo, keywords, abstract: the structured profile a row a publication, nothing gathered."""
+    rows = _structured(publications, authors, variant, keep_keyword_only, distinct)
+    rows = numbered(rows, "place", ["author"], {"_range": (F.floor(F.col("pos") / 4096), False)}, ["pos"])
+    return rows.select("author", (F.col("place") - 1).alias("place"), "s.titulo", "s.keywords", "s.abstract")
 
 
-def structured_profile(publications: DataFrame, authors: DataFrame, variant: str = "basic", keep_keyword_only: bool = False, distinct: bool = False, most: int | None = None) -> DataFrame:
+def structured_profile(publications: DataFrame, authors: DataFrame, variant: str = "basic", keep_keyword_only: bool = False, distinct: bool = False, most: int | None = None, chunk: int | None = None) -> DataFrame:
     """author, publicacoes array<struct<titulo, keywords, abstract>> in input order.
 
     keep_keyword_only: a publication without title and abstract stays if it has keywords. An author named
     twice in a record gets it twice, unless distinct. most: only the author's first publications, as prompts
-    and supervised records use them."""
-    p = _own(publications, authors, distinct).select("author", "pos", X.structured(F.col("title"), F.col("keywords"), F.col("abstract"), variant).alias("s"))
-    filled = (F.col("s.titulo") != "") | (F.col("s.abstract") != "")
-    rows = first_of_author(p.where(filled | (F.col("s.keywords") != "") if keep_keyword_only else filled), most)
-    return rows.groupBy("author").agg(_in_order(F.col("s")).alias("publicacoes"))
+    and supervised records use them; chunk: as for text_profile; structured_rows gathers nothing at all."""
+    rows = first_of_author(_structured(publications, authors, variant, keep_keyword_only, distinct), most)
+    return rows.groupBy(*_key(chunk)).agg(_in_order(F.col("s")).alias("publicacoes"))
 
 
 def field_evidence(publications: DataFrame, authors: DataFrame) -> DataFrame:

@@ -305,8 +305,20 @@ _REPEATED = f"er AS (SELECT rec_id AS pos, title, keywords, abstract, unnest(lis
 @query(f"""WITH {_REPEATED}, {_SET}, s AS (SELECT author, pos, {_structured('basic')} AS s FROM er JOIN target USING (author))
 SELECT author, CAST(row_number() OVER (PARTITION BY author ORDER BY pos) - 1 AS INT) AS place, s.titulo, s.keywords, s.abstract FROM s WHERE s.titulo <> '' OR s.abstract <> ''""")
 def structured_profile(spark, d):
-    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d))
-    return p.select("author", F.posexplode("publicacoes").alias("place", "s")).select("author", "place", "s.titulo", "s.keywords", "s.abstract")
+    return profiles.structured_rows(_pubs(spark, d), _judged(spark, d))
+
+
+@query(f"""WITH {_REPEATED}, {_SET}, s AS (SELECT author, pos, {_structured('basic')} AS s FROM er JOIN target USING (author))
+SELECT author, CAST(floor(pos / 4096) AS BIGINT) AS part, CAST(count(*) AS INT) AS n, string_agg(s.titulo, ' | ' ORDER BY pos) AS titulos FROM s WHERE s.titulo <> '' OR s.abstract <> '' GROUP BY ALL""")
+def structured_profile_parts(spark, d):
+    p = profiles.structured_profile(_pubs(spark, d), _judged(spark, d), chunk=4096)
+    return p.select("author", "part", F.size("publicacoes").alias("n"), F.array_join(F.transform("publicacoes", lambda x: x["titulo"]), " | ").alias("titulos"))
+
+
+@query(f"""WITH {_AUTHORED}, {_SET}, t AS (SELECT author, pos, {_LABELLED} AS t FROM ex)
+SELECT author, part, CAST(count(t) AS INT) AS n_publicacoes, coalesce(string_agg(t, ' | ' ORDER BY pos), '') AS publicacoes_textuais FROM target LEFT JOIN (SELECT *, CAST(floor(pos / 4096) AS BIGINT) AS part FROM t WHERE t <> '') USING (author) GROUP BY ALL""")
+def labelled_text_profile_parts(spark, d):
+    return _joined(profiles.labelled_profile(_pubs(spark, d), _judged(spark, d), chunk=4096))
 
 
 @query(f"""WITH {_AUTHORED}, {_SET}, p AS (SELECT author, id AS doc_id, pos, list_filter([{_clean('title')}] || list_transform(coalesce(keywords, []), lambda z: {_clean('z')}) || [{_clean('abstract')}], lambda z: z <> '') AS pieces
