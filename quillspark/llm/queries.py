@@ -176,6 +176,18 @@ marked AS (SELECT field, term, occurrences, records, CASE WHEN records <= 2 THEN
   WHEN records >= CASE field WHEN 'keywords' THEN 0.01 * (SELECT count(*) FROM filtered_documents) ELSE 0.05 * (SELECT count(*) FROM perfis_autores) END THEN 'common' END AS verdict FROM freq)
 """
 
+_GROUPS = r"""WITH RECURSIVE
+entries AS (SELECT rec_id, regexp_replace(trim(a), '^ID_\s*', '') AS a FROM (SELECT rec_id, unnest(authors) AS a FROM filtered_documents)),
+valid AS (SELECT DISTINCT rec_id, a FROM entries WHERE regexp_full_match(a, '[0-9]+') AND NOT regexp_full_match(a, '0+')),
+first AS (SELECT rec_id, min(a) AS f FROM valid GROUP BY rec_id),
+star AS (SELECT DISTINCT f AS u, a AS v FROM valid JOIN first USING (rec_id)),
+edges AS (SELECT u, v FROM star UNION SELECT v, u FROM star),
+reach(n, m) AS (SELECT u, u FROM edges UNION SELECT r.n, e.v FROM reach r JOIN edges e ON r.m = e.u),
+least AS (SELECT n, min(m) AS group_id FROM reach GROUP BY n),
+wanted AS (SELECT DISTINCT regexp_replace(trim(author_id), '^ID_\s*', '') AS author_id FROM dataset_treino_1001_autores)
+SELECT author_id, coalesce(group_id, author_id) AS group_id FROM wanted LEFT JOIN least ON n = author_id
+WHERE regexp_full_match(author_id, '[0-9]+') AND NOT regexp_full_match(author_id, '0+')"""
+
 ORACLE_SQL = {
     "p1_found": "WITH" + _WORDS + """
 common AS (SELECT a.rec_id AS rec_id_a, b.rec_id AS rec_id_b, a.n AS na, b.n AS nb, count(*) AS c
@@ -200,17 +212,11 @@ SELECT rec_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2
     "p2_weights": "WITH" + _LETTERS + """
 st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS gf, sum(tf * ln(tf)) AS e FROM tf GROUP BY term)
 SELECT rec_id, term, tf, df, gf, round(ln(1 + tf) * (1 - (ln(gf) - e / gf) / ln((SELECT count(*) FROM filtered_documents))), 6) AS weight FROM tf JOIN st USING (term)""",
-    "p4_found": r"""WITH RECURSIVE
-entries AS (SELECT rec_id, regexp_replace(trim(a), '^ID_\s*', '') AS a FROM (SELECT rec_id, unnest(authors) AS a FROM filtered_documents)),
-valid AS (SELECT DISTINCT rec_id, a FROM entries WHERE regexp_full_match(a, '[0-9]+') AND NOT regexp_full_match(a, '0+')),
-first AS (SELECT rec_id, min(a) AS f FROM valid GROUP BY rec_id),
-star AS (SELECT DISTINCT f AS u, a AS v FROM valid JOIN first USING (rec_id)),
-edges AS (SELECT u, v FROM star UNION SELECT v, u FROM star),
-reach(n, m) AS (SELECT u, u FROM edges UNION SELECT r.n, e.v FROM reach r JOIN edges e ON r.m = e.u),
-least AS (SELECT n, min(m) AS group_id FROM reach GROUP BY n),
-wanted AS (SELECT DISTINCT regexp_replace(trim(author_id), '^ID_\s*', '') AS author_id FROM dataset_treino_1001_autores)
-SELECT author_id, coalesce(group_id, author_id) AS group_id FROM wanted LEFT JOIN least ON n = author_id
-WHERE regexp_full_match(author_id, '[0-9]+') AND NOT regexp_full_match(author_id, '0+')""",
+    "p4_found": _GROUPS,
+    "p4_splits": f"""WITH g AS ({_GROUPS}), t AS (SELECT count(*) AS total FROM g), s AS (SELECT group_id, count(*) AS n FROM g GROUP BY group_id),
+b AS (SELECT group_id, n, CASE WHEN n > total * 0.15 THEN -1 ELSE CAST('0x' || substr(md5(group_id), 1, 3) AS INT) END AS b FROM s, t),
+c AS (SELECT b, sum(n) AS n, sum(sum(n)) OVER (ORDER BY b) AS upto FROM b GROUP BY b), m AS (SELECT b, (upto - n / 2) / total AS middle FROM c, t)
+SELECT author_id, group_id, CASE WHEN b = -1 OR middle < 0.7 THEN 'train' WHEN middle < 0.85 THEN 'validation' ELSE 'test' END AS split FROM g JOIN b USING (group_id) JOIN m USING (b)""",
     "p7_found": "WITH" + _TERMS + "SELECT field, term, verdict FROM marked WHERE verdict IS NOT NULL",
     "p7_terms": "WITH" + _TERMS + "SELECT field, term, occurrences, records, verdict FROM marked",
 }

@@ -73,12 +73,13 @@ def author_groups(authors: DataFrame, publications: DataFrame, column: str = "au
 def split_groups(groups: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """author_id, group_id, split. Groups in the order of their hash fill train, then validation, then test.
 
-    The order is kept as counts over BUCKETS ranges of the hash, a table of fixed size. A group larger than
-    the smallest part would burst it, so such groups come first and go to train."""
+    The order is kept as counts over BUCKETS ranges of the hash (the first 12 bits of a digest that other engines
+    have too), a table of fixed size. A group larger than the smallest part would burst it, so such groups come
+    first and go to train."""
     least = min(train, validation, 1 - train - validation)
     total = groups.select(F.count(F.lit(1))).scalar()
     sized = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = sized.withColumn("b", F.when(F.col("n") > total * least, F.lit(-1)).otherwise(F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("int")))
+    sized = sized.withColumn("b", F.when(F.col("n") > total * least, F.lit(-1)).otherwise(F.conv(F.left(F.md5("group_id"), F.lit(3)), 16, 10).cast("int")))
     counts = sized.groupBy("b").agg(F.sum("n").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("b")))  # at most BUCKETS + 1 rows
     middle = (F.col("upto") - F.col("n") / 2) / total
