@@ -408,7 +408,7 @@ def training_targets(spark, d):
 @query(f"""WITH {_TFIDF_RANK}, {_GOLD}
 SELECT DISTINCT text FROM (SELECT tag AS text FROM gold UNION ALL SELECT tag FROM tfidf WHERE rank <= 20 UNION ALL SELECT {_clean('title')} FROM filtered_documents) WHERE text <> ''""")
 def vocabulary(spark, d):
-    top = tfidf_rank(spark, d).where("rank <= 20").select("tag")
+    top = _rank_of(spark, d, "tfidf").select("tag")
     return vectors.vocabulary(qrels_gold(spark, d).select("tag"), top, _pubs(spark, d).select(X.clean_text(F.col("title"))))
 
 
@@ -577,7 +577,7 @@ _EXACT = f"""{_TFIDF_RANK}, {_DOCS}, dd AS (SELECT DISTINCT author, doc_id FROM
 
 
 def _exact(spark, d):
-    return metrics.covered_exactly(_docs(spark, d), tfidf_rank(spark, d).where("rank <= 20"))
+    return metrics.covered_exactly(_docs(spark, d), _rank_of(spark, d, "tfidf"))
 
 
 @query(f"WITH {_EXACT} SELECT author, round(avg(CASE WHEN fr <= 10 THEN 1.0 ELSE 0.0 END), 6) AS c_10, round(avg(CASE WHEN fr <= 20 THEN 1.0 ELSE 0.0 END), 6) AS c_20 FROM dd LEFT JOIN hit USING (author, doc_id) GROUP BY author")
@@ -647,7 +647,7 @@ def _hits(ranking, k=10):
 
 
 def _compared(spark, d):
-    return analysis.compare(_hits(pop_rank(spark, d)), _hits(tfidf_rank(spark, d)), _areas(spark, d), "score")
+    return analysis.compare(_hits(_rank_of(spark, d, "pop")), _hits(_rank_of(spark, d, "tfidf")), _areas(spark, d), "score")
 
 
 _CMP = f"""{_TFIDF_RANK}, popr AS (SELECT author, row_number() OVER (PARTITION BY author ORDER BY freq DESC, ngram) AS rank, ngram AS tag FROM bag), {_AREA},
