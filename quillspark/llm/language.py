@@ -86,13 +86,23 @@ def grams(word: str) -> list[int]:
     return list({xxhash.xxh32_intdigest(w[i : i + n]) & (PLACES - 1) for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)})
 
 
+SHIFT = PLACES.bit_length() - 1
+
+
+def _once(at: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of places with repeats the last mention of each, in their order; held: room for every place."""
+    turn = np.arange(len(at), dtype=np.int32)
+    held[at] = turn
+    return at[held[at] == turn]
+
+
 class Presence:
     """0/1 matrices of the n-grams of sets of words; each word's n-grams are made once."""
 
     def __init__(self):
         self.index: dict[str, int] = {}
         self.grams: list[np.ndarray] = []
-        self.matrix = None
+        self.matrix = self.turn = None
         self.last = np.zeros(SPARSE * PLACES, np.int32)
 
     def learn(self, sets) -> list[str]:
@@ -112,14 +122,18 @@ class Presence:
 
     def chunks(self, sets):
         """(first, matrix) of CHUNK sets at a time; the matrix is used again for the next."""
+        return ((first, m) for first, m, _ in self.placed_chunks(sets))
+
+    def placed_chunks(self, sets):
+        """As chunks, with the places of the ones, row by row."""
         if self.matrix is None:
-            self.matrix = np.zeros((CHUNK, PLACES), np.float32)
+            self.matrix, self.turn = np.zeros((CHUNK, PLACES), np.float32), np.zeros(CHUNK * PLACES, np.int32)
         flat = self.matrix.ravel()
         for first in range(0, len(sets), CHUNK):
             part = sets[first : first + CHUNK]
             _, at = self._places(part)
             flat[at] = 1
-            yield first, self.matrix[: len(part)]
+            yield first, self.matrix[: len(part)], _once(at, self.turn)
             flat[at] = 0
 
     def products(self, sets, weights: np.ndarray):
@@ -130,13 +144,12 @@ class Presence:
             n, at = self._places(part)
             if not len(at):
                 continue
-            turn = np.arange(len(at), dtype=np.int32)
-            self.last[at] = turn  # of the mentions of a place the last is taken
-            once = np.flatnonzero(self.last[at] == turn)
-            begin = np.searchsorted(once, np.cumsum(n) - n)
+            at = _once(at, self.last)
+            count = np.bincount(at >> SHIFT, minlength=len(part))
+            begin = np.cumsum(count) - count
             some = np.flatnonzero(n)
-            out[first + some] = np.add.reduceat(weights[at[once] & (PLACES - 1)], begin[some], axis=0)
-            size[first + some] = np.diff(begin[some], append=len(once))
+            out[first + some] = np.add.reduceat(weights[at & (PLACES - 1)], begin[some], axis=0)
+            size[first + some] = count[some]
         return out, size
 
 
@@ -154,13 +167,15 @@ class Landmarks:
         self.who = who[self.many[gram] > 0].astype(np.int32)
         self.start = np.cumsum(self.many) - self.many
 
-    def kernel(self, m: np.ndarray) -> np.ndarray:
+    def kernel(self, m: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """The kernel of the rows of a 0/1 matrix; places: of its ones, where they are known."""
         both = m[:, self.top] @ self.dense
-        row, gram = np.divmod(np.flatnonzero(m), PLACES)
+        row, gram = np.divmod(np.flatnonzero(m) if places is None else places, PLACES)
         n = self.many[gram]
         at = np.arange(n.sum()) + np.repeat(self.start[gram] - (np.cumsum(n) - n), n)
-        both += np.bincount(np.repeat(row, n) * len(self.norm) + self.who[at], minlength=both.size).reshape(both.shape)
-        return both / self.norm / np.sqrt(m.sum(axis=1, keepdims=True))
+        both += np.bincount(np.repeat(row * len(self.norm), n) + self.who[at], minlength=both.size).reshape(both.shape)
+        size = np.bincount(row, minlength=len(m)).astype(np.float32)
+        return both / self.norm / np.sqrt(size)[:, None]
 
 
 def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
@@ -180,18 +195,21 @@ def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
     half = vector / np.sqrt(np.maximum(value, 1e-6))
     small = half.astype(np.float32)
     z = np.zeros((len(own), len(pick)), np.float32)
-    for first, m in present.chunks(own):
-        z[first : first + len(m)] = landmarks.kernel(m) @ small
-    keep = np.ones(len(y), bool)
-    for _ in range(2):
-        gram, right = RIDGE * keep.sum() * np.eye(z.shape[1]), np.zeros((z.shape[1], len(LANGUAGES)))
-        for first in range(0, len(y), 2048):
-            part = slice(first, first + 2048)
-            x = z[part][keep[part]].astype(np.float64)
-            gram += x.T @ x
-            right += x.T @ np.where(y[part][keep[part], None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
-        w = np.linalg.solve(gram, right)
-        keep = (z @ w.astype(np.float32)).argmax(axis=1) == y
+    for first, m, places in present.placed_chunks(own):
+        z[first : first + len(m)] = landmarks.kernel(m, places) @ small
+    gram, right = RIDGE * len(y) * np.eye(z.shape[1]), np.zeros((z.shape[1], len(LANGUAGES)))
+
+    def add(rows, sign):
+        for first in range(0, len(rows), 2048):
+            x, told = z[rows[first : first + 2048]], y[rows[first : first + 2048]]
+            gram.__iadd__(sign * (x.T @ x))
+            right.__iadd__(sign * (x.T @ np.where(told[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0).astype(np.float32)))
+
+    add(np.arange(len(y)), 1)
+    wrong = np.flatnonzero((z @ np.linalg.solve(gram, right).astype(np.float32)).argmax(axis=1) != y)
+    add(wrong, -1)  # the second solution is without them
+    gram -= RIDGE * len(wrong) * np.eye(len(gram))
+    w = np.linalg.solve(gram, right)
     folded = (half @ w / landmarks.norm[:, None]).astype(np.float32)
     return np.concatenate([chosen[:, k : k + 2048].T.astype(np.float32) @ folded for k in range(0, PLACES, 2048)])
 
