@@ -266,6 +266,13 @@ def ngram_by_document(spark, d):
     return x.select("pos", "id", F.size("ngramas").cast("long").alias("n_ngrams"), F.size(F.array_distinct("ngramas")).cast("long").alias("n_distinct"))
 
 
+@query(f"WITH {_GRAMS} SELECT pos, md5(string_agg(array_to_string(words, ' '), '|' ORDER BY sent, n, start)) AS digest FROM ok GROUP BY pos")
+def ngram_order(spark, d):
+    """The n-grams of a document in their order: by sentence, length and start."""
+    x = profiles.ngrams_by_document(_pubs(spark, d)).where(F.size("ngramas") > 0)
+    return x.select("pos", F.md5(F.array_join("ngramas", "|")).alias("digest"))
+
+
 @query(f"WITH {_TOKENS} SELECT n, count(*) AS windows, count(*) FILTER (NOT list_contains({_FUN}, words[1]) AND NOT list_contains({_FUN}, words[-1])) AS well_formed FROM w GROUP BY n")
 def pos_filter(spark, d):
     return profiles.document_windows(_pubs(spark, d)).groupBy("n").agg(F.count(F.lit(1)).alias("windows"), F.count_if("ok").alias("well_formed"))
@@ -628,6 +635,42 @@ def theta_sweep_matching(spark, d):
     return _rounded(analysis.sweep_matching(_pairs(spark, d, min(THETAS)), _pred(spark, d), _vgold(spark, d), THETAS))
 
 
+def _hashed_sql(texts):
+    """un: the vector of each text of `texts`, by the hashing rule."""
+    return f"""wd AS (SELECT text, generate_subscripts(ws, 1) AS k, unnest(ws) AS w FROM (SELECT text, list_filter(string_split_regex(lower(text), '{WS}+'), lambda q: q <> '') AS ws FROM ({texts}))),
+gr AS (SELECT text, k, unnest(list_distinct(list_append(list_transform(range(1, length(w) + 1), lambda z: substr(' ' || w || ' ', z, 3)), w))) AS gram FROM wd),
+dm AS (SELECT text, h % 64 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM (SELECT text, CAST('0x' || substr(md5(gram), 1, 8) AS UBIGINT) AS h FROM gr) GROUP BY ALL),
+un AS (SELECT text, d, CAST(CAST(x / n AS FLOAT) AS DOUBLE) AS x FROM dm JOIN (SELECT text, sqrt(sum(x * x)) AS n FROM dm GROUP BY text HAVING sum(x * x) > 0) USING (text))"""
+
+
+_FIELD_SQL = f"""WITH {_EXACT}, {_SET}, ft AS (SELECT DISTINCT author, doc_id, unnest(string_split(pieces, ' | ')) AS text FROM ({ORACLE_SQL['field_evidence']})), pt AS (SELECT author, rank - 1 AS i, tag FROM tfidf WHERE rank <= 20),
+{_hashed_sql('SELECT text FROM ft UNION SELECT tag FROM pt')},
+sm AS (SELECT author, doc_id, max(sim) FILTER (i < 10) AS s10, max(sim) AS s20 FROM (SELECT p.author, f.doc_id, p.i, f.text, coalesce(sum(a.x * b.x), 0) AS sim FROM pt p JOIN ft f USING (author) LEFT JOIN un a ON a.text = p.tag LEFT JOIN un b ON b.text = f.text AND b.d = a.d GROUP BY ALL) GROUP BY ALL),
+fs AS (SELECT author, doc_id, CASE WHEN fr <= 10 THEN 'Infinity'::DOUBLE ELSE s10 END AS s10, CASE WHEN fr <= 20 THEN 'Infinity'::DOUBLE ELSE s20 END AS s20 FROM dd JOIN target USING (author) LEFT JOIN hit USING (author, doc_id) LEFT JOIN sm USING (author, doc_id))"""
+
+
+def _field_scores(spark, d):
+    """Documents by their n-grams, with the fields of those that no prediction names: a document without fields stays."""
+    docs = _docs(spark, d).join(_judged(spark, d), "author", "left_semi")
+    top = _rank_of(spark, d, "tfidf")
+    fields = profiles.field_evidence(_pubs(spark, d), _judged(spark, d)).select("author", "doc_id", F.explode("pieces").alias("text"))
+    words = vectors.embed(vectors.vocabulary(fields.select("text"), top.select("tag"), ordered=False))
+    pred = vectors.lookup(top.select("author", (F.col("rank") - 1).alias("i"), "tag"), "tag", words, 64)
+    return metrics.document_scores(metrics.covered_exactly(docs, top), vectors.similarities(pred, vectors.lookup(fields, "text", words, 64), ["doc_id"]))
+
+
+@query(_FIELD_SQL + " SELECT author, round(avg(CASE WHEN s10 >= 0.35 THEN 1.0 ELSE 0.0 END), 6) AS c_10, round(avg(CASE WHEN s20 >= 0.35 THEN 1.0 ELSE 0.0 END), 6) AS c_20 FROM fs GROUP BY author")
+def coverage_fields(spark, d):
+    """Coverage of real documents. The threshold suits the hashing embedder, whose long texts are alike to little."""
+    return _rounded(metrics.coverage(_field_scores(spark, d), 0.35))
+
+
+@query(_FIELD_SQL + f""", o AS (SELECT theta, author, avg(CASE WHEN s10 >= theta THEN 1.0 ELSE 0.0 END) AS c_10, avg(CASE WHEN s20 >= theta THEN 1.0 ELSE 0.0 END) AS c_20 FROM fs, (SELECT CAST(unnest({list(THETAS)}) AS DOUBLE) AS theta) GROUP BY ALL)
+SELECT theta, count(*) AS authors, round(avg(c_10), 6) AS c_10, round(avg(c_20), 6) AS c_20 FROM o GROUP BY theta""")
+def theta_sweep_fields(spark, d):
+    return _rounded(analysis.sweep_coverage(_field_scores(spark, d), THETAS))
+
+
 # systems by area: POP against TF-IDF, the share of gold tags among the first ten ---------------------------
 
 
