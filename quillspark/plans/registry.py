@@ -183,6 +183,12 @@ def normalize_lexical(spark, d):
     return _pubs(spark, d).select("rec_id", X.normalize_lexical(F.col("title")).alias("normal"))
 
 
+@query(f"SELECT rec_id, md5({_normal('abstract')}) AS abstract, md5({_normal("array_to_string(keywords, ' ; ')")}) AS keywords FROM filtered_documents")
+def normalize_lexical_texts(spark, d):
+    """The normal forms of abstracts and keywords, as digests."""
+    return _pubs(spark, d).select("rec_id", F.md5(X.normalize_lexical(F.col("abstract"))).alias("abstract"), F.md5(X.normalize_lexical(F.array_join("keywords", " ; "))).alias("keywords"))
+
+
 @query(f"WITH s AS (SELECT rec_id, {_SENTENCES} AS x FROM filtered_documents) SELECT rec_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS sent, unnest(x) AS raw FROM s")
 def segment_sentences(spark, d):
     text = X.publication_string(F.col("title"), F.col("keywords"), F.col("abstract"))
@@ -419,6 +425,14 @@ def vocabulary(spark, d):
     return vectors.vocabulary(qrels_gold(spark, d).select("tag"), top, _pubs(spark, d).select(X.clean_text(F.col("title"))))
 
 
+@query(f"""WITH {_TFIDF_RANK}, {_GOLD}
+SELECT DISTINCT text FROM (SELECT tag AS text FROM gold UNION ALL SELECT tag FROM tfidf WHERE rank <= 20 UNION ALL SELECT unnest(string_split(pieces, ' | ')) FROM ({ORACLE_SQL['field_evidence']})) WHERE text <> ''""")
+def vocabulary_evidence(spark, d):
+    """With all cleaned fields of the judged authors' documents as evidence."""
+    pieces = profiles.field_evidence(_pubs(spark, d), _judged(spark, d)).select(F.explode("pieces"))
+    return vectors.vocabulary(qrels_gold(spark, d).select("tag"), _rank_of(spark, d, "tfidf").select("tag"), pieces)
+
+
 @query(f"""WITH {_BAG}, {_GOLD}, tx AS (SELECT tag AS text FROM gold WHERE tag <> '' UNION SELECT ngram FROM bag WHERE ngram <> ''),
 wd AS (SELECT text, generate_subscripts(ws, 1) AS k, unnest(ws) AS w FROM (SELECT text, list_filter(string_split_regex(lower(text), '{WS}+'), lambda q: q <> '') AS ws FROM tx)),
 gr AS (SELECT text, k, unnest(list_distinct(list_append(list_transform(range(1, length(w) + 1), lambda z: substr(' ' || w || ' ', z, 3)), w))) AS gram FROM wd),
@@ -973,17 +987,10 @@ def supervised_records(spark, d):
     return _joined(dataset.supervised(p, judgements.gold(readers.judgement_table(spark, d), True)).select("author", "n_publicacoes_usadas", "target_tags"))
 
 
-@query("""WITH p AS (SELECT event_type AS run, event_id AS step, value FROM events WHERE event_id % 5 = 0), a AS (SELECT event_type AS run, event_id AS step FROM events WHERE event_id % 7 = 3)
-SELECT a.run, a.step, p.value FROM a ASOF LEFT JOIN p ON a.run = p.run AND a.step >= p.step""")
-def loss_asof(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
-    return analysis.last_known(e.where("step % 5 = 0"), e.where("step % 7 = 3").select("run", "step"))
-
-
 @query("""WITH e AS (SELECT event_type AS run, event_id AS step, value FROM events), p AS (SELECT * FROM e WHERE value IS NOT NULL)
 SELECT e.run, e.step, p.value FROM e ASOF LEFT JOIN p ON e.run = p.run AND e.step >= p.step""")
 def loss_asof_all(spark, d):
-    """As loss_asof, every event a point and a request."""
+    """The last value at or before each step; every event is a point and a request."""
     e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
     return analysis.last_known(e, e.select("run", "step"))
 
