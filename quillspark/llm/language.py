@@ -202,8 +202,8 @@ def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
     def add(rows, sign):
         for first in range(0, len(rows), 2048):
             x, told = z[rows[first : first + 2048]], y[rows[first : first + 2048]]
-            gram.__iadd__(sign * (x.T @ x))
-            right.__iadd__(sign * (x.T @ np.where(told[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0).astype(np.float32)))
+            gram[...] += sign * (x.T @ x)
+            right[...] += sign * (x.T @ np.where(told[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0).astype(np.float32))
 
     add(np.arange(len(y)), 1)
     wrong = np.flatnonzero((z @ np.linalg.solve(gram, right).astype(np.float32)).argmax(axis=1) != y)
