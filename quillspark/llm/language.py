@@ -3,8 +3,8 @@
 The kernel of two segments is the number of character n-grams of 1 to 5 characters (word ends included) that
 are present in both: a blended spectrum of presence, normalised by the n-grams of each side. A bounded sample
 of labelled rows is drawn by hash; MAX_LANDMARKS of its segments are Nyström landmarks, and one-versus-rest
-kernel ridge regression is solved on their features, twice, the second time without the segments whose label
-the first solution contradicts. As every landmark is a vector of n-grams, the solution folds into one weight
+kernel ridge regression is solved on their features: on each half of the segments, which tells the labels of
+the other half that it contradicts (labels are wrong for some rows), and then on all others. As every landmark is a vector of n-grams, the solution folds into one weight
 for each n-gram and language, and batches of segments are scored by one product of their 0/1 matrix of
 n-grams with the weights.
 
@@ -39,6 +39,7 @@ MAX_ROWS, MAX_SEGMENTS, MAX_LANDMARKS, PLACES = 5000, 24000, 1024, 1 << 15
 RIDGE, MIN_WORDS, MIN_TITLE_WORDS, LONGEST = 1e-5, 5, 4, 5
 #: Segments under MIXED are searched for a change of language; parts need MIN_PART words and CLEAR.
 MIXED, MIN_PART, CLEAR = 1.0, 4, 0.5
+FOLD, DOUBT = 8, 0.2  # consecutive segments on one side of the halves, and the margin by which a label is contradicted
 CHUNK, SPARSE = 64, 16  # segments in a product: as a full matrix, and as its entries
 DENSE = 2048  # n-grams that most landmarks have; the kernel multiplies these and counts the others
 _END = re.compile(r"[.!?…][\"”»)\]]*\s*\Z")
@@ -197,19 +198,30 @@ def fit(sample: list[tuple[str, str]]) -> np.ndarray | None:
     z = np.zeros((len(own), len(pick)), np.float32)
     for first, m, places in present.placed_chunks(own):
         z[first : first + len(m)] = landmarks.kernel(m, places) @ small
-    gram, right = RIDGE * len(y) * np.eye(z.shape[1]), np.zeros((z.shape[1], len(LANGUAGES)))
+    fold = (np.arange(len(y)) // FOLD) % 2
 
-    def add(rows, sign):
+    def sums(rows):
+        gram, right = np.zeros((z.shape[1],) * 2), np.zeros((z.shape[1], len(LANGUAGES)))
         for first in range(0, len(rows), 2048):
             x, told = z[rows[first : first + 2048]], y[rows[first : first + 2048]]
-            gram[...] += sign * (x.T @ x)
-            right[...] += sign * (x.T @ np.where(told[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0).astype(np.float32))
-
-    add(np.arange(len(y)), 1)
-    wrong = np.flatnonzero((z @ np.linalg.solve(gram, right).astype(np.float32)).argmax(axis=1) != y)
-    add(wrong, -1)  # the second solution is without them
-    gram -= RIDGE * len(wrong) * np.eye(len(gram))
-    w = np.linalg.solve(gram, right)
+            gram += x.T @ x
+            right += x.T @ np.where(told[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0).astype(np.float32)
+        return gram, right, len(rows)
+
+    def solved(gram, right, n):
+        return np.linalg.solve(gram + RIDGE * max(n, 1) * np.eye(len(gram)), right)
+
+    # each half is held against the solution of the other, which has not seen its labels
+    halves = [np.flatnonzero(fold == k) for k in (0, 1)]
+    told = [sums(rows) for rows in halves]
+    wrong = []
+    for k in (0, 1):
+        score = z[halves[k]] @ solved(*told[1 - k]).astype(np.float32)
+        own = score[np.arange(len(score)), y[halves[k]]]
+        wrong.append(halves[k][score.max(axis=1) - own >= DOUBT])
+    wrong = np.concatenate(wrong)
+    less = sums(wrong)
+    w = solved(*(a + b - c for a, b, c in zip(*told, less)))
     folded = (half @ w / landmarks.norm[:, None]).astype(np.float32)
     return np.concatenate([chosen[:, k : k + 2048].T.astype(np.float32) @ folded for k in range(0, PLACES, 2048)])
 
