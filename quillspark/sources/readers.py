@@ -113,6 +113,7 @@ def qrels_by_pattern(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(at(1).alias("author"), at(3).alias("tag"), at(4).try_cast("int").alias("weight"), (at(1) != "").alias("valid"), "pos")
 
 
+# The keys under which an object has an id, or a list of ids, in the order in which they are looked for.
 _ID_KEYS, _LIST_KEYS = ("author_id", "autor_id", "id", "author", "autor"), ("authors", "author_ids", "autores", "ids")
 
 
@@ -147,6 +148,7 @@ def id_counts(spark: SparkSession, path: str) -> DataFrame:
     return listed_ids(spark, path).agg(F.count("author").alias("total"), F.countDistinct("author").alias("distinct"), (F.count("author") - F.countDistinct("author")).alias("repeated"))
 
 
+# Fixed value: the same for lists of curricula.
 _CURRICULUM_KEYS = ("Autor", "autor", "ID", "id", "author", "author_id")
 
 
