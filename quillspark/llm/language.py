@@ -101,23 +101,20 @@ class Presence:
     """0/1 matrices of the n-grams of sets of words; each word's n-grams are made once."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.grams: list[np.ndarray] = []
+        self.grams: dict[str, np.ndarray] = {}
         self.matrix = self.turn = None
         self.last = np.zeros(SPARSE * PLACES, np.int32)
 
-    def learn(self, sets) -> list[str]:
-        if len(self.index) > 1 << 18:
-            self.index, self.grams = {}, []
-        new = list(dict.fromkeys(w for ws in sets for w in ws if w not in self.index))
-        for w in new:
-            self.index[w] = len(self.grams)
-            self.grams.append(np.array(grams(w), np.uint16))
-        return new
+    def learn(self, sets) -> None:
+        if len(self.grams) > 1 << 18:
+            self.grams = {}
+        for w in set().union(*sets).difference(self.grams):
+            self.grams[w] = np.array(grams(w), np.uint16)
 
     def _places(self, part):
         """Of the sets' n-grams, with repeats: how many each set has, and their places in a matrix of a row a set."""
-        each = [[self.grams[self.index[w]] for w in ws] for ws in part]
+        known = self.grams
+        each = [[known[w] for w in ws] for ws in part]
         n = np.array([sum(map(len, x)) for x in each])
         return n, np.repeat(np.arange(len(part), dtype=np.int32) * PLACES, n) + np.concatenate([g for x in each for g in x] or [np.zeros(0, np.uint16)])
 
@@ -242,7 +239,7 @@ class Scorer:
         if len(told) < 2 * MIN_PART:
             return None
         self.present.learn([told])
-        each = np.array([self.weights[self.present.grams[self.present.index[w]]].sum(axis=0) for w in told])
+        each = np.array([self.weights[self.present.grams[w]].sum(axis=0) for w in told])
         head = np.cumsum(each, axis=0)[MIN_PART - 1 : len(told) - MIN_PART]
         tail = each.sum(axis=0) - head
         gain = np.where(head.argmax(axis=1) != tail.argmax(axis=1), head.max(axis=1) + tail.max(axis=1), -np.inf)
@@ -282,7 +279,7 @@ def _candidates(field: str, text: str) -> list[tuple[str, set[str]]]:
             ok = len(told) >= MIN_TITLE_WORDS
         else:
             ok = len(told) >= MIN_WORDS or (len(told) > 1 and _END.search(s))
-        if ok and not _PLACEHOLDER.match(s):
+        if ok and not (len(told) <= 6 and _PLACEHOLDER.match(s)):
             out.append((s, set(told)))
     return out
 
