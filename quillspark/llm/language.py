@@ -254,14 +254,16 @@ class Scorer:
             s = np.sort(x := self.scores([set(told[a:b])])[0])
             return int(x.argmax()), float(s[-1] - s[-2])
 
-        def split(a, b):
+        cuts, todo = [], [(0, len(told))]
+        while todo:
+            a, b = todo.pop()
             k = self.change(told[a:b])
-            if k is None:
-                return [(a, b)]
-            (x, mx), (y, my) = best(a, a + k), best(a + k, b)
-            return split(a, a + k) + split(a + k, b) if x != y and min(mx, my) >= CLEAR else [(a, b)]
-
-        cuts = split(0, len(told))
+            if k is not None:
+                (x, mx), (y, my) = best(a, a + k), best(a + k, b)
+                if x != y and min(mx, my) >= CLEAR:
+                    todo += [(a + k, b), (a, a + k)]
+                    continue
+            cuts.append((a, b))
         starts = [0, *(at[a][0] for a, _ in cuts[1:]), len(text)]
         return [(p, q, *best(a, b)) for (a, b), p, q in zip(cuts, starts, starts[1:])]
 
