@@ -67,7 +67,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[A-Za-z][\w:.-]*)(?P<a
 _HEADING = re.compile(r"h[1-6]|(?:.*:)?title")
 _NO_TEMPLATE = re.compile(r"<(?:pre|code|tt|kbd|samp|math|sub|sup|\w+:math)\b|[`$]|\\[(\[a-z]", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
-LONGEST = 20_000  # characters of a template
+_BARE_TAG = re.compile(r"<[^<>]*>")
+_SPACE = re.compile(r"\s+")
 
 
 def kinds(text: str | None) -> list[str]:
@@ -87,41 +88,57 @@ def kinds(text: str | None) -> list[str]:
 def subtrees(text: str) -> list[tuple[int, int, int]]:
     """(hash, start, end) of each element that may be template; the hash covers it and the path to it.
 
-    An element longer than LONGEST is no template itself; what it is made of may be."""
+    Each piece of text is read once, whatever it is nested in: a closed element goes into its parent as its
+    digest, with what the exemptions need to know of it."""
     out, open_at = [], []
     path: Counter = Counter()  # names of the open elements
-
-    def add(name, start, end):
-        if end - start > LONGEST:
-            return
-        inside = text[start:end]
-        if _HEADING.fullmatch(name) or _NO_TEMPLATE.search(inside):
+    above = [b""]  # the path to each open element, then to what comes next, as a digest
+    parts: list[tuple[bytes, bool, bool, bool]] = []  # of what is open: digest, whether it is exempt, has letters, has "="
+    at = 0
+
+    def read(start, end, tag):
+        piece = text[start:end]
+        if piece:
+            letters = not tag and bool(_LETTER.search(_BARE_TAG.sub("", piece)))
+            parts.append((_digest(_SPACE.sub(" ", piece).lower()), bool(_NO_TEMPLATE.search(piece)), letters, "=" in piece))
+
+    def add(name, first, start, end):
+        """The element made of the parts from the first on."""
+        whole = _digest(b"".join(x[0] for x in parts[first:]))
+        exempt, letters, equals = (any(x[k] for x in parts[first:]) for k in (1, 2, 3))
+        parts[first:] = [(whole, exempt, letters, equals)]
+        if exempt or _HEADING.fullmatch(name):
             return
-        if not _LETTER.search(re.sub(r"<[^<>]*>", "", inside)) and "=" not in inside:
+        if not letters and not equals:
             return  # line breaks and cells of numbers; an image has a source
         if name not in BLOCKS and (_runs(text[max(0, start - 80) : start], True) or _runs(text[end : end + 80], False)):
             return
-        out.append((_hash("/".join(path), inside), start, end))
+        out.append((_hash(above[-1] + whole), start, end))
 
     for m in _TAG.finditer(text):
         name = (m["name"] or "").lower()
         if not name:
             continue
+        read(at, m.start(), False)
+        first, at = len(parts), m.end()
+        read(m.start(), at, True)
         if m["end"]:
             while path[name]:
-                own, start = open_at.pop()
+                own, first, start = open_at.pop()
+                above.pop()
                 path[own] -= 1
                 if not path[own]:
                     del path[own]
                 if own == name:
-                    add(name, start, m.end())
+                    add(name, first, start, at)
                     break
             else:
                 del path[name]
         elif m["void"] or m["attr"].rstrip().endswith("/") or name in VOID:
-            add(name, m.start(), m.end())
+            add(name, first, m.start(), at)
         else:
-            open_at.append((name, m.start()))
+            open_at.append((name, first, m.start()))
+            above.append(above[-1] if path[name] else _digest(above[-1] + name.encode()))
             path[name] += 1
     return out
 
@@ -132,8 +149,12 @@ def _runs(beside: str, before: bool) -> bool:
     return bool(near) and (near[-1] if before else near[0]) not in "|•·»›/"
 
 
-def _hash(path: str, subtree: str) -> int:
-    return xxhash.xxh3_64_intdigest(path + ">" + re.sub(r"\s+", " ", subtree).strip().lower()) - (1 << 63)
+def _digest(x: str | bytes) -> bytes:
+    return xxhash.xxh3_128_digest(x)
+
+
+def _hash(x: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
 # What is set aside, in order of the text: code, then formulas. The first to open wins.
@@ -347,7 +368,7 @@ def _find(batches):
 def _convert(batches):
     for batch in batches:
         texts, known = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-        out = [clean(t, [(a, b) for h, a, b in subtrees(t) if h in set(k)] if k else ()) for t, k in zip(texts, known)]
+        out = [clean(t, [(a, b) for h, a, b in subtrees(t) if h in k] if k else ()) for t, k in zip(texts, (set(k or ()) for k in known))]
         n = [len(k or ()) for k in known]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(3), pa.array(n, pa.int32())], names=["rec_id", "field", "clean_text", "notation", "removed"])
 

@@ -96,6 +96,25 @@ def test_templates_by_place_and_content(pubs):
     assert all("in vitro" in r.clean_text for r in got if r.field == "title")
 
 
+def test_long_templates_are_deleted_too(pubs):
+    junk = '<div class="nav">' + "".join(f'<p><a href="/{k}">Part {k} of the site map</a></p>' for k in range(800)) + "</div>"
+    assert len(junk) > 20_000
+    rows = [{"rec_id": i, "id": f"P{i}", "issn": "1234-5678", "abstract": f"Text {i} {junk if i % 2 else ''} end"} for i in range(80)]
+    got = {r.rec_id: r for r in M.fields_with_markup(pubs(*rows)).collect()}
+    assert set(got) == {*range(1, 80, 2)} and all(r.removed == 1 + 2 * 800 and r.clean_text.split() == ["Text", str(k), "end"] for k, r in got.items())
+    long = "<div>" + "plain words, " * 2000 + "</div>"  # whose parts are no templates themselves
+    rows = [{"rec_id": i, "id": f"P{i}", "issn": "1234-5678", "abstract": f"Text {i} {long}"} for i in range(30)]
+    assert {(r.removed, r.clean_text.strip()) for r in M.fields_with_markup(pubs(*rows)).collect()} == {(1, f"Text {i}") for i in range(30)}
+
+
+def test_equal_elements_at_equal_places_have_equal_hashes():
+    a = M.subtrees('<ul><li>One <b>two</b>:</li>\n <li>x</li></ul><div><ul><li>x</li></ul></div>')
+    b = M.subtrees('other<UL><li>ONE   <b>two</b>:</li> <li>y</li></ul><p><ul><li>x</li></ul>')
+    own = lambda found: {h for h, _, _ in found}
+    assert len(a) == len(own(a)) == 6 and len(b) == len(own(b)) == 5  # b in li runs in text
+    assert len(own(a) & own(b)) == 1  # the first li: the second differs, and so does the list; the last ones stand elsewhere
+
+
 HOSTILE = ["{{", "<", "$a", "`", "'", "[[", "<b ", "\\frac{", "*a", "<!--", "```a", "<pre>", "\\[", " _a", "| a ", "# ", "== a ", "[a](", "\\begin{equation}", "<li>", "<div>", "x^{", "&", "<h1>", "\\begin{tabular}", "[http://x ", "__a", "{{a|b", " ", "\n ", "=", "<a =", "</b>"]
 
 
