@@ -8,9 +8,11 @@ every word to place j, so every place is filled. Two places agree with the proba
 similarity, with concentration of their mean. BANDS bands of ROWS places make the buckets; SIGNATURE further
 places give a bit each, which with the sizes screen pairs inside a bucket before they are written.
 
-Buckets are read in order from a sorted partition, never gathered. A bucket of more than BUCKET classes
-is not expanded. Its classes go to an exact way instead: prefix filtering, by which two classes can only
-reach the threshold if they share one of their rarest words. Every candidate is verified on whole texts.
+Buckets are read in order from a sorted partition. Those of up to BUCKET classes are compared block by block:
+pairs that share a bucket by chance grow with the square of the collection, so they have to be cheap there and
+few of them may leave it. A bucket of more is not expanded. Its classes go to an exact way instead: prefix
+filtering, by which two classes can only reach the threshold if they share one of their rarest words. Every
+candidate is verified on whole texts.
 
 At similarity s a pair is met with probability 1 - (1 - s**ROWS)**BANDS times that of passing the screen,
 which loses under one in a million from 0.75 on: 0.9996 at 0.75, over 0.9999 from 0.8. Null fields count as empty; records under `least` words have no
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 
 from quillspark.session import cut, spread
 
-COORDINATES, ROWS, BANDS, SIGNATURE = 512, 7, 54, 128
-BUCKET = 256
-SCREEN = 36  # of SIGNATURE bits that may differ
+COORDINATES, ROWS, BANDS, SIGNATURE = 512, 6, 40, 256
+BUCKET = 1 << 14
+SCREEN = 60  # of SIGNATURE bits that may differ
+_SIGS = [f"sig{k}" for k in range(SIGNATURE // 64)]
+_BAND_ROWS = "key long, cls long, n int, " + ", ".join(f"{k} long" for k in _SIGS)
+_SMALL, _BLOCK = 64, 1 << 20  # buckets up to this are compared together; pairs compared at once
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 18
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -138,28 +143,45 @@ def _bands(least):
             key = (key >> U(24)) | (np.arange(BANDS, dtype=np.uint64) << U(40))
             sig = np.packbits((s[:, COORDINATES - SIGNATURE :] & V(1)).astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(cls, BANDS)), pa.array(np.repeat(sizes, BANDS).astype(np.int32)), *(pa.array(np.repeat(sig[:, k], BANDS)) for k in (0, 1))], names=["key", "cls", "n", "sig", "sig2"]
+                [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(cls, BANDS)), pa.array(np.repeat(sizes, BANDS).astype(np.int32)), *(pa.array(np.repeat(sig[:, k], BANDS)) for k in range(len(_SIGS)))], names=["key", "cls", "n", *_SIGS]
             )
 
     return run
 
 
 def _pairs(threshold):
-    """Candidates of sorted rows (key, cls, n, sig, sig2); hot buckets give their classes as a = b."""
+    """Candidates of sorted rows (key, cls, n, signature in words of 64 bits); hot buckets give their classes as a = b."""
 
-    def within(cls, n, sig, sig2, starts, lengths):
+    def screened(cls, n, sig, x, y):
+        near = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
+        x, y = x[near], y[near]
+        near = sum(np.bitwise_count((k[x] ^ k[y]).view(np.uint64)).astype(np.uint16) for k in sig) <= SCREEN
+        x, y = x[near], y[near]
+        return np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+
+    def small(cls, n, sig, starts, lengths):
+        """Buckets of one size together."""
         for size in np.unique(lengths):
             if size < 2:
                 continue
             base = starts[lengths == size]
             i, j = np.triu_indices(int(size), 1)
-            for part in range(0, len(base), max(1, (1 << 20) // len(i))):
-                b = base[part : part + max(1, (1 << 20) // len(i)), None]
-                x, y = (b + i).ravel(), (b + j).ravel()
-                near = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
-                x, y = x[near], y[near]
-                near = np.bitwise_count((sig[x] ^ sig[y]).view(np.uint64)) + np.bitwise_count((sig2[x] ^ sig2[y]).view(np.uint64)) <= SCREEN
-                yield np.minimum(cls[x[near]], cls[y[near]]), np.maximum(cls[x[near]], cls[y[near]])
+            step = max(1, _BLOCK // len(i))
+            for part in range(0, len(base), step):
+                b = base[part : part + step, None]
+                yield screened(cls, n, sig, (b + i).ravel(), (b + j).ravel())
+
+    def large(cls, n, sig, start, length):
+        """One bucket, by size: each block of rows with those after it whose size still allows the threshold."""
+        by = start + np.argsort(n[start : start + length], kind="stable")
+        sizes = n[by]
+        end = np.searchsorted(sizes, sizes / threshold * (1 + 1e-9), "right")
+        at = 0
+        while at < length:
+            upto = min(length, at + max(1, _BLOCK // max(1, int(end[at]) - at)))
+            i, j = np.nonzero(np.arange(at, end[upto - 1]) > np.arange(at, upto)[:, None])
+            yield screened(cls, n, sig, by[at + i], by[at + j])
+            at = upto
 
     def run(batches):
         held = None
@@ -170,29 +192,34 @@ def _pairs(threshold):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        def work(key, cls, n, sig, sig2, last):
-            """All buckets but the last, which may go on; (the rest, the batches)."""
+        def work(cols, last):
+            """All buckets but the last, which may go on; (the rest, the candidates)."""
+            key, cls = cols[:2]
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls, n, sig, sig2 = key[fresh], cls[fresh], n[fresh], sig[fresh], sig2[fresh]
+            key, cls, n, *sig = cols = [c[fresh] for c in cols]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             lengths = np.diff(np.append(starts, len(key)))
             rest = None
             if not last:
-                s = starts[-1]
-                rest = (key[s:], cls[s:], n[s:], sig[s:], sig2[s:])
+                rest = [c[starts[-1] :] for c in cols]
                 starts, lengths = starts[:-1], lengths[:-1]
-            parts = []
-            big = lengths > BUCKET
-            for s, m in zip(starts[big], lengths[big]):
-                parts.append((cls[s : s + m], cls[s : s + m]))
-            parts += within(cls, n, sig, sig2, starts[~big], lengths[~big])
-            return rest, parts
+
+            def found():
+                few = lengths <= min(_SMALL, BUCKET)
+                yield from small(cls, n, sig, starts[few], lengths[few])
+                for s, m in zip(starts[~few].tolist(), lengths[~few].tolist()):
+                    if m > BUCKET:
+                        yield cls[s : s + m], cls[s : s + m]
+                    else:
+                        yield from large(cls, n, sig, s, m)
+
+            return rest, found()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy() for k in range(5)]
+            cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
             if hot_key is not None:  # inside a bucket already known as hot
                 same = cols[0] == hot_key
                 if same.any():
@@ -203,14 +230,14 @@ def _pairs(threshold):
                 hot_key = None
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            held, parts = work(*cols, False)
+            held, parts = work(cols, False)
             yield from out(parts)
             if held is not None and len(held[0]) > BUCKET:
                 hot_key = held[0][0]
                 yield from out([(held[1], held[1])])
                 held = None
         if held is not None:
-            yield from out(work(*held, True)[1])
+            yield from out(work(held, True)[1])
 
     return run
 
@@ -278,7 +305,7 @@ def _work(records: DataFrame, threshold: float, least: int):
     """members(rec_id, id, c1, c2) and verified links(rep_a, rep_b, similarity), rep: least rec_id of a class."""
     texts = records.select("rec_id", "title", "abstract")
     members = cut(spread(records.select("rec_id", "title", "abstract", "id")).mapInArrow(_members(least), "rec_id long, id string, c1 long, c2 long"))
-    bands = spread(texts).mapInArrow(_bands(least), "key long, cls long, n int, sig long, sig2 long")
+    bands = spread(texts).mapInArrow(_bands(least), _BAND_ROWS)
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(bands.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_pairs(threshold), "a long, b long").distinct())
     pairs = found.where("a <> b")

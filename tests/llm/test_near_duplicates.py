@@ -85,6 +85,34 @@ def test_pairs_of_a_bucket_pass_the_screen():
     assert [tuple(c.to_pylist()) for b in D._pairs(0.75)(iter([batch])) for c in b.columns] == [(10,), (20,)]
 
 
+def test_large_buckets_are_compared_whole():
+    """Buckets of a thousand classes, as larger collections have, give near pairs only and no class as hot."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n = rng.integers(20, 90, 1000).astype(np.int32)
+    sig = rng.integers(-(1 << 63), 1 << 63, (1000, D.SIGNATURE // 64), np.int64)
+    for k in range(0, 1000, 4):
+        sig[k + 1] = sig[k] ^ 5  # near, if of near size
+    want = set()
+    for i in range(1000):
+        far = np.bitwise_count((sig ^ sig[i]).view(np.uint64)).astype(int).sum(axis=1)
+        want |= {(min(i, j), max(i, j)) for j in np.flatnonzero(far <= D.SCREEN) if i != j and min(n[i], n[j]) >= 0.75 * max(n[i], n[j])}
+    for size in (1000, 90):
+        cols = (np.full(1000, 7), np.arange(1000), n, *sig.T.copy())
+        parts = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in cols], names=list("abcdefgh"[: len(cols)])) for k in range(0, 1000, size)]
+        got = [p for b in D._pairs(0.75)(iter(parts)) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_far_apart_seldom_leave_a_bucket():
+    """A pair at similarity 0.4 shares a bucket by chance; their number grows with the square of the collection."""
+    from math import comb
+
+    p, n = 0.3, D.SIGNATURE
+    assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(D.SCREEN + 1)) < 0.02
+
+
 def test_hot_buckets_take_the_exact_way(pubs, monkeypatch):
     text = " ".join(f"c{i}" for i in range(60))
     rows = [{"rec_id": k, "id": f"P{k}", "title": f"x{k} y{k}", "abstract": text} for k in range(40)]
